@@ -5,19 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, packing, sstable
+from siltstone.llm import ann, decontaminate, language, packing, quality, sstable
+from siltstone.llm.common import crc_fold
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rank_order(spark, sf_dir):
+    """The language of all documents, learned from four fifths of those with one."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = crc_fold("doc_id", 5)
+    learned = language.profiles(docs.where(fold != 0))
+    return language.identify(docs.select("doc_id", (fold == 0).alias("held_out"), "text"), learned)
+
+
 def op2_sstable(spark, sf_dir):
     """Token ids of all documents, written as sorted-string tables and read back."""
     docs = _table(spark, sf_dir, "documents")
     return sstable.encode_to_shards(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_anisotropic(spark, sf_dir):
+    """The five nearest of all vectors for every fiftieth one."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), is_query=F.pmod("id", F.lit(50)) == 0)
+
+
+def op8_kneser_ney(spark, sf_dir):
+    """Perplexity and verdict for all documents."""
+    out = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_units", "perplexity", "threshold", "keep")
+
+
 def op9_best_two_fit(spark, sf_dir):
     """All documents packed into sequences of 4096 tokens."""
     docs = _table(spark, sf_dir, "documents")
@@ -30,6 +50,6 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_sstable, op9_best_two_fit, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
