@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, decontaminate, jaccard, language, packing, quality, sstable
+from siltstone.llm import ann, decontaminate, jaccard, language, mixing, packing, quality, sstable
 from siltstone.llm.common import crc_fold
 
 
@@ -32,6 +32,11 @@ def op3_anisotropic(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), is_query=F.pmod("id", F.lit(50)) == 0)
 
 
+def op4_context_mixing(spark, sf_dir):
+    """Log-probabilities of all documents under the mixed model and under word counts."""
+    return mixing.scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_vertical_jaccard(spark, sf_dir):
     """Groups of near copies among all documents: five words, a similarity of 0.75."""
     return jaccard.near_groups(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,6 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op6_vertical_jaccard, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op6_vertical_jaccard, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
