@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, decontaminate, jaccard, language, mixing, packing, quality, sstable
+from siltstone.llm import ann, decontaminate, jaccard, language, licenses, lines, mixing, packing, quality, sstable
 from siltstone.llm.common import crc_fold
 
 
@@ -37,11 +37,22 @@ def op4_context_mixing(spark, sf_dir):
     return mixing.scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_edit_join(spark, sf_dir):
+    """Lines of all documents that copy an earlier line within two edits."""
+    out = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("__dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
+
+
 def op6_vertical_jaccard(spark, sf_dir):
     """Groups of near copies among all documents: five words, a similarity of 0.75."""
     return jaccard.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    """Licences of all documents, as files of a directory for each source and language."""
+    return licenses.scan(_table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op8_kneser_ney(spark, sf_dir):
     """Perplexity and verdict for all documents."""
     out = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -60,6 +71,47 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op6_vertical_jaccard, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op5_edit_join, op6_vertical_jaccard, op7_license_scan, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
+
+def _license_sql() -> str:
+    """The licence scan in SQL: its templates are rows, as in the operator."""
+    templates = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    hint = " or ".join(f"contains(lower(text), '{h}')" for h in licenses.HINTS)
+    many, other = len(licenses.TEMPLATES), f"(ln({1.0 + len(licenses.TEMPLATES)}) + 1.0)"
+    return f"""
+with templates(template, license, text) as (values {templates}),
+tt as (select template, license, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from templates),
+tc as (select template, license, term, count(*) as tf from tt group by all),
+idf as (select term, ln({1.0 + many} / (1.0 + count(*))) + 1.0 as idf from tc group by term),
+raw as (select tc.*, tf * idf as w from tc join idf using (term)),
+weights as (select term, template, license, w / sqrt(sum(w * w) over (partition by template)) as weight from raw),
+files as (select distinct doc_id, text, concat_ws('/', source, lang, cast(doc_id as varchar)) as path from documents),
+speaking as (select * from files where {hint}),
+units as (
+  select doc_id, -1 as pos, text from speaking
+  union all
+  select doc_id, pos, text from (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as pos from speaking) where {hint}
+),
+ut as (select doc_id, pos, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from units),
+uw as (select doc_id, pos, term, count(*) * coalesce(any_value(idf), {other}) as w from ut left join idf using (term) group by doc_id, pos, term),
+un as (select doc_id, pos, sqrt(sum(w * w)) as norm from uw group by all),
+dots as (select doc_id, pos, template, license, sum(w * weight) as dot from uw join weights using (term) group by all),
+cosines as (select doc_id, pos, license, round(dot / norm, 6) as cosine from dots join un using (doc_id, pos)),
+best as (select * from cosines qualify row_number() over (partition by doc_id, pos order by cosine desc, license) = 1),
+own as (select doc_id, license, cosine from best where pos >= 0 and cosine >= {licenses.LINE_COSINE} qualify row_number() over (partition by doc_id order by cosine desc, license) = 1),
+declared as (
+  select regexp_replace(path, '/[^/]*$', '') as above, license, cosine from best join files using (doc_id) where pos = -1 and cosine >= {licenses.FILE_COSINE}
+  qualify row_number() over (partition by regexp_replace(path, '/[^/]*$', '') order by cosine desc, path, license) = 1
+),
+f as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path from documents),
+inherited as (
+  select f.path as path, d.above, d.license, d.cosine from (select distinct path from f) f join declared d on d.above = '' or starts_with(f.path, d.above || '/')
+  qualify row_number() over (partition by f.path order by length(d.above) desc) = 1
+)
+select f.doc_id, f.path, coalesce(own.license, i.license) as license, case when own.license is not null then own.cosine else i.cosine end as cosine,
+  case when own.license is not null then 'own' when i.license is not null then 'inherited' end as origin, case when own.license is null then i.above end as directory
+from f left join own using (doc_id) left join inherited i on i.path = f.path
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": _license_sql()}
