@@ -250,7 +250,7 @@ def write_shards(
         )
 
     # Range partitions on the id are the global order; a task sorts and encodes its own range.
-    ordered = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(shuffle_partitions(spark), F.col(id_col), F.col(text_col)).sortWithinPartitions(id_col, text_col)
+    ordered = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(shuffle_partitions(spark), F.col(id_col)).sortWithinPartitions(id_col, text_col)
     manifest = ordered.mapInArrow(run, "part long, number long, path string, entries long, ids long").collect()
     return [r.asDict() for r in sorted(manifest, key=lambda r: (r["part"], r["number"]))]
 
