@@ -64,7 +64,9 @@ def assigned(pairs: DataFrame, caps: dict[str, int] = CAPS, seed: str = SEED) ->
     flagged = pairs.join(F.broadcast(rare), "inferred_topic", "left").groupBy("similarity_key").agg(F.count("*").alias("n"), F.max(F.coalesce("rare", F.lit(False))).alias("rare"))
     keyed = flagged.withColumn("order", F.md5(F.concat(F.lit(seed), F.col("similarity_key"))))
     need = sum(caps.values())
-    bounded = keyed.where("rare").orderBy("order", "similarity_key").limit(need).unionByName(keyed.where("not rare").orderBy("order", "similarity_key").limit(need))
+    first = lambda kind: keyed.where(kind).orderBy("order", "similarity_key").limit(need)
+    # At most 2 * need groups: from here on a table of the driver, so that no step repeats the work before.
+    bounded = pairs.sparkSession.createDataFrame(first("rare").unionByName(first("not rare")).collect(), keyed.schema).coalesce(1)
     order = Window.orderBy("order", "similarity_key").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda: F.coalesce(F.sum("n").over(order), F.lit(0))
     placed, left, held = [], bounded, {"dev": F.lit(0), "test": F.lit(0), "train": F.lit(0)}

@@ -22,13 +22,30 @@ def ranked(df: DataFrame, k: int, *, by: str = "query_id", id_col: str = "chunk_
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _hashed(lists):
+    import hashlib
+
+    import pandas as pd
+
+    places: dict[str, int] = {}
+
+    def one(words) -> list[float]:
+        for w in words:
+            if w not in places:
+                places[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % DIM
+        counts = np.bincount([places[w] for w in words], minlength=DIM).astype(float) if len(words) else np.zeros(DIM)
+        norm = np.sqrt((counts * counts).sum())
+        return (counts / norm if norm > 0 else counts).tolist()
+
+    return pd.Series([one(words) for words in lists])
+
+
 def embedding(text: Column) -> Column:
-    """Stand-in embedding: counts of tokens hashed into DIM places, of unit length (zeros without tokens)."""
-    place = lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % DIM
-    places = F.transform(tokens(F.coalesce(text, F.lit(""))), place)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """Stand-in embedding: counts of tokens hashed into DIM places, of unit length (zeros without tokens).
+
+    Batch-wise in Arrow, as an embedding model would be.
+    """
+    return F.pandas_udf(_hashed, "array<double>")(tokens(F.coalesce(text, F.lit(""))))
 
 
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int, *, exclude_self: bool = False) -> DataFrame:

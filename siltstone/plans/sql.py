@@ -42,6 +42,7 @@ def file_name(x: str) -> str:
 
 
 def embedding(x: str) -> str:
+    # One row for each token and place, then the counts as a list.
     place = "('0x' || substr(md5(t), 1, 4))::int % 64"
     return f"""(select case when sqrt(list_sum(list_transform(c, lambda v: v * v))) > 0 then list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda u: u * u)))) else c end
       from (select list_transform(range(64), lambda d: len(list_filter(p, lambda q: q = d))::double) as c from (select list_transform({tokens(f"coalesce({x}, '')")}, lambda t: {place}) as p)))"""
@@ -72,9 +73,10 @@ def bm25(prefix: str, queries: str, docs: str, k: int) -> dict[str, tuple[str, s
     """Common table expressions that end in ``{prefix}bm25``; queries: query_id, text; docs: chunk_id, text."""
     p = prefix
     return {
-        f"{p}dt": (docs, f"select chunk_id, len({tokens('text')}) as dl, unnest({tokens('text')}) as term from {docs}"),
+        f"{p}tk": (docs, f"select chunk_id, {tokens('text')} as tk from {docs}"),
+        f"{p}dt": (f"{p}tk", f"select chunk_id, len(tk) as dl, unnest(tk) as term from {p}tk"),
         f"{p}post": (f"{p}dt", f"select chunk_id, term, dl, count(*) as tf from {p}dt group by all"),
-        f"{p}stats": (docs, f"select count(*) as n, avg(len({tokens('text')})) as avgdl from {docs} where text is not null"),
+        f"{p}stats": (f"{p}tk", f"select count(*) as n, avg(len(tk)) as avgdl from {p}tk where tk is not null"),
         f"{p}qt": (queries, f"select query_id, unnest(list_distinct({tokens('text')})) as term from {queries}"),
         f"{p}idf": (f"{p}post {p}stats", f"select term, count(*) as df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from {p}post, {p}stats group by term"),
         f"{p}bscore": (f"{p}post {p}stats {p}qt {p}idf", f"select query_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from {p}post join {p}qt using (term) join {p}idf using (term), {p}stats group by all"),
@@ -92,23 +94,23 @@ def hybrid(prefix: str, queries: str, docs: str, k: int) -> dict[str, tuple[str,
         f"{p}vec": (f"{p}vscore", f"select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from {p}vscore qualify rank <= {2 * k}"),
         f"{p}rr": (f"{p}vec {p}bm25", f"select query_id, chunk_id, sum(1.0::double / (60 + rank - 1)) as score from (select query_id, chunk_id, rank from {p}vec union all select query_id, chunk_id, rank from {p}bm25) group by all"),
         f"{p}fused": (f"{p}rr", f"select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from {p}rr qualify rank <= {3 * k}"),
-        f"{p}rs": (f"{p}fused {queries} {docs}", f"select query_id, chunk_id, d.text, len(list_intersect(list_distinct({tokens('q.text')}), {tokens('d.text')}))::double / greatest(len(list_distinct({tokens('q.text')})), 1) as score from {p}fused join {queries} q using (query_id) join {docs} d using (chunk_id)"),
+        f"{p}rs": (f"{p}fused {p}tk {queries} {docs}", f"select query_id, chunk_id, d.text, len(list_intersect(q.qk, x.tk))::double / greatest(len(q.qk), 1) as score from {p}fused join (select query_id, list_distinct({tokens('text')}) as qk from {queries}) q using (query_id) join {p}tk x using (chunk_id) join {docs} d using (chunk_id)"),
         f"{p}top": (f"{p}rs", f"select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from {p}rs qualify rank <= {k}"),
     }
 
 
 _CHUNK = "STRUCT(sec VARCHAR, cur VARCHAR, res STRUCT(t VARCHAR, s VARCHAR)[])"
-_OPENED = "(case when a.cur = '' then '[' || a.sec || '] ' else a.cur end || b.text || ' ')"
+_OPENED = "(case when acc.cur = '' then '[' || acc.sec || '] ' else acc.cur end || blk_.text || ' ')"
 
 
 def fold(blocks: str) -> str:
     """Chunks of a list of (tag, text) by the sequential rule."""
-    emit = lambda text, section: f"list_append(a.res, {{'t': trim({text}), 's': {section}}})"
+    emit = lambda text, section: f"list_append(acc.res, {{'t': trim({text}), 's': {section}}})"
     start = f"{{'sec': 'General', 'cur': '', 'res': []}}::{_CHUNK}"
-    step = f"""case when b.tag[1:1] = 'h' then {{'sec': b.text, 'cur': '', 'res': case when a.cur <> '' then {emit('a.cur', 'b.text')} else a.res end}}::{_CHUNK}
-      when length({_OPENED}) > 800 then {{'sec': a.sec, 'cur': '[' || a.sec || '] ... ' || right({_OPENED}, 150), 'res': {emit(_OPENED, 'a.sec')}}}::{_CHUNK}
-      else {{'sec': a.sec, 'cur': {_OPENED}, 'res': a.res}}::{_CHUNK} end"""
-    return f"list_reduce({blocks}, lambda a, b: {step}, {start})"
+    step = f"""case when blk_.tag[1:1] = 'h' then {{'sec': blk_.text, 'cur': '', 'res': case when acc.cur <> '' then {emit('acc.cur', 'blk_.text')} else acc.res end}}::{_CHUNK}
+      when length({_OPENED}) > 800 then {{'sec': acc.sec, 'cur': '[' || acc.sec || '] ... ' || right({_OPENED}, 150), 'res': {emit(_OPENED, 'acc.sec')}}}::{_CHUNK}
+      else {{'sec': acc.sec, 'cur': {_OPENED}, 'res': acc.res}}::{_CHUNK} end"""
+    return f"list_reduce({blocks}, lambda acc, blk_: {step}, {start})"
 
 
 CTES: dict[str, tuple[str, str]] = {
