@@ -7,8 +7,6 @@ profile's length if the profile lacks it; the language with the smallest sum is
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,58 +15,58 @@ from siltstone.llm.common import binary_list
 
 #: N-grams in a profile and of a document.
 PROFILE = 300
-#: Different words held by a worker at most.
-CACHE_WORDS = 150_000
+#: Characters of a language that a task counts at once.
+COUNTED_CHARS = 4_000_000
 #: Groups by which the n-grams of a language are dealt when its profile is cut.
 SALTS = 64
 
-#: ASCII letters in lower case, other ASCII to spaces, bytes of other characters as they are.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+_PAD = ord("_")
 
 
-def gram_codes(word: str) -> np.ndarray:
-    """The n-grams of a padded word as numbers: 21 bits a character, the last one lowest."""
-    c = np.frombuffer(f"_{word}_".encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.concatenate([c[1:-1], c[:-1] << 21 | c[1:], c[:-2] << 42 | c[1:-1] << 21 | c[2:]])
+def _letters() -> np.ndarray:
+    """Which of the first 65,536 characters are letters."""
+    return np.array([chr(c).isalpha() for c in range(1 << 16)])
 
 
-def gram_text(code: int) -> str:
-    """The n-gram of a number."""
-    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+_LETTERS: list[np.ndarray] = []
 
 
-class _Grams(dict):
-    """Word (bytes of lower-cased ASCII) to the numbers of its n-grams; empty if it has no letter."""
+def grams(text: bytes | None) -> np.ndarray:
+    """All n-grams of a text as numbers: 21 bits a character, the last one lowest; empty without letters.
 
-    def __missing__(self, word: bytes) -> np.ndarray:
-        letters = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = codes = gram_codes(letters) if letters else np.empty(0, np.int64)
-        return codes
+    Anything but letters parts words; a pair has a letter, and three have one in the middle.
+    """
+    if not text:
+        return np.empty(0, np.int64)
+    if not _LETTERS:
+        _LETTERS.append(_letters())
+    c = np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    letter = _LETTERS[0].take(np.minimum(c, 0xFFFF))
+    if (far := np.flatnonzero(c > 0xFFFF)).size:
+        letter[far] = [chr(x).isalpha() for x in c[far].tolist()]
+    c = np.where(letter, c, _PAD)
+    two = c[:-1] << 21 | c[1:]
+    return np.concatenate([c[letter], two[letter[:-1] | letter[1:]], (two[:-1] << 21 | c[2:])[letter[1:-1]]])
 
 
-_GRAMS = _Grams()
+def gram_text(code: int) -> str:
+    """The n-gram of a number."""
+    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
 
 
-def count_grams(counted: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers (ascending) and counts of the n-grams of counted words."""
-    if not counted:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    parts = [_GRAMS[w] for w in counted]
-    codes = np.concatenate(parts)
-    weights = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), [len(p) for p in parts])
-    codes, at = np.unique(codes, return_inverse=True)
-    return codes, np.bincount(at, weights, len(codes)).astype(np.int64)
+def count_grams(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (ascending) and counts of the n-grams of a text."""
+    return np.unique(grams(text), return_counts=True)
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return text.translate(_LETTERS).split() if text else []
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
 def ranking(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
-    """The most frequent n-grams, best first; of equal counts the smaller number."""
-    return codes[np.lexsort((codes, -counts))[:size]]
+    """The most frequent of ascending n-grams, best first; of equal counts the smaller number."""
+    return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
 def gram_counts(docs: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
@@ -77,25 +75,25 @@ def gram_counts(docs: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        by_lang: dict[str, Counter] = {}
-        totals: dict[str, dict] = {}
+        waiting: dict[str, list[bytes]] = {}
+        chars: dict[str, int] = {}
+        totals: dict[str, list] = {}
 
-        def flush() -> None:
-            for lang, counted in by_lang.items():
-                total = totals.setdefault(lang, {})
-                codes, counts = count_grams(counted)
-                for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
-                    total[c] = total.get(c, 0) + n
-            by_lang.clear()
+        def count(lang: str) -> None:
+            part = count_grams(b"\n".join(waiting.pop(lang)))
+            totals[lang] = [_added([*totals.get(lang, []), part])]
+            chars[lang] = 0
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1)), strict=True):
-                by_lang.setdefault(lang, Counter()).update(words(text))
-                if sum(map(len, by_lang.values())) > CACHE_WORDS:
-                    flush()
-        flush()
-        for lang, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["lang", "gram", "n"])
+                waiting.setdefault(lang, []).append(text)
+                chars[lang] = chars.get(lang, 0) + len(text)
+                if chars[lang] >= COUNTED_CHARS:
+                    count(lang)
+        for lang in list(waiting):
+            count(lang)
+        for lang, ((codes, n),) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = docs.select(lang_col, text_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     return counted.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -125,7 +123,7 @@ class Matcher:
             self.ranks[np.searchsorted(self.grams, by_lang[lang]), j] = np.arange(len(by_lang[lang]))
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        codes, counts = count_grams(Counter(words(text)))
+        codes, counts = count_grams(text)
         if not len(codes) or not self.langs:
             return "und", 0.0
         own = ranking(codes, counts, self.size)
