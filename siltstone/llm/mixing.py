@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +33,9 @@ PIECE, ADDED = 1 << 14, 256
 CONTEXTS, CONFIDENCE = 4, 3
 GATES, STEPS = 2 * CONFIDENCE**2, 33
 #: Tokens whose bits are worked on at once, different words that a task counts before it passes them on.
-CHUNK_TOKENS, COUNTED_WORDS = 30_000, 400_000
+CHUNK_TOKENS, COUNTED_WORDS = 16_000, 400_000
+#: Bits that a task gathers before it adds them to its tables.
+COUNTED_BITS = 4_000_000
 #: A stored log-odds unit, and the prior of a count.
 SCALE, PRIOR = 15.0, 0.4
 END_OF_WORD = 256
@@ -68,18 +71,31 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash(*parts) -> np.ndarray:
-    h = np.uint32(0x9E3779B9)
+    h = np.full(1, 0x9E3779B9, np.uint32)
     for p in parts:
         h = (h ^ np.asarray(p, np.uint32)) * np.uint32(0x85EBCA6B)
         h = h ^ (h >> np.uint32(15))
     return h
 
 
+_ALONE = _hash(np.ones(1, np.uint32))[0]
+
+
+class _Index(dict):
+    """Word to number; the escape's number for any other word."""
+
+    escape = 0
+
+    def __missing__(self, word: bytes) -> int:
+        return self.escape
+
+
 class Coder:
     """Turns documents into bits with contexts. ``counted``: the vocabulary's words with counts, most frequent first."""
 
     def __init__(self, counted: list[tuple[bytes, int]], tokens: int, ends: int):
-        self.index = {w: i for i, (w, _) in enumerate(counted)}
+        self.index = _Index({w: i for i, (w, _) in enumerate(counted)})
+        self.index.escape = len(counted)
         own = np.array([n for _, n in counted], np.float64)
         self.escape, self.end = len(counted), len(counted) + 1
         self.log_counts = np.log10(np.r_[own, 0, ends] + 1)
@@ -92,19 +108,24 @@ class Coder:
 
     @staticmethod
     def _bits(symbols, lengths, codes):
-        """Which symbol, node in the code tree, and bit, for each bit of the symbols' codes."""
-        n = lengths[symbols].astype(np.int64)
-        which = np.repeat(np.arange(len(symbols)), n)
-        depth = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
-        code, rest = codes[symbols][which], n[which].astype(np.uint32) - depth
+        """How many bits each symbol has, and for each bit its node in the code tree and its value."""
+        own = lengths[symbols]
+        n = own.astype(np.int64)
+        ends = np.cumsum(n)
+        rest = np.repeat(ends.astype(np.uint32), n) - np.arange(n.sum(), dtype=np.uint32)  # bits to come, this one included
+        code = np.repeat(codes[symbols], n)
         prefix = code >> rest
-        return which, (np.uint32(1) << depth) | prefix, (code >> (rest - np.uint32(1))) & np.uint32(1)
+        return n, (np.uint32(1) << (np.repeat(own, n).astype(np.uint32) - rest)) | prefix, (code >> (rest - np.uint32(1))) & np.uint32(1)
 
     def events(self, docs: list[list[bytes]]):
         """For each bit: the slots in the tables (one row each), the bit, the kind (0 word, 1 byte) and the document."""
-        get, escape = self.index.get, self.escape
+        escape = self.escape
         sizes = np.array([len(d) + 1 for d in docs])
-        symbols = np.fromiter((s for d in docs for s in (*[get(w, escape) for w in d], self.end)), np.int64, sizes.sum())
+        symbols = np.full(sizes.sum(), self.end, np.int64)
+        ends = np.cumsum(sizes) - 1
+        inner = np.ones(len(symbols), bool)
+        inner[ends] = False
+        symbols[inner] = np.fromiter(map(self.index.__getitem__, chain.from_iterable(docs)), np.int64, len(symbols) - len(docs))
         starts = np.cumsum(sizes) - sizes
         doc = np.repeat(np.arange(len(docs)), sizes)
         rare_at = np.flatnonzero(symbols == escape)
@@ -124,9 +145,9 @@ class Coder:
         seen = np.maximum.accumulate(np.where(symbols < MARKERS, at, -1))
         seen = np.r_[-1, seen[:-1]]
         marker = np.where(seen >= begin, own[seen], np.uint32(0xFFFFFFFF))
-        which, node, bit = self._bits(symbols, self.lengths, self.codes)
-        contexts = [np.broadcast_to(_hash(1), len(symbols)), _hash(2, before), _hash(3, before, before2), _hash(4, marker)]
-        slots, bits, kinds, owners = [self._slots(contexts, which, node)], [bit], [np.zeros(len(bit), np.int64)], [doc[which]]
+        n, node, bit = self._bits(symbols, self.lengths, self.codes)
+        contexts = [None, _hash(2, before), _hash(3, before, before2), _hash(4, marker)]
+        slots, bits, kinds, owners = [self._slots(contexts, n, node)], [bit], [np.zeros(len(bit), np.int64)], [np.repeat(doc, n)]
         if len(rare):
             n = spans + 1
             stream = np.full(n.sum(), END_OF_WORD, np.int64)
@@ -135,18 +156,25 @@ class Coder:
             stream[place < spans[word]] = letters
             back = [np.where(place >= k, np.roll(stream, k), 257) for k in (1, 2, 3)]
             mark = marker[rare_at][word]
-            which, node, bit = self._bits(stream, self.byte_lengths, self.byte_codes)
+            n, node, bit = self._bits(stream, self.byte_lengths, self.byte_codes)
             contexts = [_hash(5, back[0]), _hash(6, back[0], back[1]), _hash(7, *back), _hash(8, back[0], mark)]
-            slots.append(self._slots(contexts, which, node))
+            slots.append(self._slots(contexts, n, node))
             bits.append(bit)
             kinds.append(np.ones(len(bit), np.int64))
-            owners.append(doc[rare_at][word][which])
+            owners.append(np.repeat(doc[rare_at][word], n))
         return np.concatenate(slots, 1), np.concatenate(bits), np.concatenate(kinds), np.concatenate(owners), sizes, symbols, rare
 
     @staticmethod
-    def _slots(contexts, which, node):
-        tree = node * np.uint32(0xC2B2AE35)
-        return np.stack([((c[which] ^ tree) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - TABLE_BITS) for c in contexts])
+    def _slots(contexts, n, node):
+        tree, out = node * np.uint32(0xC2B2AE35), np.empty((len(contexts), len(node)), np.uint32)
+        for slot, c in zip(out, contexts, strict=True):
+            mixed = (tree ^ _ALONE if c is None else tree ^ np.repeat(c, n)) * np.uint32(0x27D4EB2F)
+            np.right_shift(mixed, np.uint32(32 - TABLE_BITS), out=slot)
+        return out
+
+
+#: How sure a stored log-odds is: unseen, weak, strong; by its byte.
+_SURE = np.array([0 if b == 0 else 1 if abs(b if b < 128 else b - 256) < 20 else 2 for b in range(256)], np.uint8)
 
 
 class Mixer:
@@ -160,28 +188,36 @@ class Mixer:
         self.seen = np.zeros((GATES * STEPS, 2))
 
     def inputs(self, tables, slots, kinds):
-        x = np.stack([t.take(s) for t, s in zip(tables, slots, strict=True)]).astype(np.float32)
-        sure = [np.minimum(np.abs(x[k]) / 20.0, 1.0).astype(np.int64) + (x[k] != 0) for k in (1, 2)]
-        return x * np.float32(1 / SCALE), kinds * CONFIDENCE**2 + sure[1] * CONFIDENCE + sure[0]
+        x = np.stack([t.take(s) for t, s in zip(tables, slots, strict=True)])
+        sure = _SURE.take(x[1].view(np.uint8)) + _SURE.take(x[2].view(np.uint8)) * np.uint8(CONFIDENCE)
+        return x, sure.astype(np.int64) + kinds * CONFIDENCE**2
 
     def odds(self, x, gates):
-        w = self.weights.astype(np.float32)
-        z = w[gates, 0] * x[0]
+        w = (self.weights / SCALE).astype(np.float32)
+        z = w[:, 0].take(gates) * x[0]
         for k in range(1, CONTEXTS):
-            z += w[gates, k] * x[k]
-        return np.clip(z, -12, 12)
+            z += w[:, k].take(gates) * x[k]
+        return np.clip(z, -12, 12, out=z)
 
     def probability(self, x, gates):
         """That a bit is 1: half mixed, half from the adaptive map between its two nearest steps."""
         z = self.odds(x, gates)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
         if self.refine is not None:
-            place = np.clip((z + 8) * np.float32((STEPS - 1) / 16), 0, STEPS - 1.001)
-            low = place.astype(np.int64)
-            share = place - low
-            cell = gates * STEPS + low
-            p = (p + self.refine.take(cell) * (1 - share) + self.refine.take(cell + 1) * share) / 2
-        return np.clip(p, 1e-5, 1 - 1e-5)
+            z += 8
+            z *= np.float32((STEPS - 1) / 16)
+            np.clip(z, 0, np.float32(STEPS - 1.001), out=z)
+            low = z.astype(np.int64)
+            z -= low
+            cell = gates * STEPS
+            cell += low
+            below = self.refine.take(cell)
+            below += (self.refine[1:].take(cell) - below) * z
+            p += below
+            p *= np.float32(0.5)
+        return np.clip(p, np.float32(1e-5), np.float32(1 - 1e-5), out=p)
 
     def learn(self, x, gates, bits):
         """One step of an online Newton method for each gate, on the bits as they come."""
@@ -190,7 +226,7 @@ class Mixer:
         error, slope = bits - p, p * (1 - p)
         for g in np.unique(gates).tolist():
             mine = np.flatnonzero(gates == g)
-            v = x[:, mine].astype(np.float64)
+            v = x[:, mine] / SCALE
             self.curvature[g] += (v * slope[mine]) @ v.T
             self.weights[g] += np.linalg.solve(self.curvature[g], v @ error[mine])
             self.count[g] += len(mine)
@@ -248,6 +284,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words that occur so often that at most ``most`` words do: a threshold from the counts of counts."""
+    of_counts = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
+    least, total = None, 0
+    for r in of_counts.toLocalIterator():  # different counts, as many as the square root of the tokens at most
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+
+
 def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
     """Log-odds of every slot from all bits of the texts: added up piece by piece, then CONTEXTS * 2**TABLE_BITS bytes."""
 
@@ -258,10 +306,20 @@ def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
 
         coder, group = _coder(held, key), TaskContext.get().partitionId() // ADDED
         tables = np.zeros((CONTEXTS, 2 << TABLE_BITS), np.uint32)
+        held_back: list[np.ndarray] = []
+
+        def add() -> None:
+            for k, table in enumerate(tables):
+                table += np.bincount(np.concatenate([h[k] for h in held_back]), minlength=len(table)).astype(np.uint32)
+            held_back.clear()
+
         for _, _, texts in _chunks(batches, 0):
             slots, bits, *_ = coder.events(texts)
-            for table, s in zip(tables, slots, strict=True):
-                np.add.at(table, (s << np.uint32(1)) | bits, 1)
+            held_back.append((slots << np.uint32(1)) | bits)
+            if sum(h.shape[1] for h in held_back) >= COUNTED_BITS:
+                add()
+        if held_back:
+            add()
         pack = zstandard.ZstdCompressor(level=1)
         out = [(k, i, group, pack.compress(tables[k, 2 * i * PIECE : 2 * (i + 1) * PIECE].tobytes())) for k in range(CONTEXTS) for i in range((1 << TABLE_BITS) // PIECE)]
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["k", "piece", "part", "counts"])
@@ -337,7 +395,8 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     ends = training.count()
     known, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, different = known + ends, distinct + (ends > 0)
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]  # at most `vocabulary` rows
+    top = [(bytes(r["word"]), r["n"]) for r in frequent(counts, vocabulary).collect()]  # at most `vocabulary` rows
+    top.sort(key=lambda x: (-x[1], x[0]))
     held = spark.sparkContext.broadcast((top, tokens, ends))
     tables = spark.sparkContext.broadcast(gathered_tables(training.where(F.col("fold") != mixer_fold).select("text"), held, key))
     weights, refine = learned_mixer(training.where(F.col("fold") == mixer_fold).select("text"), held, tables, key)
@@ -351,7 +410,8 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         for batch, rows, texts in _chunks(batches, 2):
             slots, bits, kinds, owners, sizes, symbols, rare = coder.events(texts)
             p = mixer.probability(*mixer.inputs(tables.value, slots, kinds))
-            total = np.bincount(owners, np.log10(np.where(bits == 1, p, 1 - p).astype(np.float64)), len(texts))
+            np.subtract(1, p, out=p, where=bits == 0)
+            total = np.bincount(owners, np.log10(p), len(texts))
             doc = np.repeat(np.arange(len(texts)), sizes)
             base = np.bincount(doc, coder.log_counts[symbols], len(texts))
             sure = np.bincount(doc, (symbols != coder.escape) & ((symbols != coder.end) | (ends > 0)), len(texts)).astype(np.int64)
