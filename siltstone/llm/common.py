@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,11 +33,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
-    path = new_folder(df.sparkSession, kind)
+def written(df: DataFrame, kind: str, *, large: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors.
+
+    large: what was shuffled for it is as large as the input; Spark deletes such files once the driver has collected
+    the plan as garbage, so that is asked for.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if large:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

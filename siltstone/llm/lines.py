@@ -36,25 +36,23 @@ def _key(line: Column, length: Column, number: int, start: Column, size: Column)
     return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, (start + 1).cast("int"), size.cast("int")))
 
 
-def _keyed(line: Column, length: Column, number: int, size: Column):
-    return lambda start: _key(line, length, number, start, size)
-
-
 def index_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*(_key(line, length, i, p, x) for i, (p, x) in enumerate(segments(length, edits + 1))))
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of all substrings that may be a segment of an equally long or shorter line (multi-match-aware choice)."""
+    """Keys of all substrings that may be a segment of an equally long or shorter line (multi-match-aware choice).
+
+    A segment's start differs from its own by a number that only the segment and the difference in length bound, so
+    the substrings are written out: 12 for two edits.
+    """
     found = []
     for less in range(edits + 1):
         own = length - less
         for i, (p, x) in enumerate(segments(own, edits + 1)):
-            low = F.greatest(F.lit(0), p - i, p + less - (edits - i))
-            high = F.least(length - x, p + i, p + less + (edits - i))
-            starts = F.when((low <= high) & (own > 0), F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-            found.append(F.transform(starts, _keyed(line, own, i, x)))
-    return F.array_distinct(F.flatten(F.array(*found)))
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                found.append(_key(line, own, i, F.greatest(F.lit(0), p + shift), x))
+    return F.array(*found)
 
 
 def sketch(line: Column) -> Column:
@@ -126,13 +124,13 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """row (hash of id and text), dropped (positions of the lines to go, ascending) for documents with any."""
     lines = _occurrences(docs, id_col, text_col, least_chars)
     different = written(
-        lines.groupBy("h").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumns({"length": F.char_length("line"), "letters": sketch(F.col("line"))}), "lines"
+        lines.groupBy("h").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumns({"length": F.char_length("line"), "letters": sketch(F.col("line"))}), "lines", large=True
     )
     line, length = F.col("line"), F.col("length").cast("int")
     index = different.select("h", "letters", F.explode(index_keys(line, length, edits)).alias("key"))
     probes = different.select(F.col("h").alias("h2"), F.col("letters").alias("letters2"), F.explode(probe_keys(line, length, edits)).alias("key"))
     hits = index.join(probes, (index["key"] == probes["key"]) & (F.col("h") != F.col("h2")) & (sketch_distance(F.col("letters"), F.col("letters2")) <= 2 * edits))
-    pairs = hits.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+    pairs = written(hits.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct(), "pairs", large=True)
     text = different.select("h", "line")
     sided = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     classes = components(sided.where(within(F.col("x"), F.col("y"), edits)).select("a", "b"))
