@@ -175,6 +175,21 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(p.sum(-1), 1, atol=1e-4)
 
 
+def test_thresholds_are_of_the_language_s_own_trusted_documents(spark):
+    random.seed(3)
+    text = lambda letters: " ".join("".join(random.choice(letters) for _ in range(5)) for _ in range(8))
+    rows = [(i, text("abcde"), "en") for i in range(2000)] + [(2000 + i, text("vwxyz"), "xx") for i in range(60)] + [(3000 + i, text("klmno"), "yy") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = quality.judged(docs, labels, trusted_docs=200).collect()  # by hash alone the sample has about six of xx
+    kept = {x: [r["keep"] for r in got if r["lang"] == x] for x in ("en", "xx", "yy")}
+    assert all(kept["yy"]) and sum(kept["xx"]) >= 59 and sum(kept["en"]) >= 1985
+    of_lang = {r["lang"]: r["threshold"] for r in got}
+    bits = np.log2([r["perplexity"] for r in got if r["lang"] == "xx"])
+    assert of_lang["yy"] == float("inf") and abs(np.log2(of_lang["xx"]) - np.quantile(bits, 0.995)) <= 2e-4
+    assert quality.quota([2000, 60, 10], 200) == 130 and quality.quota([5, 3], 200) == 5 and quality.quota([], 9) == 1
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     files = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/COPYING", "Licensed under the Apache License, Version 2.0"), (4, "a/b/c/d/y.py", "code"),
