@@ -3,7 +3,9 @@
 A vector of unit length is cut into pairs of components; each pair is one of 16 codewords, so four bits. Codewords and
 codes minimise a loss in which the residual's part along the vector weighs more than the part across it, as only the
 former moves the large inner products. A search adds table entries for the codes (two codes of four bits to a byte),
-takes the best of each chunk and reranks them by their exact cosine on the original vectors.
+takes the best of each chunk and reranks them by their exact cosine on the original vectors; then it reranks every other
+vector whose code doesn't rule it out, so the result is exact. A code rules a vector out by angles: the query is no
+nearer to the vector than to what the code stands for, less the angle between the two, which is kept beside the code.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ FIT_VECTORS = 6_000
 #: The cosine above which scores are to be exact; sets the weight of the residual along the vector.
 TARGET = 0.2
 CODES = 16
-#: Chunks at least, vectors in a chunk and queries in a block at most on average, and candidates reranked of each chunk.
+#: Chunks at least, vectors in a chunk and queries in a block at most on average, and candidates of each chunk reranked first.
 LEAST_CHUNKS, CHUNK_VECTORS, BLOCK_QUERIES, RERANK = 64, 8192, 512, 32
+#: What a bound is raised by for rounding (scans add single-precision numbers).
+SLACK = 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -94,9 +98,12 @@ class Quantiser:
         used = np.bincount((first[:, :] // 2).ravel(), minlength=self.pairs * CODES).reshape(self.pairs, CODES) > 0
         self.words = np.where(used[:, :, None], solved, self.words)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for, without the zero beside an odd last component."""
+        return self.words[np.arange(self.pairs), codes].reshape(len(codes), -1)[:, : self.dim]
+
+    def packed(self, codes: np.ndarray) -> np.ndarray:
         """Two codes to a byte, one row for each pair of codes."""
-        codes = self.encode(x)
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return np.ascontiguousarray((codes[:, ::2] * CODES + codes[:, 1::2]).T)
@@ -117,6 +124,21 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return total
 
 
+class Bounds:
+    """The largest cosine that a query can have with each vector, from what the vectors' codes stand for."""
+
+    def __init__(self, x: np.ndarray, decoded: np.ndarray):
+        self.length = np.linalg.norm(decoded, axis=1)
+        # A code that stands for nothing rules nothing out: cosine -1 is an angle of half a turn.
+        self.cos = np.where(self.length > 0, np.clip((x * decoded).sum(1) / np.where(self.length > 0, self.length, 1), -1, 1), -1)
+        self.sin = np.sqrt(1 - self.cos**2)
+
+    def of(self, rough: np.ndarray) -> np.ndarray:
+        """``rough``: the query's inner products with what the codes stand for."""
+        a = np.clip(rough / np.where(self.length > 0, self.length, 1), -1, 1)
+        return np.where(a >= self.cos, 1.0, a * self.cos + np.sqrt(1 - a**2) * self.sin) + SLACK
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v of the rows that take part: not null, no null or non-finite component, not zero, of the most common length."""
     v = F.col("v")
@@ -134,7 +156,8 @@ def nearest(
     ``is_query``: a condition on the column ``id``. Rows whose vector is null, zero, of another length than most, or
     holds null or non-finite components take no part, neither do rows of a null id. Equal vectors are searched as one,
     with its k + 1 smallest ids; ties go to the smaller id. Repeated rows of an id and a vector ask once,
-    and a query doesn't find its own id. Fewer candidates than ``k`` give them all; an empty table gives no row.
+    and a query doesn't find its own id. ``rerank`` vectors of each chunk are scored first; it changes the time and not
+    the result. Fewer candidates than ``k`` give them all; an empty table gives no row.
     """
     spark = vectors.sparkSession
     # One row for each different vector; first by a salt of the id, as one vector may fill a third of the table.
@@ -152,6 +175,13 @@ def nearest(
     left = different.withColumns({"chunk": F.pmod(F.xxhash64("v"), F.lit(chunks)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     right = queries.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))})
 
+    def best(rows, scores, ids, query_id):
+        """(-score, id) of the k best; only vectors as good as the best k + 1, with all ties, are looked at."""
+        if len(scores) > k + 1:
+            keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
+            rows, scores = rows[keep], scores[keep]
+        return sorted((-s, i) for s, j in zip(scores.tolist(), rows.tolist(), strict=True) for i in ids[j] if i != query_id)[:k]
+
     def search(data, asked):
         import pandas as pd
 
@@ -159,11 +189,17 @@ def nearest(
         if len(data) and len(asked):
             x, q = np.array(data["v"].tolist()), np.array(asked["v"].tolist())
             ux, uq, ids = unit(x), unit(q), data["ids"].tolist()
-            codes = quantiser.value.packed(ux)
+            plain = quantiser.value.encode(ux)
+            codes, bounds = quantiser.value.packed(plain), Bounds(ux, quantiser.value.decode(plain))
             for query_id, vector in zip(asked["id"].tolist(), uq, strict=True):
                 rough = scan(quantiser.value.tables(vector), codes)
-                take = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
-                found = sorted((-s, i) for s, j in zip((ux[take] @ vector).tolist(), take.tolist(), strict=True) for i in ids[j] if i != query_id)[:k]
+                most = max(rerank, k + 1)
+                first = np.argpartition(-rough, most)[:most] if len(rough) > most else np.arange(len(rough))
+                # The k-th best so far; k + 1 vectors hold k ids besides the query's own.
+                found = best(first, ux[first] @ vector, ids, query_id)
+                if len(first) < len(rough):
+                    take = np.flatnonzero(bounds.of(rough) >= -found[-1][0])
+                    found = best(take, ux[take] @ vector, ids, query_id)
                 out += [(query_id, i, -s) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

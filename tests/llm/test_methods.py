@@ -85,6 +85,20 @@ def test_recall_of_the_search(spark):
     assert len(got) == 30 and hits >= 0.9 * 150
 
 
+def test_search_is_exact_in_full_chunks_with_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_CHUNKS", 1)  # as on large tables: chunks are full
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(ann.CHUNK_VECTORS, 16))
+    near = np.arange(0, len(v), 3)  # a third are near copies; codes don't tell them apart
+    v[near] = v[0] + 1e-3 * rng.normal(size=(len(near), 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, is_query=F.col("id") % 400 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {i: [j for j in np.argsort(-(u @ u[i]), kind="stable").tolist() if j != i][:5] for i in range(0, len(v), 400)}
+
+
 def test_anisotropic_codes_lower_the_error_along_the_vector():
     x = ann.unit(np.random.default_rng(1).normal(size=(500, 64)))
     q = ann.Quantiser(64).fit(x, rounds=1)
