@@ -4,8 +4,9 @@ Different lines within an edit distance of ``edits`` are found by pigeonhole: a
 segments, and a line within that distance holds one of them unchanged, at a place that the lengths bound. Segments are
 indexed under (line length, number, content); a line probes the index of its own and the next shorter lengths. A hit
 counts if the letter counts of the two lines allow the distance; it is then verified by a bit-parallel edit distance
-over the band of ``2 * edits + 1`` diagonals. Linked lines are one class, equal lines always; the first line of a class
-stays and the others go.
+over the band of ``2 * edits + 1`` diagonals. Short lines are held to fewer edits, and very short ones to none: two edits
+make another word of a short one. Linked lines are one class, equal lines of any length always; the first line of a
+class stays and the others go. Blank lines stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import written
 from siltstone.llm.graph import components
 
-#: Edits within which lines are copies, and characters of the shortest line that is looked at.
+#: Edits within which lines are copies, and characters of the shortest line for which all of them count.
 EDITS, LEAST_CHARS = 2, 20
 #: Letters whose counts (modulo 16) go with a line; an edit changes two of them by one at most.
 SKETCHED = "etaonirsldhcumwf"
@@ -114,26 +115,44 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(n - m) <= edits) & (F.aggregate(steps, start, step).dist <= edits)
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
-    """row, id, pos, h, line of every line that is long enough; equal rows are one row."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, pos, h, line of every line that isn't blank; equal rows are one row."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return rows.where(F.char_length("line") >= least_chars).withColumn("h", F.xxhash64("line"))
+    return rows.where(F.col("line").rlike("\\S")).withColumn("h", F.xxhash64("line"))
+
+
+def allowed(length: Column, edits: int, least_chars: int) -> Column:
+    """Edits for a line: all from ``least_chars`` characters on, fewer for shorter ones in proportion."""
+    return F.least(F.lit(edits), F.floor(length * edits / least_chars)).cast("int") if least_chars > 0 else F.lit(edits)
+
+
+def _candidates(different: DataFrame, edits: int, longest: Column) -> DataFrame:
+    """a, b, edits: pairs of lines that share a segment and whose letters allow the distance; ``longest`` lines only probe."""
+    line, length = F.col("line"), F.col("length").cast("int")
+    index = different.where(F.col("allowed") == edits).select("h", "letters", F.explode(index_keys(line, length, edits)).alias("key"))
+    probes = different.where((F.col("allowed") == edits) | longest).select(F.col("h").alias("h2"), F.col("letters").alias("letters2"), F.explode(probe_keys(line, length, edits)).alias("key"))
+    hits = index.join(probes, (index["key"] == probes["key"]) & (F.col("h") != F.col("h2")) & (sketch_distance(F.col("letters"), F.col("letters2")) <= 2 * edits))
+    return hits.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.lit(edits).alias("edits")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """row (hash of id and text), dropped (positions of the lines to go, ascending) for documents with any."""
-    lines = _occurrences(docs, id_col, text_col, least_chars)
+    lines = _occurrences(docs, id_col, text_col)
     different = written(
         lines.groupBy("h").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumns({"length": F.char_length("line"), "letters": sketch(F.col("line"))}), "lines", large=True
-    )
-    line, length = F.col("line"), F.col("length").cast("int")
-    index = different.select("h", "letters", F.explode(index_keys(line, length, edits)).alias("key"))
-    probes = different.select(F.col("h").alias("h2"), F.col("letters").alias("letters2"), F.explode(probe_keys(line, length, edits)).alias("key"))
-    hits = index.join(probes, (index["key"] == probes["key"]) & (F.col("h") != F.col("h2")) & (sketch_distance(F.col("letters"), F.col("letters2")) <= 2 * edits))
-    pairs = written(hits.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct(), "pairs", large=True)
+    ).withColumn("allowed", allowed(F.col("length"), edits, least_chars))
+    # The shorter line of a pair sets the edits; a longer line that is allowed more only probes the shorter one's index.
+    candidates = None
+    for e in range(1, edits + 1):
+        found = _candidates(different, e, (F.col("allowed") > e) & (allowed(F.col("length") - e, edits, least_chars) <= e))
+        candidates = found if candidates is None else candidates.unionByName(found)
+    pairs = written(candidates if candidates is not None else different.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("edits")).limit(0), "pairs", large=True)
     text = different.select("h", "line")
     sided = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    classes = components(sided.where(within(F.col("x"), F.col("y"), edits)).select("a", "b"))
+    near = F.lit(False)
+    for e in range(1, edits + 1):
+        near = near | ((F.col("edits") == e) & within(F.col("x"), F.col("y"), e))
+    classes = components(sided.where(near).select("a", "b"))
 
     several = different.select("h", "first", "n").join(classes, F.col("h") == F.col("node"), "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "h"))
     firsts = several.groupBy("class").agg(F.min("first").alias("kept"))
@@ -145,7 +164,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines gone that copy an earlier line, and ``__lines``, ``__dropped`` (positions).
 
-    A line is what line feeds part; one of fewer than ``least_chars`` characters is left alone. The earlier line is
+    A line is what line feeds part. One of fewer than ``least_chars`` characters is held to fewer edits in proportion (by
+    default one from 10 characters, none below), the shorter of two lines counting; blank ones stay. The earlier line is
     that of the smaller id (null first), then of the smaller hash of id and text, then higher up. Null and empty texts
     stay as they are. Rows equal in id and text are treated alike, as one document. Other columns go through.
     """

@@ -156,6 +156,13 @@ def test_lines_against_all_pairs(spark):
     assert {r["doc_id"]: r["__dropped"] or [] for r in lines.deduplicated(docs).collect()} == want
 
 
+def test_short_lines_that_repeat_go_and_blank_ones_stay(spark):
+    docs = ["Les.\n\nErheed. Titionly.\nx", "Les.\n\nErheed. Titionly!\nx", "Des.\n \nErheid. Titionly!\ny\nx", " \nA line of 19 letters\nA line of 19 letter", "A line of 1O letters.\nMes."]
+    got = {r["doc_id"]: r["__dropped"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    # 2's third line is two edits from 0's and one from 1's; 4's first line is two edits from 3's of 20 characters.
+    assert got == {0: None, 1: [0, 2, 3], 2: [2, 4], 3: [2], 4: [0]}
+
+
 def test_groups_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)  # connected sets of several blocks
     random.seed(9)
