@@ -2,16 +2,22 @@
 
 Different lines within an edit distance of ``edits`` are found by pigeonhole: a line is split into ``edits`` + 1
 segments, and a line within that distance holds one of them unchanged, at a place that the lengths bound. Segments are
-indexed under (line length, number, content); a line probes the index of its own and the next shorter lengths. A hit
-counts if the letter counts of the two lines allow the distance; it is then verified by a bit-parallel edit distance
-over the band of ``2 * edits + 1`` diagonals. Short lines are held to fewer edits, and very short ones to none: two edits
-make another word of a short one. Linked lines are one class, equal lines of any length always; the first line of a
-class stays and the others go. Blank lines stay.
+indexed under (line length, number, content); a line probes the index of its own and the next shorter lengths. What two
+different lines share is verified by a bit-parallel edit distance over the band of ``2 * edits + 1`` diagonals. Short
+lines are held to fewer edits, and very short ones to none: two edits make another word of a short one. Linked lines are
+one class, equal lines of any length always; the first line of a class stays and the others go. Blank lines stay.
+
+Texts are never shuffled to find candidates: keys are made where the documents are read, and only hashes move. A segment
+that many lines share (a template, a byline) isn't used as it is: the edits left for what stands before or behind it
+are known, so that part is split again, and its segments are keys together with the shared one. This goes on as long as
+a key is shared by many lines and something is left to split, so it loses nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import written
@@ -19,41 +25,39 @@ from siltstone.llm.graph import components
 
 #: Edits within which lines are copies, and characters of the shortest line for which all of them count.
 EDITS, LEAST_CHARS = 2, 20
-#: Letters whose counts (modulo 16) go with a line; an edit changes two of them by one at most.
+#: A line is very common from so many occurrences on, or one of so many parts of all lines if that is more.
+COMMON, COMMON_PARTS = 1_000, 100_000
+#: One of so many lines shows which keys are shared by many; a key is if so many of them index it.
+SHOWN, SHARED = 8, 24
+#: Times that a shared key is split further.
+LEVELS = 8
+#: Rows up to which a set of hashes is sent to all executors; a larger one is joined by key.
+BROADCAST_ROWS = 500_000
+#: Letters whose counts (modulo 16) are held against each other before a pair is verified; an edit changes two by one at most.
 SKETCHED = "etaonirsldhcumwf"
+#: What a row of a key is: of a line that probes a shorter length, that probes its own, or that is indexed (and probes).
+SHORTER, OWN, INDEXED = 0, 1, 2
 
 
 def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
     """Start (from 0) and length of each segment: nearly equal, the longer ones last."""
-    out, short = [], F.floor(length / parts)
-    longer = length % parts
-    for i in range(parts):
-        own = short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        out.append((i * short + F.greatest(F.lit(0), i - (parts - longer)), own))
-    return out
+    short, longer = F.call_function("div", length, F.lit(parts)).cast("int"), length % parts
+    return [(F.lit(i) * short + F.greatest(F.lit(0), i - (parts - longer)), short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)) for i in range(parts)]
 
 
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+def shifts(i: int, less: int, edits: int) -> range:
+    """By how much the start of segment ``i`` may differ in a text that is ``less`` longer."""
+    return range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(_key(line, length, i, p, x) for i, (p, x) in enumerate(segments(length, edits + 1))))
+def paths(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift) of each key of a line; those with 0 and 0 are indexed too."""
+    return [(less, i, s) for less in range(edits + 1) for i in range(edits + 1) for s in shifts(i, less, edits)]
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of all substrings that may be a segment of an equally long or shorter line (multi-match-aware choice).
-
-    A segment's start differs from its own by a number that only the segment and the difference in length bound, so
-    the substrings are written out: 12 for two edits.
-    """
-    found = []
-    for less in range(edits + 1):
-        own = length - less
-        for i, (p, x) in enumerate(segments(own, edits + 1)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                found.append(_key(line, own, i, F.greatest(F.lit(0), p + shift), x))
-    return F.array(*found)
+def allowed(length: Column, edits: int, least_chars: int) -> Column:
+    """Edits for a line: all from ``least_chars`` characters on, fewer for shorter ones in proportion."""
+    return F.least(F.lit(edits), F.floor(length * edits / least_chars)).cast("int") if least_chars > 0 else F.lit(edits)
 
 
 def sketch(line: Column) -> Column:
@@ -73,104 +77,277 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` edits: bit-parallel over the band, a step for each character of ``b``.
+def _named(fields: dict[str, Column], then) -> Column:
+    """``then`` of a struct of the fields, each worked out once."""
+    return F.element_at(F.transform(F.array(F.struct(*(c.alias(k) for k, c in fields.items()))), then), 1)
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Characters that two strings have in common at the front: by halving steps, so each step compares what the last left open."""
+    least = F.least(F.char_length(a), F.char_length(b))
+    steps = F.transform(F.sequence(F.ceil(F.log2(least + 1.0)).cast("int"), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= least) & (F.substring(a, at + 1, s) == F.substring(b, at + 1, s)), at + s).otherwise(at))
+
+
+def _after(text: Column, at: Column) -> Column:
+    return F.substring(text, at + 1, F.char_length(text))
+
+
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two strings if it is at most ``edits``, else a larger number.
 
-    Bit i of a state stands for row (column - edits + i). The distance is followed down the lowest diagonal of the band
-    to the last row, and along that row from there on.
+    Equal ends are cut off first. Then bit-parallel over the band, a step for each character of ``b``: bit i of a state
+    stands for row (column - edits + i). The distance is followed down the lowest diagonal of the band to the last row,
+    and along that row from there on.
     """
+
+    def tails(v):
+        return _named({"a": v.a, "b": v.b, "p": shared_prefix(v.a, v.b)}, lambda w: F.struct(F.reverse(_after(w.a, w.p)).alias("a"), F.reverse(_after(w.b, w.p)).alias("b")))
+
+    too_far = F.abs(F.char_length(a) - F.char_length(b)) > edits
+    return F.when(too_far, F.lit(edits + 1)).otherwise(_named({"t": _named({"t": _named({"a": a, "b": b}, tails)}, lambda r: tails(r.t))}, lambda r: _band(r.t.a, r.t.b, edits)))
+
+
+def _band(a: Column, b: Column, edits: int) -> Column:
     band = 2 * edits + 1
     full = (1 << band) - 1
-    n, m = F.char_length(a), F.char_length(b)
-    x, y = F.split(a, ""), F.split(b, "")
     inside = lambda c: c.bitwiseAND(F.lit(full).cast("long"))
     inverted = lambda c: inside(F.bitwise_not(c))
 
-    def step(s: Column, j: Column) -> Column:
-        match = F.lit(0).cast("long")
-        for i in range(band):
-            at = j - edits + i
-            same = F.when((at >= 0) & (at < n) & (F.get(x, at) == F.get(y, j)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-            match = match.bitwiseOR(same)
-        with_match = F.named_struct(F.lit("m"), match, F.lit("s"), s)
-        return F.element_at(F.transform(F.array(with_match), lambda w: _advance(w.m, w.s, j)), 1)
-
-    def _advance(match: Column, s: Column, j: Column) -> Column:
-        vp, vn = s.vp, s.vn
-        d0 = inside(((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn))
-        with_d0 = F.named_struct(F.lit("d0"), d0, F.lit("hp"), vn.bitwiseOR(inverted(d0.bitwiseOR(vp))), F.lit("hn"), d0.bitwiseAND(vp))
-        return F.element_at(F.transform(F.array(with_d0), lambda t: _settled(t.d0, t.hp, t.hn, s, j)), 1)
-
-    def _settled(d0: Column, hp: Column, hn: Column, s: Column, j: Column) -> Column:
-        # Down the diagonal while row column + edits is inside, then along the last row, one bit lower each column.
-        bit = F.lit(2 * edits) - F.greatest(F.lit(0), j + edits + 1 - n)
-        one = lambda c: F.when(bit >= 0, F.call_function("shiftright", c, F.greatest(bit, F.lit(0)).cast("int")).bitwiseAND(1)).otherwise(0).cast("int")
-        down = s.dist + 1 - F.shiftright(d0, 2 * edits).bitwiseAND(1).cast("int")
-        along = s.dist + one(hp) - one(hn)
-        half = F.shiftright(d0, 1)
-        return F.named_struct(F.lit("vp"), hn.bitwiseOR(inverted(half.bitwiseOR(hp))), F.lit("vn"), half.bitwiseAND(hp), F.lit("dist"), F.when(j + edits < n, down).otherwise(along))
-
-    start = F.named_struct(F.lit("vp"), F.lit(((1 << (edits + 1)) - 1) << edits).cast("long"), F.lit("vn"), F.lit(0).cast("long"), F.lit("dist"), F.least(F.lit(edits), n).cast("int"))
-    steps = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return (F.abs(n - m) <= edits) & (F.aggregate(steps, start, step).dist <= edits)
-
-
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, pos, h, line of every line that isn't blank; equal rows are one row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("line").rlike("\\S")).withColumn("h", F.xxhash64("line"))
-
+    def fold(w):
+        def step(s: Column, j: Column) -> Column:
+            match = reduce(lambda m, i: m.bitwiseOR(F.when(F.get(w.x, j - edits + i) == F.get(w.y, j), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")), range(band), F.lit(0).cast("long"))
+            return _named({"m": match}, lambda t: _advance(t.m, s, j))
+
+        def _advance(match: Column, s: Column, j: Column) -> Column:
+            vp, vn = s.vp, s.vn
+            d0 = inside(((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn))
+            return _named({"d0": d0}, lambda t: _named({"d0": t.d0, "hp": vn.bitwiseOR(inverted(t.d0.bitwiseOR(vp))), "hn": t.d0.bitwiseAND(vp)}, lambda u: _settled(u.d0, u.hp, u.hn, s, j)))
+
+        def _settled(d0: Column, hp: Column, hn: Column, s: Column, j: Column) -> Column:
+            # Down the diagonal while row column + edits is inside, then along the last row, one bit lower each column.
+            bit = F.lit(2 * edits) - F.greatest(F.lit(0), j + edits + 1 - w.n)
+            one = lambda c: F.when(bit >= 0, F.call_function("shiftright", c, F.greatest(bit, F.lit(0)).cast("int")).bitwiseAND(1)).otherwise(0).cast("int")
+            down = s.dist + 1 - F.shiftright(d0, 2 * edits).bitwiseAND(1).cast("int")
+            along = s.dist + one(hp) - one(hn)
+            half = F.shiftright(d0, 1)
+            return F.struct(hn.bitwiseOR(inverted(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), F.when(j + edits < w.n, down).otherwise(along).alias("dist"))
+
+        # Values grow down a diagonal and fall by one a column along the last row, over as many columns as the band has beside it.
+        live = lambda s, j: F.when(s.dist > 3 * edits, s).otherwise(step(s, j))
+        start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(edits), w.n).cast("int").alias("dist"))
+        return F.aggregate(F.sequence(F.lit(0), w.m - 1), start, live, lambda s: s.dist)
 
-def allowed(length: Column, edits: int, least_chars: int) -> Column:
-    """Edits for a line: all from ``least_chars`` characters on, fewer for shorter ones in proportion."""
-    return F.least(F.lit(edits), F.floor(length * edits / least_chars)).cast("int") if least_chars > 0 else F.lit(edits)
+    n, m = F.char_length(a), F.char_length(b)
+    either_empty = (n == 0) | (m == 0)
+    return F.when(either_empty, F.greatest(n, m)).otherwise(_named({"x": F.split(a, ""), "y": F.split(b, ""), "n": n, "m": m}, fold))
 
 
-def _candidates(different: DataFrame, edits: int, longest: Column) -> DataFrame:
-    """a, b, edits: pairs of lines that share a segment and whose letters allow the distance; ``longest`` lines only probe."""
-    line, length = F.col("line"), F.col("length").cast("int")
-    index = different.where(F.col("allowed") == edits).select("h", "letters", F.explode(index_keys(line, length, edits)).alias("key"))
-    probes = different.where((F.col("allowed") == edits) | longest).select(F.col("h").alias("h2"), F.col("letters").alias("letters2"), F.explode(probe_keys(line, length, edits)).alias("key"))
-    hits = index.join(probes, (index["key"] == probes["key"]) & (F.col("h") != F.col("h2")) & (sketch_distance(F.col("letters"), F.col("letters2")) <= 2 * edits))
-    return hits.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.lit(edits).alias("edits")).distinct()
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are within ``edits`` edits."""
+    return banded_distance(a, b, edits) <= edits
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row, row2 (128 bits of id and text), pos, line, h, g (128 bits of the line) of every line that isn't blank."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.xxhash64(F.lit(1), id_col, text_col).alias("row2"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    return rows.where(F.col("line").rlike("\\S")).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line"), "length": F.char_length("line")})
+
+
+def _sent(hashes: DataFrame, rows: int) -> DataFrame:
+    """A set of hashes for a join: to all executors if its counted size allows."""
+    return F.broadcast(hashes) if rows <= BROADCAST_ROWS else hashes
+
+
+class _Keys:
+    """The keys of lines, level after level; what is shared by many at one level is split at the next."""
+
+    def __init__(self, edits: int, least_chars: int):
+        self.edits, self.least_chars, self.shared = edits, least_chars, []
+
+    def _paths(self, own: int) -> list[tuple[int, int, int, int]]:
+        """(edits, less, segment, shift) of the keys of a line that is allowed ``own`` edits; the shorter line of a pair sets its edits."""
+        return [(own, *p) for p in paths(own)] + [(e, *p) for e in range(1, own) for p in paths(e) if p[0] > 0]
+
+    def _first(self, lines: DataFrame) -> DataFrame:
+        """line, h, length, key, path (100 times the line's edits and a place in ``_paths``): the keys of the first level."""
+        line, length = F.col("line"), F.col("length")
+        own = allowed(length, self.edits, self.least_chars)
+        cuts = {(e, less): segments(length - less, e + 1) for e in range(1, self.edits + 1) for less in range(e + 1)}
+        placed = {f"{name}_{e}_{less}_{i}": c for (e, less), own_cuts in cuts.items() for i, cut in enumerate(own_cuts) for name, c in zip("px", cut, strict=True)}
+
+        def key(e, less, i, shift):
+            start, size = F.col(f"p_{e}_{less}_{i}"), F.col(f"x_{e}_{less}_{i}")
+            at = start + (shift + 1) if shift >= 0 else F.greatest(F.lit(1), start + (shift + 1))
+            return F.xxhash64(length - less, F.lit(i), F.substring(line, at, size))
+
+        # A longer line that is allowed more than the shorter one only probes its index.
+        longer = lambda e, p: F.when(allowed(length - p[1], self.edits, self.least_chars) == p[0], key(*p)) if p[0] < e else key(*p)
+        sets = F.lit(None)
+        for e in range(1, self.edits + 1):
+            mine = [longer(e, p) for p in self._paths(e)]
+            most = len(paths(e))
+            some = F.when(allowed(length - e, self.edits, self.least_chars) < e, F.array(*mine)).otherwise(F.array(*mine[:most])) if len(mine) > most else F.array(*mine)
+            sets = F.when(own == e, some).otherwise(sets)
+        keys = lines.select("line", "h", "length", (100 * own).cast("int").alias("base"), *(c.cast("int").alias(k) for k, c in placed.items())).select("line", "h", "length", "base", F.posexplode(sets).alias("pos", "key"))
+        return keys.where("key is not null").select("line", "h", "length", "key", (F.col("base") + F.col("pos")).alias("path"))
+
+    def _table(self, value) -> Column:
+        """A number for each path, by a small literal array."""
+        out = F.lit(None)
+        for e in range(1, self.edits + 1):
+            out = F.when(F.col("path") >= 100 * e, F.get(F.array(*(F.lit(value(*p)) for p in self._paths(e))), F.col("path") - 100 * e)).otherwise(out)
+        return out
+
+    def _kind(self) -> Column:
+        return self._table(lambda e, less, i, s: SHORTER if less else INDEXED if s == 0 else OWN)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows of the first level with where their segment stands: segment i at p of x characters, in an indexed text of n."""
+        number = lambda value: self._table(value).cast("int")
+        less, i, n = number(lambda e, less, i, s: less), F.col("i"), F.col("n")
+        parts = F.col("budget") + 1
+        short, longer = F.floor(n / parts).cast("int"), n % parts
+        rows = rows.withColumns({"budget": number(lambda e, less, i, s: e), "n": F.col("length") - less, "i": number(lambda e, less, i, s: i), "shift": number(lambda e, less, i, s: s), "start": F.lit(0), "size": F.col("length")})
+        return rows.withColumns({"p": (i * short + F.greatest(F.lit(0), i - (parts - longer))).cast("int"), "x": (short + F.when(i >= parts - longer, 1).otherwise(0)).cast("int")})
+
+    @staticmethod
+    def _split(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+        """Rows with the keys that are among ``hashes`` split: the longer part beside the segment, or what has edits left.
+
+        What is too short to be split stays under the key that it has, as do all other rows (i is -1 then).
+        """
+        i, p, x, n, shift, budget, start, size = (F.col(c) for c in ("i", "p", "x", "n", "shift", "budget", "start", "size"))
+        marked = rows.join(hashes.withColumn("many", F.lit(True)), "key", "left")
+        behind, at = (i == 0) | ((i < budget) & (n - p - x >= p)), F.greatest(F.lit(0), p + shift)
+        marked = marked.select(
+            "line", "h", "key", "kind", "many",
+            F.when(behind, start + at + x).otherwise(start).cast("int").alias("start"), F.when(behind, size - at - x).otherwise(at).cast("int").alias("size"),
+            F.when(behind, size - at - (n - p)).otherwise(at - p).cast("int").alias("more"), F.when(behind, budget - i).otherwise(i).cast("int").alias("budget"),
+        ).withColumn("n", F.col("size") - F.col("more"))
+        more, parts = F.col("more"), budget + 1
+        short, longer = F.floor(n / parts).cast("int"), n % parts
+
+        def place(i, s, p, x):
+            return F.struct(i.cast("int").alias("i"), s.cast("int").alias("shift"), p.cast("int").alias("p"), x.cast("int").alias("x"))
+
+        def of_segment(i):
+            low, high = F.greatest(-i, more - (budget - i)), F.least(i, more + budget - i)
+            spread = F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+            return F.transform(spread, lambda s: place(i, s, i * short + F.greatest(F.lit(0), i - (parts - longer)), short + F.when(i >= parts - longer, 1).otherwise(0)))
+
+        places = F.flatten(F.transform(F.sequence(F.lit(0), budget), of_segment))
+        stays = F.array(place(*map(F.lit, (-1, 0, 0, 0))))
+        out = marked.withColumn("y", F.explode(F.when(F.col("many") & (n > budget), places).otherwise(stays))).select("line", "h", "key", "kind", "start", "size", "budget", "n", "y.*")
+        inner = F.substring(F.col("line"), start + F.greatest(F.lit(0), p + shift) + 1, x)
+        return out.withColumns({
+            "key": F.when(i >= 0, F.xxhash64("key", "n", "i", inner)).otherwise(F.col("key")),
+            "kind": F.when((F.col("kind") == INDEXED) & (shift != 0), OWN).otherwise(F.col("kind")),
+        })
+
+    def rows(self, lines: DataFrame) -> DataFrame:
+        """key, h, kind of all lines, and i: not negative where the last level has split a key."""
+        level = self._first(lines).withColumn("kind", self._kind())
+        if not self.shared:
+            return level.select("key", "h", "kind", F.lit(0).alias("i"))
+        level = self._placed(level)
+        for hashes, n in self.shared:
+            level = self._split(level, _sent(hashes, n))
+        return level.select("key", "h", "kind", "i")
+
+    def settle(self, lines: DataFrame) -> DataFrame:
+        """key, h, kind of all lines, after finding which keys are shared by many lines, level by level."""
+        shown = lines.where(F.pmod(F.shiftright("h", 20), F.lit(SHOWN)) == 0)
+        for _ in range(LEVELS):
+            many = written(self.rows(shown).where((F.col("kind") == INDEXED) & (F.col("i") >= 0)).select("key", "h").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key"), "shared-keys")
+            n = many.count()
+            if not n:
+                break
+            self.shared.append((many, n))
+        return self.rows(lines).drop("i")
+
+
+def _common(firsts: DataFrame, lines: int) -> tuple[DataFrame, int]:
+    """Lines so common that there are at most COMMON_PARTS of them, or lines / COMMON."""
+    out = written(firsts.where(F.col("n") > max(COMMON, lines // COMMON_PARTS)), "common")
+    return out, out.count()
+
+
+def candidates(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
+    """a, b: (62-bit hashes of) different lines that share a key; a is the shorter one, or one of equal length."""
+    # A very common line gives its keys where it stands first, any other at each place; equal rows of a key count once.
+    kept = F.struct("row", "row2", "pos")
+    lines = docs_lines.join(F.broadcast(common.select("h", "g", "first")), ["h", "g"], "left").where(F.col("first").isNull() | (kept == F.col("first.at"))).select("line", "h", "length")
+    keys = _Keys(edits, least_chars).settle(lines.where(allowed(F.col("length"), edits, least_chars) > 0))
+    rows = keys.select("key", F.col("h").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("kind").cast("long")).alias("m"))
+    line = F.shiftrightunsigned("m", 2)
+    of_key = Window.partitionBy("key")
+    several = rows.withColumns({"low": F.min(line).over(of_key), "high": F.max(line).over(of_key)}).where("low <> high").select("key", "m").distinct()
+    several = written(several, "keys").withColumns({"line": line, "kind": F.col("m").bitwiseAND(3)})
+    left, right = several.where(F.col("kind") == INDEXED).select("key", F.col("line").alias("a")), several.select("key", F.col("line").alias("b"), "kind")
+    return left.join(right, "key").where((F.col("a") < F.col("b")) | ((F.col("kind") == SHORTER) & (F.col("a") != F.col("b")))).select("a", "b").distinct()
+
+
+def line_links(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
+    """x, y: nodes (hexadecimal 128-bit hashes) of different lines within the edits that the shorter one is allowed."""
+    pairs = written(candidates(docs_lines, common, edits=edits, least_chars=least_chars), "pairs")
+    sides = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "sides")
+    # Equal lines are one row here; of a very common one every task sends one.
+    mine = docs_lines.withColumn("c", F.shiftrightunsigned("h", 2)).join(_sent(sides, sides.count()), "c", "left_semi")
+    texts = written(mine.groupBy("c", "h", "g").agg(F.first("line").alias("line"), F.first("length").alias("length")).select("c", _node().alias("node"), "line", "length", sketch(F.col("line")).alias("letters")), "texts")
+    one = lambda side, name: texts.select(F.col("c").alias(side), *(F.col(x).alias(f"{name}_{x}") for x in ("node", "line", "length", "letters")))
+    e = F.least(allowed(F.col("x_length"), edits, least_chars), allowed(F.col("y_length"), edits, least_chars))
+    met = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where((F.col("x_node") != F.col("y_node")) & (F.abs(F.col("x_length") - F.col("y_length")) <= e) & (sketch_distance(F.col("x_letters"), F.col("y_letters")) <= 2 * e))
+    return written(met.where(banded_distance(F.col("x_line"), F.col("y_line"), edits) <= e).select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")), "links")
+
+
+def _node() -> Column:
+    return F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("g"), 16, "0"))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """row (hash of id and text), dropped (positions of the lines to go, ascending) for documents with any."""
-    lines = _occurrences(docs, id_col, text_col)
-    different = written(
-        lines.groupBy("h").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumns({"length": F.char_length("line"), "letters": sketch(F.col("line"))}), "lines", large=True
-    ).withColumn("allowed", allowed(F.col("length"), edits, least_chars))
-    # The shorter line of a pair sets the edits; a longer line that is allowed more only probes the shorter one's index.
-    candidates = None
-    for e in range(1, edits + 1):
-        found = _candidates(different, e, (F.col("allowed") > e) & (allowed(F.col("length") - e, edits, least_chars) <= e))
-        candidates = found if candidates is None else candidates.unionByName(found)
-    pairs = written(candidates if candidates is not None else different.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("edits")).limit(0), "pairs", large=True)
-    text = different.select("h", "line")
-    sided = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    near = F.lit(False)
-    for e in range(1, edits + 1):
-        near = near | ((F.col("edits") == e) & within(F.col("x"), F.col("y"), e))
-    classes = components(sided.where(near).select("a", "b"))
-
-    several = different.select("h", "first", "n").join(classes, F.col("h") == F.col("node"), "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "h"))
-    firsts = several.groupBy("class").agg(F.min("first").alias("kept"))
-    of_line = several.join(firsts, "class").select("h", "kept")
-    gone = lines.select("id", "row", "pos", "h").join(of_line, "h").where((F.col("row") != F.col("kept.row")) | (F.col("pos") != F.col("kept.pos")))
-    return gone.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    """row, row2 (of id and text), links, dropped, kept_ids for documents with a line that repeats or links.
+
+    links: different lines that its lines are linked to, summed over its lines; dropped: positions of the lines to go,
+    ascending; kept_ids: for each of them the id of the document that keeps its class's first line.
+    """
+    lines = _lines(docs, id_col, text_col)
+    places = written(lines.select("id", "row", "row2", "pos", "h", "g"), "places")
+    first = F.struct("id", F.struct("row", "row2", "pos").alias("at"))
+    firsts = written(places.groupBy("h", "g").agg(F.min(first).alias("first"), F.count("*").alias("n")), "firsts")
+    common, _ = _common(firsts, places.count())
+    if edits > 0:
+        links = line_links(lines, common, edits=edits, least_chars=least_chars)
+    else:
+        links = docs.sparkSession.createDataFrame([], "x string, y string")
+    degrees = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    linked = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(degrees, "node", "left")
+
+    several = firsts.withColumn("node", _node()).join(linked, "node", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "node"))
+    kept = several.groupBy("class").agg(F.min("first").alias("kept"))
+    of_line = written(several.join(kept, "class").select("h", "g", F.coalesce("links", F.lit(0)).alias("links"), "kept"), "classes")
+    # The places of very common lines meet a table of bounded size, the others are joined by line.
+    usual = places.join(of_line.join(F.broadcast(common.select("h", "g")), ["h", "g"], "left_anti"), ["h", "g"])
+    marked = usual.unionByName(places.join(F.broadcast(of_line.join(F.broadcast(common.select("h", "g")), ["h", "g"], "left_semi")), ["h", "g"]))
+    goes = F.struct("row", "row2", "pos") != F.col("kept.at")
+    by_row = marked.groupBy("row", "row2").agg(F.sum("links").alias("links"), F.array_sort(F.collect_set(F.when(goes, F.struct("pos", F.col("kept.id").alias("id"))))).alias("gone"))
+    return by_row.select("row", "row2", "links", F.col("gone.pos").alias("dropped"), F.col("gone.id").alias("kept_ids"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with the lines gone that copy an earlier line, and ``__lines``, ``__dropped`` (positions).
+    """``docs`` with the lines gone that copy an earlier line, and ``__lines``, ``__links``, ``__dropped``, ``__kept_ids``.
 
     A line is what line feeds part. One of fewer than ``least_chars`` characters is held to fewer edits in proportion (by
     default one from 10 characters, none below), the shorter of two lines counting; blank ones stay. The earlier line is
     that of the smaller id (null first), then of the smaller hash of id and text, then higher up. Null and empty texts
     stay as they are. Rows equal in id and text are treated alike, as one document. Other columns go through.
+    ``__dropped`` (positions, ascending) and ``__kept_ids`` (the documents that keep the lines) are null where no line
+    goes; ``__links`` counts different lines that the document's lines are linked to.
     """
-    dropped = repeated_lines(docs, id_col=id_col, text_col=text_col, edits=edits, least_chars=least_chars)
-    joined = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(dropped.select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped")), "__row", "left").drop("__row")
+    dropped = repeated_lines(docs, id_col=id_col, text_col=text_col, edits=edits, least_chars=least_chars).withColumnsRenamed({"row": "__row", "row2": "__row2", "links": "__links"})
+    dropped = dropped.select("__row", "__row2", "__links", *(F.when(F.size("dropped") > 0, F.col(c)).alias(f"__{c}") for c in ("dropped", "kept_ids")))
     parts = F.split(F.col(text_col), "\n", -1)
+    rows = docs.withColumns({"__row": F.xxhash64(id_col, text_col), "__row2": F.xxhash64(F.lit(1), id_col, text_col), "__lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0))})
+    joined = rows.join(dropped, ["__row", "__row2"], "left").drop("__row", "__row2").withColumn("__links", F.coalesce("__links", F.lit(0)))
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    return joined.withColumn("__lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0))).withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))
+    return joined.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))

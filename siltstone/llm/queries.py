@@ -40,7 +40,11 @@ def op4_context_mixing(spark, sf_dir):
 def op5_edit_join(spark, sf_dir):
     """Lines of all documents that copy an earlier line within two edits."""
     out = lines.deduplicated(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("__dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return out.select(
+        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("__dropped", none("int")).alias("dropped"),
+        F.coalesce("__kept_ids", none("long")).alias("kept_ids"), F.col("__links").alias("n_links"),
+    )
 
 
 def op6_vertical_jaccard(spark, sf_dir):
