@@ -79,8 +79,9 @@ QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic,
 
 def _license_sql() -> str:
     """The licence scan in SQL: its templates are rows, as in the operator."""
-    templates = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
-    hint = " or ".join(f"contains(lower(text), '{h}')" for h in licenses.HINTS)
+    quoted = lambda x: x.replace("'", "''")
+    templates = ", ".join(f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    hint = lambda x: " or ".join(f"contains(lower({x}), '{h}')" for h in licenses.HINTS)
     many, other = len(licenses.TEMPLATES), f"(ln({1.0 + len(licenses.TEMPLATES)}) + 1.0)"
     return f"""
 with templates(template, license, text) as (values {templates}),
@@ -90,22 +91,25 @@ idf as (select term, ln({1.0 + many} / (1.0 + count(*))) + 1.0 as idf from tc gr
 raw as (select tc.*, tf * idf as w from tc join idf using (term)),
 weights as (select term, template, license, w / sqrt(sum(w * w) over (partition by template)) as weight from raw),
 files as (select distinct doc_id, text, concat_ws('/', source, lang, cast(doc_id as varchar)) as path from documents),
-speaking as (select * from files where {hint}),
+speaking as (select *, string_split(text, chr(10)) as lines from files where {hint("text")}),
+numbered as (select doc_id, lines, unnest(range(len(lines))) as i from speaking),
+heads as (select doc_id, lines, i, lines[i + 1] as line from numbered where {hint("lines[i + 1]")}),
+sentences as (select doc_id, unnest(regexp_split_to_array(line, '{licenses.SENTENCE_END}')) as text from heads),
 units as (
-  select doc_id, -1 as pos, text from speaking
-  union all
-  select doc_id, pos, text from (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as pos from speaking) where {hint}
+  select doc_id, 0 as whole, text from (select doc_id, text from sentences where {hint("text")} union select doc_id, array_to_string(lines[i + 1 : i + n], chr(10)) as text from heads, (select unnest([{", ".join(map(str, licenses.WINDOWS))}]) as n))
+  union all select doc_id, 1 as whole, text from speaking
 ),
-ut as (select doc_id, pos, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from units),
-uw as (select doc_id, pos, term, count(*) * coalesce(any_value(idf), {other}) as w from ut left join idf using (term) group by doc_id, pos, term),
-un as (select doc_id, pos, sqrt(sum(w * w)) as norm from uw group by all),
-dots as (select doc_id, pos, template, license, sum(w * weight) as dot from uw join weights using (term) group by all),
-cosines as (select doc_id, pos, license, round(dot / norm, 6) as cosine from dots join un using (doc_id, pos)),
-best as (select * from cosines qualify row_number() over (partition by doc_id, pos order by cosine desc, license) = 1),
-own as (select doc_id, license, cosine from best where pos >= 0 and cosine >= {licenses.LINE_COSINE} qualify row_number() over (partition by doc_id order by cosine desc, license) = 1),
+keyed as (select row_number() over () as unit, doc_id, whole, text from units),
+ut as (select unit, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from keyed),
+uw as (select unit, term, count(*) * coalesce(any_value(idf), {other}) as w from ut left join idf using (term) group by unit, term),
+un as (select unit, sqrt(sum(w * w)) as norm from uw group by unit),
+dots as (select unit, template, license, round(sum(w * weight), 9) as dot from uw join weights using (term) group by all),
+best as (select *, license = '{licenses.LAST_RESORT}' as last from dots qualify row_number() over (partition by unit order by dot desc, license) = 1),
+cosines as (select doc_id, whole, license, last, round(dot / norm, 6) as cosine from best join un using (unit) join keyed using (unit)),
+own as (select doc_id, license, cosine from cosines where whole = 0 and cosine >= {licenses.LINE_COSINE} qualify row_number() over (partition by doc_id order by last, cosine desc, license) = 1),
 declared as (
-  select regexp_replace(path, '/[^/]*$', '') as above, license, cosine from best join files using (doc_id) where pos = -1 and cosine >= {licenses.FILE_COSINE}
-  qualify row_number() over (partition by regexp_replace(path, '/[^/]*$', '') order by cosine desc, path, license) = 1
+  select regexp_replace(path, '/[^/]*$', '') as above, license, cosine from cosines join files using (doc_id) where whole = 1 and cosine >= {licenses.FILE_COSINE}
+  qualify row_number() over (partition by regexp_replace(path, '/[^/]*$', '') order by last, cosine desc, path, license) = 1
 ),
 f as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path from documents),
 inherited as (

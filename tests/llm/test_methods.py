@@ -220,3 +220,31 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     got = {r["doc_id"]: (r["license"], r["origin"], r["directory"]) for r in licenses.scan(df, path=F.col("p")).collect()}
     assert got[2] == ("MIT", "inherited", "a") and got[4] == ("Apache-2.0", "inherited", "a/b/c")
     assert got[5] == got[7] == (None, None, None) and got[6] == ("CC-BY-NC-4.0", "own", None) and got[1][:2] == ("MIT", "own")
+
+
+def test_licences_of_real_notices(spark):
+    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\n" + "x y z " * 50
+    bsd = "Copyright (c) 2001\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Source code must retain"
+    prose = "Much stands before it. Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. And more after it."
+    texts = ["# SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: Apache-2.0\ncode", "SPDX-License-Identifier: GPL-2.0-only", gpl, bsd, prose, "Copyright (c) 2020 Jane Doe. Licensed under the MIT license.", "All rights reserved.", "a license to fish", "code"]
+    df = spark.createDataFrame([(i, t, "p/LICENSE" if t == bsd else f"p/q/{i}.c") for i, t in enumerate(texts)], "doc_id long, text string, p string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df, path=F.col("p")).collect()}
+    own = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0", "BSD-3-Clause", "Apache-2.0", "MIT", "Proprietary"]
+    assert got == {i: (x, "own") for i, x in enumerate(own)} | {i: ("BSD-3-Clause", "inherited") for i in (8, 9)}
+
+
+def test_line_links_against_all_pairs_when_segments_are_shared(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHOWN", 1)
+    monkeypatch.setattr(lines, "SHARED", 4)
+    monkeypatch.setattr(lines, "LEVELS", 2)
+    random.seed(3)
+    heads = ["The quick brown fox of page ", "Listing entry number for item "]
+    base = [random.choice(heads) + "".join(random.choice("abcd") for _ in range(random.randint(3, 14))) for _ in range(25)]
+    every = sorted({changed(random.choice(base), "abcd", random.randint(0, 3)) for _ in range(120)})
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    l = lines._lines(docs, "doc_id", "text")  # noqa: E741
+    common = l.selectExpr("h", "g", "struct(id, struct(row, row2, pos) as at) as first").limit(0)
+    node = {r["n"]: r["line"] for r in l.select(lines._node().alias("n"), "line").collect()}
+    got = {frozenset((node[r["x"]], node[r["y"]])) for r in lines.line_links(l, common, edits=2, least_chars=20).collect()}
+    allow = lambda x: min(2, 2 * len(x) // 20)
+    assert got == {frozenset((x, y)) for k, x in enumerate(every) for y in every[:k] if distance(x, y) <= min(allow(x), allow(y))}
