@@ -9,15 +9,17 @@ from siltstone.llm.common import written
 
 #: Rounds at most; alternating stars need about the logarithm of a component's size.
 ROUNDS = 60
+#: Links up to which a round is one task without a shuffle; more are dealt by node.
+SMALL = 200_000
 
 
 def _stars(links: DataFrame) -> DataFrame:
     """One round: every node is tied to the smallest of its neighbourhood (large star, then small star)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
+    small = large.join(least.hint("merge"), "a")
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(ROUNDS):
-        now = written(_stars(now), "links")
+        now = written(_stars(now.coalesce(1) if now.count() <= SMALL else now), "links")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

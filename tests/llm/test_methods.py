@@ -190,24 +190,61 @@ def test_components(spark):
     assert got == {i: 40 for i in range(40, 61)} | {i: 99 for i in [99, *range(101, 130)]} | {3: 3, 5: 3}
 
 
-def test_kneser_ney_sums_to_one(spark):
-    table = quality.fit(spark.createDataFrame([("the cat sat on the mat",), ("the the end",)], "text string"))
-    p = (2.0 ** -table.astype(float)).reshape(quality.CLASSES, quality.CLASSES, quality.CLASSES)
-    assert np.allclose(p.sum(-1), 1, atol=1e-4)
+def test_kneser_ney_sums_to_one_and_is_that_of_a_plain_version(spark):
+    texts = ["the cat sat on the mat", "the the end", "a cat at the end of the mat is a mat \U0001f600"]
+    hashes, bits, alphabet = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model, start = quality.Model(hashes, bits, alphabet), quality.START * (quality.ORDER - 1)
+    counts = [{} for _ in range(quality.ORDER)]
+    for t in texts:
+        for i in range(len(t)):
+            g = (start + t)[i : i + quality.ORDER]
+            counts[-1][g] = counts[-1].get(g, 0) + 1
+    for k in range(quality.ORDER - 1, 0, -1):
+        for g in counts[k]:
+            counts[k - 1][g[1:]] = counts[k - 1].get(g[1:], 0) + 1
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        if not all(n):
+            return quality.PLAIN_DISCOUNTS
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    def p(context, w):
+        low = 1 / (alphabet + 1) if context is None else p(context[1:] if context else None, w)
+        if context is None:
+            return low
+        c, d = counts[len(context)], discounts(counts[len(context)])
+        own = {g: n for g, n in c.items() if g[:-1] == context}
+        if not own:
+            return low
+        off = {g: d[min(n, 3) - 1] for g, n in own.items()}
+        g = context + w
+        return (own.get(g, 0) - off.get(g, 0) + sum(off.values()) * low) / sum(own.values())
+
+    for t in ("the mat cat", "xyz end", "a"):
+        want = sum(-np.log2(p((start + t)[i : i + quality.ORDER - 1], t[i])) for i in range(len(t))) / len(t)
+        assert abs(model.mean_bits([t.encode()])[0] - want) < 1e-4
+    letters = [*counts[0], "?"]  # the last for any unknown character
+    for context in ("the ", "zzzz", start):
+        c = np.concatenate([quality.characters((context + w).encode()) for w in letters])
+        assert abs((2.0 ** -model.of_places(c)[quality.ORDER - 1 :: quality.ORDER].astype(float)).sum() - 1) < 1e-3
 
 
 def test_thresholds_are_of_the_language_s_own_trusted_documents(spark):
     random.seed(3)
     text = lambda letters: " ".join("".join(random.choice(letters) for _ in range(5)) for _ in range(8))
-    rows = [(i, text("abcde"), "en") for i in range(2000)] + [(2000 + i, text("vwxyz"), "xx") for i in range(60)] + [(3000 + i, text("klmno"), "yy") for i in range(10)]
+    rows = [(i, text("abcde"), "en") for i in range(2000)] + [(2000 + i, text("vwxyz"), "xx") for i in range(160)] + [(3000 + i, text("klmno"), "yy") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
-    got = quality.judged(docs, labels, trusted_docs=200).collect()  # by hash alone the sample has about six of xx
+    got = quality.judged(docs, labels, trusted_docs=200).collect()
     kept = {x: [r["keep"] for r in got if r["lang"] == x] for x in ("en", "xx", "yy")}
-    assert all(kept["yy"]) and sum(kept["xx"]) >= 59 and sum(kept["en"]) >= 1985
+    assert all(kept["yy"]) and sum(kept["xx"]) >= 150 and sum(kept["en"]) >= 1970
     of_lang = {r["lang"]: r["threshold"] for r in got}
-    bits = np.log2([r["perplexity"] for r in got if r["lang"] == "xx"])
+    fitted = {r["__id"] for r in quality.fit_sample(docs.select(F.col("doc_id").alias("__id"), "lang"), 200).collect()}
+    bits = np.log2([r["perplexity"] for r in got if r["lang"] == "xx" and r["doc_id"] not in fitted])
     assert of_lang["yy"] == float("inf") and abs(np.log2(of_lang["xx"]) - np.quantile(bits, 0.995)) <= 2e-4
+    assert 20 < sum(i in fitted for i in range(2000, 2160)) < 100
     assert quality.quota([2000, 60, 10], 200) == 130 and quality.quota([5, 3], 200) == 5 and quality.quota([], 9) == 1
 
 
