@@ -2,16 +2,21 @@
 
 A text is its words and one end. A word of the vocabulary (the most frequent words of the training text) is one symbol;
 any other is an escape symbol and then its bytes and an end of word. Symbols have Huffman codes, and each bit of a code
-is predicted given the bits before it by four predictors, each from counts under a hashed context:
+is predicted given the bits before it by three predictors, each from counts under a hashed context:
 
-    words: none | the word before | the two words before | the last very frequent word (mostly the language)
-    bytes: one byte before | two | three | one and the last very frequent word
+    words: none | the word before | the last very frequent word (mostly the language)
+    bytes: one byte before | two | one and the last very frequent word
 
-The counts are gathered over all training text outside a small fold, in tables of a fixed number of slots. A mixer adds
-the predictors' log-odds with weights from a set that is chosen by the kind of symbol and by how sure two predictors
-are; the weights are learned bit after bit on the fold that the counts haven't seen, and an adaptive map, learned there
-too, refines the mixed probability. All bits of a text multiply to its probability, so the bits over all texts are
-proper code lengths.
+Their counts are gathered over all training text outside a small fold, in tables whose size follows the text up to a
+bound. A mixer adds the predictors' log-odds with weights from a set that is chosen by the kind of symbol and by how
+sure two predictors are; the weights are learned bit after bit on the fold that the counts haven't seen, in shards by
+hash of the document, and an adaptive map, learned there too, refines the mixed probability.
+
+Longer contexts grow with the text without bound, so they stay in shards: every token goes, with its mixed probability,
+to the shard of the two words before it. There all training tokens of a context are counted (a training document's own
+ones are left out for itself), and what followed the context is mixed in with a weight that depends on how often the
+context was seen and is learned in the shard. All of it multiplies to a text's probability, whatever the input's
+partitions are.
 """
 
 from __future__ import annotations
@@ -26,11 +31,15 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import ASCII_LOWER, binary_list, crc_fold, written
 
-#: Words with a code of their own, slots of a table (as a power of two), very frequent words.
-VOCABULARY, TABLE_BITS, MARKERS = 1 << 17, 21, 64
+#: Words with a code of their own, slots of a table at least and at most (as powers of two), very frequent words.
+VOCABULARY, LEAST_BITS, MOST_BITS, MARKERS = 1 << 17, 18, 22, 64
+#: Tokens to a shard of contexts, and shards at least; tokens that a task gathers before it deals them out; bytes of text that weights are learned on in one go.
+SHARD_TOKENS, LEAST_SHARDS, RUN_TOKENS, LEARNED_BYTES = 4_000_000, 32, 2_000_000, 8 << 20
+#: Kinds of contexts by how often they were seen (powers of two), rounds in which their weights settle, units of a log10 probability.
+SEEN_KINDS, ROUNDS, UNIT = 8, 6, 1000.0
 #: Slots to a piece of a table when tables are added up, and tasks whose pieces are added up at once.
 PIECE, ADDED = 1 << 14, 256
-CONTEXTS, CONFIDENCE = 4, 3
+CONTEXTS, CONFIDENCE = 3, 3
 GATES, STEPS = 2 * CONFIDENCE**2, 33
 #: Tokens whose bits are worked on at once, different words that a task counts before it passes them on.
 CHUNK_TOKENS, COUNTED_WORDS = 16_000, 400_000
@@ -93,7 +102,8 @@ class _Index(dict):
 class Coder:
     """Turns documents into bits with contexts. ``counted``: the vocabulary's words with counts, most frequent first."""
 
-    def __init__(self, counted: list[tuple[bytes, int]], tokens: int, ends: int):
+    def __init__(self, counted: list[tuple[bytes, int]], tokens: int, ends: int, table_bits: int):
+        self.table_bits = table_bits
         self.index = _Index({w: i for i, (w, _) in enumerate(counted)})
         self.index.escape = len(counted)
         own = np.array([n for _, n in counted], np.float64)
@@ -118,7 +128,10 @@ class Coder:
         return n, (np.uint32(1) << (np.repeat(own, n).astype(np.uint32) - rest)) | prefix, (code >> (rest - np.uint32(1))) & np.uint32(1)
 
     def events(self, docs: list[list[bytes]]):
-        """For each bit: the slots in the tables (one row each), the bit, the kind (0 word, 1 byte) and the document."""
+        """For each bit: the slots in the tables (one row each), the bit, the kind (0 word, 1 byte) and the token.
+
+        Then the documents' sizes, the tokens' symbols, contexts of two words (64 bits) and successors (16 bits), and the unknown words.
+        """
         escape = self.escape
         sizes = np.array([len(d) + 1 for d in docs])
         symbols = np.full(sizes.sum(), self.end, np.int64)
@@ -146,30 +159,31 @@ class Coder:
         seen = np.r_[-1, seen[:-1]]
         marker = np.where(seen >= begin, own[seen], np.uint32(0xFFFFFFFF))
         n, node, bit = self._bits(symbols, self.lengths, self.codes)
-        contexts = [None, _hash(2, before), _hash(3, before, before2), _hash(4, marker)]
-        slots, bits, kinds, owners = [self._slots(contexts, n, node)], [bit], [np.zeros(len(bit), np.int64)], [np.repeat(doc, n)]
+        contexts = [None, _hash(2, before), _hash(4, marker)]
+        slots, bits, kinds, owners = [self._slots(contexts, n, node)], [bit], [np.zeros(len(bit), np.int64)], [np.repeat(at, n)]
+        two = _hash(9, before, before2).astype(np.uint64) << np.uint64(32) | _hash(10, before2, before)
+        next_ = _hash(11, own, before) >> np.uint32(16)
         if len(rare):
             n = spans + 1
             stream = np.full(n.sum(), END_OF_WORD, np.int64)
             word = np.repeat(np.arange(len(rare)), n)
             place = np.arange(len(stream)) - np.repeat(np.cumsum(n) - n, n)
             stream[place < spans[word]] = letters
-            back = [np.where(place >= k, np.roll(stream, k), 257) for k in (1, 2, 3)]
+            back = [np.where(place >= k, np.roll(stream, k), 257) for k in (1, 2)]
             mark = marker[rare_at][word]
             n, node, bit = self._bits(stream, self.byte_lengths, self.byte_codes)
-            contexts = [_hash(5, back[0]), _hash(6, back[0], back[1]), _hash(7, *back), _hash(8, back[0], mark)]
+            contexts = [_hash(5, back[0]), _hash(6, *back), _hash(8, back[0], mark)]
             slots.append(self._slots(contexts, n, node))
             bits.append(bit)
             kinds.append(np.ones(len(bit), np.int64))
-            owners.append(np.repeat(doc[rare_at][word], n))
-        return np.concatenate(slots, 1), np.concatenate(bits), np.concatenate(kinds), np.concatenate(owners), sizes, symbols, rare
+            owners.append(np.repeat(rare_at[word], n))
+        return np.concatenate(slots, 1), np.concatenate(bits), np.concatenate(kinds), np.concatenate(owners), sizes, symbols, two, next_, rare
 
-    @staticmethod
-    def _slots(contexts, n, node):
+    def _slots(self, contexts, n, node):
         tree, out = node * np.uint32(0xC2B2AE35), np.empty((len(contexts), len(node)), np.uint32)
         for slot, c in zip(out, contexts, strict=True):
             mixed = (tree ^ _ALONE if c is None else tree ^ np.repeat(c, n)) * np.uint32(0x27D4EB2F)
-            np.right_shift(mixed, np.uint32(32 - TABLE_BITS), out=slot)
+            np.right_shift(mixed, np.uint32(32 - self.table_bits), out=slot)
         return out
 
 
@@ -296,8 +310,8 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
-def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
-    """Log-odds of every slot from all bits of the texts: added up piece by piece, then CONTEXTS * 2**TABLE_BITS bytes."""
+def gathered_tables(docs: DataFrame, held, key: str, table_bits: int) -> list[np.ndarray]:
+    """Log-odds of every slot from all bits of the texts: added up piece by piece, then CONTEXTS * 2**table_bits bytes."""
 
     def count(batches):
         import pyarrow as pa
@@ -305,7 +319,7 @@ def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
         from pyspark import TaskContext
 
         coder, group = _coder(held, key), TaskContext.get().partitionId() // ADDED
-        tables = np.zeros((CONTEXTS, 2 << TABLE_BITS), np.uint32)
+        tables = np.zeros((CONTEXTS, 2 << coder.table_bits), np.uint32)
         held_back: list[np.ndarray] = []
 
         def add() -> None:
@@ -321,7 +335,7 @@ def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
         if held_back:
             add()
         pack = zstandard.ZstdCompressor(level=1)
-        out = [(k, i, group, pack.compress(tables[k, 2 * i * PIECE : 2 * (i + 1) * PIECE].tobytes())) for k in range(CONTEXTS) for i in range((1 << TABLE_BITS) // PIECE)]
+        out = [(k, i, group, pack.compress(tables[k, 2 * i * PIECE : 2 * (i + 1) * PIECE].tobytes())) for k in range(CONTEXTS) for i in range((1 << coder.table_bits) // PIECE)]
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["k", "piece", "part", "counts"])
 
     def added(table):
@@ -346,28 +360,30 @@ def gathered_tables(docs: DataFrame, held, key: str) -> list[np.ndarray]:
 
     parts = docs.mapInArrow(count, "k int, piece int, part int, counts binary")
     sums = parts.groupBy("k", "piece", "part").applyInArrow(some, "k int, piece int, counts binary")
-    tables = np.zeros((CONTEXTS, 1 << TABLE_BITS), np.int8)
+    tables = np.zeros((CONTEXTS, 1 << table_bits), np.int8)
     for r in sums.groupBy("k", "piece").applyInArrow(final, "k int, piece int, odds binary").collect():
         tables[r["k"], r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["odds"], np.int8)
     return list(tables)
 
 
 def learned_mixer(docs: DataFrame, held, tables, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and adaptive map: each task learns on its own texts, the tasks' weights are averaged by their bits."""
+    """Weights and adaptive map, learned on (doc_id, text, shard) in shards by hash, each in its order; the shards' weights are averaged by their bits."""
 
-    def learn(batches):
+    def learn(table):
         import pyarrow as pa
 
         coder, mixer = _coder(held, key), Mixer()
-        for _, _, texts in _chunks(batches, 0):
-            slots, bits, kinds, *_ = coder.events(texts)
+        texts = sorted(binary_list(table.column("text").combine_chunks()), key=lambda t: (t is not None, t))
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+        for _, _, words in _chunks([batch], 0):
+            slots, bits, kinds, *_ = coder.events(words)
             x, gates = mixer.inputs(tables.value, slots, kinds)
             mixer.learn(x, gates, bits.astype(np.float64))
         rows = [(g * CONTEXTS + k, mixer.weights[g, k] * mixer.count[g], mixer.count[g]) for g in range(GATES) for k in range(CONTEXTS)]
         rows += [(GATES * CONTEXTS + i, ones, n) for i, (n, ones) in enumerate(mixer.seen.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.float64()) for j in (1, 2))], names=["i", "v", "n"])
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.float64()) for j in (1, 2))], names=["i", "v", "n"])
 
-    got = {r["i"]: (r["v"], r["n"]) for r in docs.mapInArrow(learn, "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
+    got = {r["i"]: (r["v"], r["n"]) for r in docs.groupBy("shard").applyInArrow(learn, "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
     start = Mixer()
     weights = np.array([(got[i][0] / got[i][1] if i in got and got[i][1] else start.weights.flat[i]) for i in range(GATES * CONTEXTS)]).reshape(GATES, CONTEXTS)
     seen = np.array([got.get(GATES * CONTEXTS + i, (0.0, 0.0)) for i in range(GATES * STEPS)]).reshape(GATES, STEPS, 2)
@@ -376,13 +392,74 @@ def learned_mixer(docs: DataFrame, held, tables, key: str) -> tuple[np.ndarray,
     return weights, refine.astype(np.float32).ravel()
 
 
+def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the tokens of one shard, with what followed their contexts mixed in.
+
+    ``data``: context (32 bits), successor (16), mixed log10 probability (16); ``doc``: each token's document, ascending;
+    ``training``: whether each token counts. A training document's own tokens are left out for itself.
+    """
+
+    def counts(code):
+        """Training tokens of the same code, those of the same document left out if it is a training one."""
+        order = np.argsort(code, kind="stable")
+        c, d, w = code[order], doc[order], training[order].astype(np.int64)
+        fresh = np.r_[True, c[1:] != c[:-1]]
+        own = fresh | np.r_[True, d[1:] != d[:-1]]
+        total = lambda starts: np.add.reduceat(w, np.flatnonzero(starts))[np.cumsum(starts) - 1]
+        out = np.empty(len(code), np.int64)
+        out[order] = total(fresh) - total(own)  # a document's own tokens count nothing unless it is a training one
+        return out
+
+    plain = 10.0 ** (-(data & np.uint64(0xFFFF)).astype(np.float64) / UNIT)
+    of_context = counts(data >> np.uint64(32))
+    seen = np.flatnonzero(of_context > 0)
+    if len(seen):
+        share = counts(data >> np.uint64(16))[seen] / of_context[seen]
+        kind = np.minimum(np.log2(of_context[seen]).astype(np.int64), SEEN_KINDS - 1)
+        weight, learn = np.full(SEEN_KINDS, 0.5), training[seen]
+        many = np.bincount(kind[learn], minlength=SEEN_KINDS)
+        for _ in range(ROUNDS):
+            w = weight[kind] * share
+            part = w / (w + (1 - weight[kind]) * plain[seen])
+            weight = (np.bincount(kind[learn], part[learn], SEEN_KINDS) + 0.5) / (many + 1)
+        plain[seen] = weight[kind] * share + (1 - weight[kind]) * plain[seen]
+    return np.log10(plain)
+
+
+def _shard_sums(table):
+    """Of one shard: each run's sums of log10 probabilities by document. Rows about documents (negative shards) pass."""
+    import pyarrow as pa
+
+    if table.column("shard")[0].as_py() < 0:
+        return table.drop_columns(["shard", "data", "docs", "training"])
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("row", "data", "docs", "training")), strict=True))
+    many = [np.frombuffer(d, np.uint32) for _, _, d, _ in rows]
+    doc = np.repeat(np.arange(sum(map(len, many))), np.concatenate(many))
+    training = np.concatenate([np.frombuffer(t, bool) for *_, t in rows])[doc]
+    total = np.bincount(doc, blended(np.concatenate([np.frombuffer(x, np.uint64) for _, x, _, _ in rows]), doc, training), sum(map(len, many)))
+    cuts = np.cumsum([0, *map(len, many)])
+    columns = {"row": pa.array([r[0] for r in rows], pa.int64()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in table.schema if f.name not in ("shard", "data", "docs", "training")], names=[n for n in table.column_names if n not in ("shard", "data", "docs", "training")])
+
+
+def _run_sums(table):
+    """Of one run: row, score of each document, from the sums of all shards."""
+    import pyarrow as pa
+
+    parts = sorted(table.column("sums").to_pylist())
+    total = sum(np.frombuffer(x, np.float64) for x in parts)
+    first = table.column("row")[0].as_py()
+    return pa.table({"row": pa.array(np.arange(first, first + len(total))), "score": pa.array(total)})
+
+
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, mixer_fold: int = 3, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row for each row of ``docs``: log10 probabilities of its text under the mixed model and under word counts.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (null without text).
     Training texts are those whose crc32 of the id modulo ``folds`` isn't ``held_out``; the mixer learns on
-    ``mixer_fold``, the tables on the other training folds. A null or empty text is the end alone; a null id is in a
-    training fold. Repeated rows are scored, and counted, one by one. Without training text every word is unknown.
+    ``mixer_fold``, its tables on the other training folds, contexts of two words on all training folds. A null or empty
+    text is the end alone; a null id is in a training fold. Repeated rows are scored, and counted, one by one. Without
+    training text every word is unknown. Results don't depend on the partitions of ``docs`` (but for rounding).
     """
     import uuid
 
@@ -392,14 +469,19 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     source = docs.select(F.col(id_col).alias("doc_id"), fold.alias("fold"), F.col(text_col).alias("text"))
     training = source.where(F.col("fold") != held_out)
     counts = written(word_counts(training.select("text")), "words")
-    ends = training.count()
+    ends, octets = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     known, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, different = known + ends, distinct + (ends > 0)
     top = [(bytes(r["word"]), r["n"]) for r in frequent(counts, vocabulary).collect()]  # at most `vocabulary` rows
     top.sort(key=lambda x: (-x[1], x[0]))
-    held = spark.sparkContext.broadcast((top, tokens, ends))
-    tables = spark.sparkContext.broadcast(gathered_tables(training.where(F.col("fold") != mixer_fold).select("text"), held, key))
-    weights, refine = learned_mixer(training.where(F.col("fold") == mixer_fold).select("text"), held, tables, key)
+    table_bits = min(max(int(tokens).bit_length(), LEAST_BITS), MOST_BITS)
+    held = spark.sparkContext.broadcast((top, tokens, ends, table_bits))
+    tables = spark.sparkContext.broadcast(gathered_tables(training.where(F.col("fold") != mixer_fold).select("text"), held, key, table_bits))
+    mixed = training.where(F.col("fold") == mixer_fold).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-int(octets) // (LEARNED_BYTES * folds))))).alias("shard"))
+    weights, refine = learned_mixer(mixed, held, tables, key)
+    shards = max(LEAST_SHARDS, tokens // SHARD_TOKENS)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    of_doc = f"row long, doc_id {id_type}, fold long, n_tokens long, sure long, base double, octets long, rare array<long>, times array<int>, sums binary"
 
     def score(batches):
         import pyarrow as pa
@@ -407,12 +489,27 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         from pyspark import TaskContext
 
         coder, mixer, row = _coder(held, key), Mixer(weights, refine), TaskContext.get().partitionId() << 40
+        run, waiting, folds_of, n = row, [], [], 0
+        kinds_of = None
+
+        def dealt():
+            """Of the documents since ``run``: a row for each shard, the tokens in the documents' order."""
+            data, shard, doc = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(shard.astype(np.uint16) if shards < 65_536 else shard, kind="stable")
+            data, doc, cuts = data[order], doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            flags = np.array(folds_of, bool).tobytes()
+            rows = [(int(k), run, data[a:b].tobytes(), np.bincount(doc[a:b], minlength=len(folds_of)).astype(np.uint32).tobytes(), flags) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            columns = dict(zip(("shard", "row", "data", "docs", "training"), zip(*rows, strict=True), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in kinds_of], schema=kinds_of)
+
         for batch, rows, texts in _chunks(batches, 2):
-            slots, bits, kinds, owners, sizes, symbols, rare = coder.events(texts)
+            slots, bits, kinds, token, sizes, symbols, two, next_, rare = coder.events(texts)
             p = mixer.probability(*mixer.inputs(tables.value, slots, kinds))
             np.subtract(1, p, out=p, where=bits == 0)
-            total = np.bincount(owners, np.log10(p), len(texts))
+            mixed_bits = np.bincount(token, np.log10(p), len(symbols))
             doc = np.repeat(np.arange(len(texts)), sizes)
+            waiting.append(((two & np.uint64(0xFFFFFFFF)) << np.uint64(32) | next_.astype(np.uint64) << np.uint64(16) | np.minimum(np.rint(-mixed_bits * UNIT), 65_535).astype(np.uint64), ((two >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), doc + len(folds_of)))
+            folds_of += [x != held_out for x in batch.column(1).take(pa.array(rows, pa.int64())).to_pylist()]
             base = np.bincount(doc, coder.log_counts[symbols], len(texts))
             sure = np.bincount(doc, (symbols != coder.escape) & ((symbols != coder.end) | (ends > 0)), len(texts)).astype(np.int64)
             by_doc: dict[int, Counter] = {}
@@ -420,22 +517,33 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
                 by_doc.setdefault(d, Counter())[w] += 1
             hashes = [[xxhash.xxh64_intdigest(w, 42) for w in by_doc.get(d, ())] for d in range(len(texts))]
             place = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + len(rows))), batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes.astype(np.int64)), pa.array(sure), pa.array(base), pa.array(total),
+                    pa.array(np.full(len(rows), -1 - run)), pa.array(np.arange(row, row + len(rows))), batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes.astype(np.int64)), pa.array(sure), pa.array(base),
                     pa.array([sum(map(len, t)) + len(t) for t in texts], pa.int64()),
                     pa.array([np.array(h, np.uint64).view(np.int64) for h in hashes], pa.list_(pa.int64())), pa.array([list(by_doc.get(d, Counter()).values()) for d in range(len(texts))], pa.list_(pa.int32())),
+                    *(pa.nulls(len(rows), pa.binary()) for _ in range(4)),
                 ],
-                names=["row", "doc_id", "fold", "n_tokens", "sure", "base", "score", "octets", "rare", "times"],
+                names=["shard", "row", "doc_id", "fold", "n_tokens", "sure", "base", "octets", "rare", "times", "sums", "data", "docs", "training"],
             )
+            kinds_of = out.schema
+            yield out
             row += len(rows)
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    scored = written(source.mapInArrow(score, f"row long, doc_id {id_type}, fold long, n_tokens long, sure long, base double, score double, octets long, rare array<long>, times array<int>"), "scores")
+            n += len(symbols)
+            if n >= RUN_TOKENS:
+                yield dealt()
+                run, waiting, folds_of, n = row, [], [], 0
+        if waiting:
+            yield dealt()
+
+    dealt_rows = source.mapInArrow(score, f"shard long, {of_doc}, data binary, docs binary, training binary")
+    scored = written(dealt_rows.groupBy("shard").applyInArrow(_shard_sums, of_doc), "scores")
+    by_row = scored.where("sums is not null").select("row", "sums").groupBy("row").applyInArrow(_run_sums, "row long, score double")
+    scored = scored.where("sums is null").drop("sums")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     rest = pairs.join(counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("c")), "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("many"))
     denominator = F.log10(F.lit(float(tokens + different + 1)))
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
+    return scored.drop("rare", "times").join(by_row, "row").join(rest, "row", "left").select(
         "doc_id", (F.col("fold") == held_out).alias("held_out"), "n_tokens", (F.col("sure") + F.coalesce("many", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"), "score",
         F.when(F.col("octets") > 0, -F.col("score") * F.log2(F.lit(10.0)) / F.col("octets")).alias("bits_per_byte"),

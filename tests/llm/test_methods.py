@@ -285,3 +285,32 @@ def test_line_links_against_all_pairs_when_segments_are_shared(spark, monkeypatc
     got = {frozenset((node[r["x"]], node[r["y"]])) for r in lines.line_links(l, common, edits=2, least_chars=20).collect()}
     allow = lambda x: min(2, 2 * len(x) // 20)
     assert got == {frozenset((x, y)) for k, x in enumerate(every) for y in every[:k] if distance(x, y) <= min(allow(x), allow(y))}
+
+
+def test_mixing_does_not_depend_on_partitions_and_counts_words_as_a_plain_version(spark):
+    import math
+    import re
+    from collections import Counter
+
+    random.seed(12)
+    vocabulary = [f"W{random.randint(0, 99)}é" if k % 9 == 0 else f"w{k}" for k in range(60)]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 80))) for _ in range(60)]
+    texts = [*texts, *texts[:4], None, "\t a  b\nA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, again = ({r["doc_id"]: r for r in mixing.scores(d, vocabulary=16).collect()} for d in (docs, docs.repartition(7)))
+    assert all(abs(got[i]["score"] - again[i]["score"]) < 1e-9 for i in got)
+    words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", bytes(x + 32 if 65 <= x <= 90 else x for x in (t or "").encode())), None]
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i, t in enumerate(texts) if i not in held for w in words(t))
+    for i, t in enumerate(texts):
+        r, w = got[i], words(t)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(w), sum(x in c for x in w), sum(c.values()))
+        assert abs(r["base_score"] - sum(math.log10((c[x] + 1) / (sum(c.values()) + len(c) + 1)) for x in w)) < 1e-6
+
+
+def test_successors_are_mixed_in_without_a_document_s_own():
+    tokens = [(7, 1), (7, 1), (7, 2), (9, 1)]  # context, successor
+    data = np.array([c << 32 | s << 16 | 2000 for c, s in tokens], np.uint64)
+    out = mixing.blended(data, np.array([0, 1, 1, 2]), np.array([True, True, True, False]))
+    # Of token 0's context two others are left, one with its successor; of token 2 the other document's, with another one; 3 knows none.
+    assert out[0] > -2 and out[1] > -2 and out[2] < -2 and out[3] == pytest.approx(-2)
