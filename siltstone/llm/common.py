@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,14 +13,16 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI.
+    """The folder that driver and executors share, as a full URI: what the session names in ``spark.checkpoint.dir``.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder.
+    Only on one machine (a local master) a temporary folder is made where that is unset; on a cluster this is an error,
+    as executors would write to folders of their own.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(path)
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,20 +34,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str, *, large: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors.
-
-    large: what was shuffled for it is as large as the input; Spark deletes such files once the driver has collected
-    the plan as garbage, so that is asked for.
-    """
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if large:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -31,10 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b")
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    seen = (now.count(), None)
     for _ in range(ROUNDS):
-        now = written(_stars(now.coalesce(1) if now.count() <= SMALL else now), "links")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = written(_stars(now.coalesce(1) if seen[0] <= SMALL else now), "links")
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             break
         seen = mark

@@ -30,7 +30,7 @@ COMMON, COMMON_PARTS = 1_000, 100_000
 #: One of so many lines shows which keys are shared by many; a key is if so many of them index it.
 SHOWN, SHARED = 8, 24
 #: Times that a shared key is split further.
-LEVELS = 8
+LEVELS = 5
 #: Rows up to which a set of hashes is sent to all executors; a larger one is joined by key.
 BROADCAST_ROWS = 500_000
 #: Letters whose counts (modulo 16) are held against each other before a pair is verified; an edit changes two by one at most.

@@ -205,7 +205,7 @@ def write_shards(
 ) -> list[dict]:
     """Encode every whole text, append ``end_id`` and write shards in ascending order of id.
 
-    Returns the manifest, one row for each file, in the order of the ids: path, entries, ids. A null text is an empty
+    Returns the manifest, one row for each file, in the order of the ids: path, entries, ids, first and last key. A null text is an empty
     one; a null id comes first; repeated ids keep an entry each, ordered by their texts. Files are written under a
     temporary name and then renamed, so that a repeated task leaves the same files. An empty table gives no file.
     """
@@ -225,11 +225,10 @@ def write_shards(
         def close() -> None:
             writer.finish()
             sink.close()
-            final = f"{root}/part-{task.partitionId():06d}-{len(done):06d}.sst"
-            if store.get_file_info(final).size is not None:  # a task that ran before
-                store.delete_file(final)
+            # Named by attempt: a repeated or speculative task leaves files of its own, and the manifest names one task's.
+            final = f"{root}/part-{task.partitionId():06d}-{len(done):06d}-{task.taskAttemptId()}.sst"
             store.move(temporary, final)
-            done.append((task.partitionId(), len(done), final, len(writer.keys), writer.ids))
+            done.append((task.partitionId(), len(done), final, len(writer.keys), writer.ids, writer.first_key, writer.last_key))
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1)), strict=True):
@@ -245,13 +244,13 @@ def write_shards(
         if writer is not None:
             close()
         yield pa.RecordBatch.from_pydict(
-            {k: [x[i] for x in done] for i, k in enumerate(("part", "number", "path", "entries", "ids"))},
-            schema=pa.schema([("part", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())]),
+            {k: [x[i] for x in done] for i, k in enumerate(("part", "number", "path", "entries", "ids", "first_key", "last_key"))},
+            schema=pa.schema([("part", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]),
         )
 
     # Range partitions on the id are the global order; a task sorts and encodes its own range.
     ordered = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(shuffle_partitions(spark), F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    manifest = ordered.mapInArrow(run, "part long, number long, path string, entries long, ids long").collect()
+    manifest = ordered.mapInArrow(run, "part long, number long, path string, entries long, ids long, first_key binary, last_key binary").collect()
     return [r.asDict() for r in sorted(manifest, key=lambda r: (r["part"], r["number"]))]
 
 
@@ -292,10 +291,12 @@ def read_shards(spark, folder: str, manifest: list[dict], id_type: str = "long")
 
 
 def lookup(folder: str, manifest: list[dict], key) -> list[np.ndarray]:
-    """Ids of every document with that key, by the Bloom filters and binary search of the shards."""
+    """Ids of every document with that key: binary search of the manifest, then the shard's Bloom filter and block index."""
     store, _ = open_store(folder)
-    found = []
-    for x in manifest:
+    found, wanted = [], key_of(key)
+    for x in manifest[bisect.bisect_left([bytes(x["last_key"]) for x in manifest], wanted) :]:
+        if bytes(x["first_key"]) > wanted:
+            break
         with store.open_input_file(x["path"]) as source:
             found += [np.frombuffer(unpack_ids(v), "<u4") for v in Reader(source, source.size()).get(key_of(key))]
     return found

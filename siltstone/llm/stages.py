@@ -14,10 +14,15 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id isn't among ``ids`` (written first, so that its size decides how it is joined); null ids stay."""
-    gone = written(ids.select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, a hash of id and text: rows that share an id but not a text are judged apart."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't among ``keys`` (written first, so that its size decides how it is joined)."""
+    gone = written(keys.select("__key").distinct(), "gone")
+    return _keyed(docs).join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def trusted_style(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +38,24 @@ def first_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; rows that share an id stay together."""
-    return _without(docs, jaccard.near_groups(docs).where("component_id <> doc_id"))
+    """The document of the smallest id (null first, then by hash) of each group of near copies, one row of it."""
+    keyed = _keyed(docs)
+    groups = written(jaccard.near_groups(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id"), "groups")
+    # Only groups of several texts and rows that repeat are looked at again.
+    alone = F.col("low") == F.col("high")
+    several = groups.groupBy("component_id").agg(F.min("__key").alias("low"), F.max("__key").alias("high")).where(~alone).select("component_id")
+    members = keyed.select("__key", "doc_id").distinct().join(groups.distinct().join(several, "component_id"), "__key")
+    firsts = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    kept = _without(docs, members.join(firsts, "component_id").where(F.col("__key") != F.col("first.__key")))
+    repeated = written(groups.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "repeated")
+    once = _keyed(kept).join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+    return _keyed(kept).join(repeated, "__key", "left_anti").unionByName(once).select(docs.columns)
 
 
 def unseen_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return _without(docs, decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")).where("contaminated"))
+    found = decontaminate.contamination(_keyed(docs), _table(spark, sf_dir, "benchmark"), id_col="__key").where("contaminated")
+    return _without(docs, found.select(F.col("doc_id").alias("__key")))
 
 
 def sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
