@@ -62,7 +62,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame, admit: Column, *
     for depth in range(max_depth + 1):
         # The queue's order within a level: by the parent's place, then by the place of the link.
         level = frontier.join(known, "url", "left_semi").select("url", F.lit(depth).alias("depth"), "order")
-        ranked = level.withColumn("place", F.row_number().over(Window.orderBy("order"))).where(F.col("place") <= max_pages)
+        # The cut is made in each task first; max_pages rows get to the window.
+        ranked = level.orderBy("order").limit(max_pages).withColumn("place", F.row_number().over(Window.orderBy("order")))
         levels.append(ranked)
         if depth == max_depth:
             break

@@ -113,20 +113,75 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
 
 
+def asked_weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, idf, avgdl for the terms of ``asked`` (one column, different): one pass counts documents and lengths too."""
+    t = tokens(F.col("text"))
+    # Besides its different terms each document has a row without one, which carries its length.
+    rows = docs.where("text is not null").select(F.size(t).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(t))).alias("term"))
+    met = rows.join(F.broadcast(asked.withColumn("asked", F.lit(True))), "term", "left").where("term is null or asked")
+    counted = met.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl"))
+    n = counted.where("term is null").select(F.col("df").alias("n"), "avgdl")
+    return counted.where("term is not null").select("term", "df").crossJoin(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # n is one row
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank: the ``k`` best documents by BM25 for each query.
 
-    docs: chunk_id, text; queries: query_id, text. Only terms that some query has are kept of the documents, so
-    the join and the sums see a fraction of the postings.
+    docs: chunk_id, text; queries: query_id, text. Documents are read twice: for the weights of the terms that some
+    query has, and for those terms' postings. A document's weights then meet the queries in blocks of QUERY_BLOCK as one
+    product of matrices, and a task keeps the best of its own documents, so no pair of document and query is shuffled.
     """
-    asked = query_terms(queries)
-    wanted = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(docs)
-    weighted = wanted.join(idf(wanted, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = weighted.select("term", "chunk_id", part.alias("part")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return ranked(scored, k)
+    spark = docs.sparkSession
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, "chunk_id"), (queries, "query_id")))
+    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
+    held_queries = query_terms(queries).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    many = queries.count()
+    blocks = max(1, -(-many // QUERY_BLOCK))
+    out = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        mine = held_queries if blocks == 1 else held_queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        asked = [(r["query_id"], r["terms"]) for r in mine.collect()]  # QUERY_BLOCK queries on average
+        numbers = {t: i for i, t in enumerate(sorted({t for _, terms in asked for t in terms}))}
+        if not numbers:
+            continue
+        terms = spark.createDataFrame(list(numbers.items()), "term string, number int")
+        weights = terms.join(asked_weights(docs, terms.select("term")), "term")
+        split = docs.select("chunk_id", tokens(F.col("text")).alias("t"))
+        found = split.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(weights), "term")
+        counted = found.repartition("chunk_id").groupBy("chunk_id", "number", "idf", "avgdl", "dl").agg(F.count("*").alias("tf"))
+        tf, dl = F.col("tf"), F.col("dl")
+        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+        sparse = counted.groupBy("chunk_id").agg(F.collect_list(F.struct("number", part.alias("part"))).alias("x")).select("chunk_id", F.col("x.number").alias("numbers"), F.col("x.part").alias("parts"))
+        held = spark.sparkContext.broadcast((asked, numbers))
+        out = out.unionByName(sparse.mapInPandas(_best_sparse(held, k), schema))
+    return ranked(out, k)
+
+
+def _best_sparse(held, k: int):
+    def run(frames):
+        import pandas as pd
+
+        asked, numbers = held.value
+        has = np.zeros((len(numbers), len(asked)))
+        for j, (_, terms) in enumerate(asked):
+            has[[numbers[t] for t in terms], j] = 1
+        best: list[list] = [[] for _ in asked]
+        for frame in frames:
+            for at in range(0, len(frame), 512):
+                some = frame.iloc[at : at + 512]
+                ids, weight = some["chunk_id"].tolist(), np.zeros((len(some), len(numbers)))
+                for i, (places, parts) in enumerate(zip(some["numbers"], some["parts"], strict=True)):
+                    weight[i, places] = parts
+                scores = weight @ has
+                for j in range(len(asked)):
+                    column = scores[:, j]
+                    least = np.partition(column, -min(len(column), k))[-min(len(column), k)]
+                    near = np.flatnonzero((column >= least - 1e-9) & (column > 0)).tolist()
+                    if near:
+                        best[j] = sorted(best[j] + [(round(-column[i], 9), ids[i], float(column[i])) for i in near])[:k]
+        yield pd.DataFrame([(query_id, i, s) for (query_id, _), rows in zip(asked, best, strict=True) for _, i, s in rows], columns=["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def fused(lists: list[DataFrame], k: int) -> DataFrame:

@@ -34,6 +34,29 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of objects, an object a line, as the only file of a folder; written by one task, row after row."""
+
+    def lines(frames):
+        import pandas as pd
+
+        before = "["
+        for frame in frames:
+            if len(frame):
+                out = frame["value"].tolist()
+                yield pd.DataFrame({"value": [(before if i == 0 else ",") + x for i, x in enumerate(out)]})
+                before = ","
+        yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Raw pages (file, html) as a table with a row for each file name; of several pages of one name the last by url stays."""
+    last = pages.groupBy("file").agg(F.max_by("html", "url").alias("html"))
+    last.write.mode("overwrite").parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
@@ -69,6 +92,17 @@ def saved_results(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], EVAL_RESULT)
 
 
+def save_results(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """The results at ``path`` with those of ``new`` in place of equal labels, written beside it and then moved there."""
+    hadoop = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    upserted(saved_results(spark, path), new).write.mode("overwrite").parquet(f"{path}.new")
+    store.delete(hadoop(path), True)
+    if not store.rename(hadoop(f"{path}.new"), hadoop(path)):
+        raise OSError(f"results stay at {path}.new")
+    return saved_results(spark, path)
+
+
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
     """A small JSON object as a text file on any file system Spark knows."""
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)

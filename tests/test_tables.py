@@ -41,3 +41,29 @@ def test_entry_has_sql_for_known_queries_only():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_array_sink_results_and_pages(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a"b\n'), (2, None)], "k int, t string")
+    tables.write_json_array(df, str(tmp_path / "a"))
+    assert sorted((r["k"], r["t"]) for r in tables.read_json_array(spark, str(tmp_path / "a"), "k int, t string").collect()) == [(1, 'a"b\n'), (2, None)]
+    tables.write_json_array(df.limit(0), str(tmp_path / "b"))
+    assert tables.read_json_array(spark, str(tmp_path / "b"), "k int, t string").count() == 0
+    row = lambda label, score: spark.createDataFrame([(label, score, "m", "t")], "label string, score double, model string, timestamp string")
+    for label, score in (("pre", 0.1), ("post", 0.2), ("pre", 0.3)):
+        got = tables.save_results(spark, str(tmp_path / "r"), row(label, score))
+    assert sorted((r["label"], r["score"]) for r in got.collect()) == [("post", 0.2), ("pre", 0.3)]
+    tables.write_pages(spark.createDataFrame([("x", "u1", "old"), ("x", "u2", "new"), ("y", "u3", "z")], "file string, url string, html string"), str(tmp_path / "p"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).select("file", "html").collect())) == [("x", "new"), ("y", "z")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from siltstone import __main__ as cli
+
+    spark.createDataFrame([(1, "/a", "<html><body><main><h1>Rates</h1><p>The rate of the loan is two per cent.</p></main></body></html>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "q.txt").write_text("What is the rate?\n\n  quit \n")
+    monkeypatch.setenv("SILTSTONE_INDEX", str(tmp_path / "index"))
+    cli.run(spark, cli.parameters(["ingest", "--pages", str(tmp_path / "pages")]))
+    cli.run(spark, cli.parameters(["ask", "--questions", str(tmp_path / "q.txt"), "--answers", str(tmp_path / "out")]))
+    got = tables.read_json_array(spark, str(tmp_path / "out"), "question string, answer string").collect()
+    assert [r["question"] for r in got] == ["What is the rate?"] and "rate" in got[0]["answer"]
