@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import ASCII_LOWER, binary_list, crc_fold, written
 
 #: Words with a code of their own, slots of a table at least and at most (as powers of two), very frequent words.
-VOCABULARY, LEAST_BITS, MOST_BITS, MARKERS = 1 << 17, 18, 22, 64
+VOCABULARY, LEAST_BITS, MOST_BITS, MARKERS = 1 << 17, 18, 21, 64
 #: Tokens to a shard of contexts, and shards at least; tokens that a task gathers before it deals them out; bytes of text that weights are learned on in one go.
-SHARD_TOKENS, LEAST_SHARDS, RUN_TOKENS, LEARNED_BYTES = 4_000_000, 32, 2_000_000, 8 << 20
+SHARD_TOKENS, LEAST_SHARDS, RUN_TOKENS, LEARNED_BYTES = 1_000_000, 32, 2_000_000, 8 << 20
 #: Kinds of contexts by how often they were seen (powers of two), rounds in which their weights settle, units of a log10 probability.
-SEEN_KINDS, ROUNDS, UNIT = 8, 6, 1000.0
+SEEN_KINDS, ROUNDS, UNIT = 8, 6, 100.0
+#: A token on its way: 24 bits of context, 12 of successor and 12 of probability, in six bytes.
+TOKEN_BYTES = 6
 #: Slots to a piece of a table when tables are added up, and tasks whose pieces are added up at once.
 PIECE, ADDED = 1 << 14, 256
 CONTEXTS, CONFIDENCE = 3, 3
@@ -130,7 +132,7 @@ class Coder:
     def events(self, docs: list[list[bytes]]):
         """For each bit: the slots in the tables (one row each), the bit, the kind (0 word, 1 byte) and the token.
 
-        Then the documents' sizes, the tokens' symbols, contexts of two words (64 bits) and successors (16 bits), and the unknown words.
+        Then the documents' sizes, the tokens' symbols, contexts of two words (64 bits) and successors (12 bits), and the unknown words.
         """
         escape = self.escape
         sizes = np.array([len(d) + 1 for d in docs])
@@ -162,7 +164,7 @@ class Coder:
         contexts = [None, _hash(2, before), _hash(4, marker)]
         slots, bits, kinds, owners = [self._slots(contexts, n, node)], [bit], [np.zeros(len(bit), np.int64)], [np.repeat(at, n)]
         two = _hash(9, before, before2).astype(np.uint64) << np.uint64(32) | _hash(10, before2, before)
-        next_ = _hash(11, own, before) >> np.uint32(16)
+        next_ = _hash(11, own, before) >> np.uint32(20)
         if len(rare):
             n = spans + 1
             stream = np.full(n.sum(), END_OF_WORD, np.int64)
@@ -392,10 +394,19 @@ def learned_mixer(docs: DataFrame, held, tables, key: str) -> tuple[np.ndarray,
     return weights, refine.astype(np.float32).ravel()
 
 
+def _narrow(data: np.ndarray) -> bytes:
+    return data.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _wide(parts: list[bytes]) -> np.ndarray:
+    own = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, TOKEN_BYTES)
+    return np.pad(own, ((0, 0), (0, 8 - TOKEN_BYTES))).view("<u8").ravel()
+
+
 def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarray:
     """log10 probabilities of the tokens of one shard, with what followed their contexts mixed in.
 
-    ``data``: context (32 bits), successor (16), mixed log10 probability (16); ``doc``: each token's document, ascending;
+    ``data``: context (24 bits), successor (12), mixed log10 probability (12); ``doc``: each token's document, ascending;
     ``training``: whether each token counts. A training document's own tokens are left out for itself.
     """
 
@@ -410,11 +421,11 @@ def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarr
         out[order] = total(fresh) - total(own)  # a document's own tokens count nothing unless it is a training one
         return out
 
-    plain = 10.0 ** (-(data & np.uint64(0xFFFF)).astype(np.float64) / UNIT)
-    of_context = counts(data >> np.uint64(32))
+    plain = 10.0 ** (-(data & np.uint64(0xFFF)).astype(np.float64) / UNIT)
+    of_context = counts(data >> np.uint64(24))
     seen = np.flatnonzero(of_context > 0)
     if len(seen):
-        share = counts(data >> np.uint64(16))[seen] / of_context[seen]
+        share = counts(data >> np.uint64(12))[seen] / of_context[seen]
         kind = np.minimum(np.log2(of_context[seen]).astype(np.int64), SEEN_KINDS - 1)
         weight, learn = np.full(SEEN_KINDS, 0.5), training[seen]
         many = np.bincount(kind[learn], minlength=SEEN_KINDS)
@@ -436,7 +447,7 @@ def _shard_sums(table):
     many = [np.frombuffer(d, np.uint32) for _, _, d, _ in rows]
     doc = np.repeat(np.arange(sum(map(len, many))), np.concatenate(many))
     training = np.concatenate([np.frombuffer(t, bool) for *_, t in rows])[doc]
-    total = np.bincount(doc, blended(np.concatenate([np.frombuffer(x, np.uint64) for _, x, _, _ in rows]), doc, training), sum(map(len, many)))
+    total = np.bincount(doc, blended(_wide([x for _, x, _, _ in rows]), doc, training), sum(map(len, many)))
     cuts = np.cumsum([0, *map(len, many)])
     columns = {"row": pa.array([r[0] for r in rows], pa.int64()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
     return pa.table([columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in table.schema if f.name not in ("shard", "data", "docs", "training")], names=[n for n in table.column_names if n not in ("shard", "data", "docs", "training")])
@@ -498,7 +509,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
             order = np.argsort(shard.astype(np.uint16) if shards < 65_536 else shard, kind="stable")
             data, doc, cuts = data[order], doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
             flags = np.array(folds_of, bool).tobytes()
-            rows = [(int(k), run, data[a:b].tobytes(), np.bincount(doc[a:b], minlength=len(folds_of)).astype(np.uint32).tobytes(), flags) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows = [(int(k), run, _narrow(data[a:b]), np.bincount(doc[a:b], minlength=len(folds_of)).astype(np.uint32).tobytes(), flags) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             columns = dict(zip(("shard", "row", "data", "docs", "training"), zip(*rows, strict=True), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in kinds_of], schema=kinds_of)
 
@@ -508,7 +519,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
             np.subtract(1, p, out=p, where=bits == 0)
             mixed_bits = np.bincount(token, np.log10(p), len(symbols))
             doc = np.repeat(np.arange(len(texts)), sizes)
-            waiting.append(((two & np.uint64(0xFFFFFFFF)) << np.uint64(32) | next_.astype(np.uint64) << np.uint64(16) | np.minimum(np.rint(-mixed_bits * UNIT), 65_535).astype(np.uint64), ((two >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), doc + len(folds_of)))
+            waiting.append(((two & np.uint64(0xFFFFFF)) << np.uint64(24) | next_.astype(np.uint64) << np.uint64(12) | np.minimum(np.rint(-mixed_bits * UNIT), 4095).astype(np.uint64), ((two >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), doc + len(folds_of)))
             folds_of += [x != held_out for x in batch.column(1).take(pa.array(rows, pa.int64())).to_pylist()]
             base = np.bincount(doc, coder.log_counts[symbols], len(texts))
             sure = np.bincount(doc, (symbols != coder.escape) & ((symbols != coder.end) | (ends > 0)), len(texts)).astype(np.int64)

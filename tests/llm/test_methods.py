@@ -310,7 +310,8 @@ def test_mixing_does_not_depend_on_partitions_and_counts_words_as_a_plain_versio
 
 def test_successors_are_mixed_in_without_a_document_s_own():
     tokens = [(7, 1), (7, 1), (7, 2), (9, 1)]  # context, successor
-    data = np.array([c << 32 | s << 16 | 2000 for c, s in tokens], np.uint64)
+    data = np.array([c << 24 | s << 12 | 200 for c, s in tokens], np.uint64)
+    assert (mixing._wide([mixing._narrow(data[:3]), mixing._narrow(data[3:])]) == data).all()
     out = mixing.blended(data, np.array([0, 1, 1, 2]), np.array([True, True, True, False]))
     # Of token 0's context two others are left, one with its successor; of token 2 the other document's, with another one; 3 knows none.
     assert out[0] > -2 and out[1] > -2 and out[2] < -2 and out[3] == pytest.approx(-2)
