@@ -96,16 +96,30 @@ def _after(text: Column, at: Column) -> Column:
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is at most ``edits``, else a larger number.
 
-    Equal ends are cut off first. Then bit-parallel over the band, a step for each character of ``b``: bit i of a state
-    stands for row (column - edits + i). The distance is followed down the lowest diagonal of the band to the last row,
-    and along that row from there on.
+    Equal ends are cut off first, and what the segments of the rest rule out goes no further. Then bit-parallel over the
+    band, a step for each character of ``b``: bit i of a state stands for row (column - edits + i). The distance is
+    followed down the lowest diagonal of the band to the last row, and along that row from there on.
     """
 
     def tails(v):
         return _named({"a": v.a, "b": v.b, "p": shared_prefix(v.a, v.b)}, lambda w: F.struct(F.reverse(_after(w.a, w.p)).alias("a"), F.reverse(_after(w.b, w.p)).alias("b")))
 
     too_far = F.abs(F.char_length(a) - F.char_length(b)) > edits
-    return F.when(too_far, F.lit(edits + 1)).otherwise(_named({"t": _named({"t": _named({"a": a, "b": b}, tails)}, lambda r: tails(r.t))}, lambda r: _band(r.t.a, r.t.b, edits)))
+    return F.when(too_far, F.lit(edits + 1)).otherwise(_named({"t": _named({"t": _named({"a": a, "b": b}, tails)}, lambda r: tails(r.t))}, lambda r: F.when(_possible(r.t.a, r.t.b, edits), _band(r.t.a, r.t.b, edits)).otherwise(F.lit(edits + 1))))
+
+
+def _possible(a: Column, b: Column, edits: int) -> Column:
+    """False only for strings without equal ends that are more than ``edits`` edits apart.
+
+    Both ends differ, so the first and the last step from ``a`` to ``b`` are edits. With at most one edit they are the
+    same step, and nothing longer than a character is left. Otherwise all but two edits fall on what stands between the
+    first and the last character, so one of its ``edits`` - 1 segments is found unchanged in ``b``.
+    """
+    if edits < 2:
+        return F.greatest(F.char_length(a), F.char_length(b)) <= edits
+    inside = F.char_length(a) - 2
+    unchanged = (F.contains(b, F.substring(a, start + 2, size)) for start, size in segments(F.greatest(inside, F.lit(0)), edits - 1))
+    return reduce(lambda x, y: x | y, unchanged, inside <= 0)
 
 
 def _band(a: Column, b: Column, edits: int) -> Column:
