@@ -77,6 +77,14 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def gray(letters: Column) -> Column:
+    """A sketch with each count in Gray code, where counts (modulo 16) that differ by one differ in one bit.
+
+    So two lines' codes differ in no more bits than ``sketch_distance`` says; that is cheap enough for a join's condition.
+    """
+    return letters.bitwiseXOR(F.shiftrightunsigned(letters, 1).bitwiseAND(F.lit(0x7777777777777777)))
+
+
 def _named(fields: dict[str, Column], then) -> Column:
     """``then`` of a struct of the fields, each worked out once."""
     return F.element_at(F.transform(F.array(F.struct(*(c.alias(k) for k, c in fields.items()))), then), 1)
@@ -287,8 +295,8 @@ def _common(firsts: DataFrame, lines: int) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
-def candidates(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
-    """a, b: (62-bit hashes of) different lines that share a key; a is the shorter one, or one of equal length."""
+def shared_keys(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
+    """key, line (62-bit hash), kind for the keys that several different lines have."""
     # A very common line gives its keys where it stands first, any other at each place; equal rows of a key count once.
     kept = F.struct("row", "row2", "pos")
     lines = docs_lines.join(F.broadcast(common.select("h", "g", "first")), ["h", "g"], "left").where(F.col("first").isNull() | (kept == F.col("first.at"))).select("line", "h", "length")
@@ -297,20 +305,34 @@ def candidates(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_ch
     line = F.shiftrightunsigned("m", 2)
     of_key = Window.partitionBy("key")
     several = rows.withColumns({"low": F.min(line).over(of_key), "high": F.max(line).over(of_key)}).where("low <> high").select("key", "m").distinct()
-    several = written(several, "keys").withColumns({"line": line, "kind": F.col("m").bitwiseAND(3)})
-    left, right = several.where(F.col("kind") == INDEXED).select("key", F.col("line").alias("a")), several.select("key", F.col("line").alias("b"), "kind")
-    return left.join(right, "key").where((F.col("a") < F.col("b")) | ((F.col("kind") == SHORTER) & (F.col("a") != F.col("b")))).select("a", "b").distinct()
+    return written(several, "keys").select("key", line.alias("line"), F.col("m").bitwiseAND(3).alias("kind"))
+
+
+def _edits(least_chars: int, edits: int, x: str, y: str) -> Column:
+    return F.least(*(allowed(F.col(f"{s}_length"), edits, least_chars) for s in (x, y)))
+
+
+def candidates(keys: DataFrame, texts: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
+    """a, b: different lines that share a key and are near by length and letters; a is the shorter one, or one of equal length."""
+    codes = texts.select(F.col("c").alias("line"), "length", gray(F.col("letters")).alias("code")).distinct()
+    side = lambda s: keys.join(codes, "line").select("key", "kind", *(F.col(c).alias(f"{s}_{c}") for c in ("line", "length", "code")))
+    a, b, e = F.col("a_line"), F.col("b_line"), _edits(least_chars, edits, "a", "b")
+    # The bounds are part of the join: what they rule out is never a row.
+    meets = (F.col("i.key") == F.col("p.key")) & ((a < b) | ((F.col("p.kind") == SHORTER) & (a != b)))
+    near = (F.abs(F.col("a_length") - F.col("b_length")) <= e) & (F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))) <= 2 * e)
+    return side("a").where(F.col("kind") == INDEXED).alias("i").join(side("b").alias("p"), meets & near).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def line_links(docs_lines: DataFrame, common: DataFrame, *, edits: int, least_chars: int) -> DataFrame:
     """x, y: nodes (hexadecimal 128-bit hashes) of different lines within the edits that the shorter one is allowed."""
-    pairs = written(candidates(docs_lines, common, edits=edits, least_chars=least_chars), "pairs")
-    sides = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "sides")
+    keys = shared_keys(docs_lines, common, edits=edits, least_chars=least_chars)
+    sides = written(keys.select(F.col("line").alias("c")).distinct(), "sides")
     # Equal lines are one row here; of a very common one every task sends one.
     mine = docs_lines.withColumn("c", F.shiftrightunsigned("h", 2)).join(_sent(sides, sides.count()), "c", "left_semi")
     texts = written(mine.groupBy("c", "h", "g").agg(F.first("line").alias("line"), F.first("length").alias("length")).select("c", _node().alias("node"), "line", "length", sketch(F.col("line")).alias("letters")), "texts")
+    pairs = written(candidates(keys, texts, edits=edits, least_chars=least_chars), "pairs")
     one = lambda side, name: texts.select(F.col("c").alias(side), *(F.col(x).alias(f"{name}_{x}") for x in ("node", "line", "length", "letters")))
-    e = F.least(allowed(F.col("x_length"), edits, least_chars), allowed(F.col("y_length"), edits, least_chars))
+    e = _edits(least_chars, edits, "x", "y")
     met = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where((F.col("x_node") != F.col("y_node")) & (F.abs(F.col("x_length") - F.col("y_length")) <= e) & (sketch_distance(F.col("x_letters"), F.col("y_letters")) <= 2 * e))
     return written(met.where(banded_distance(F.col("x_line"), F.col("y_line"), edits) <= e).select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")), "links")
 
