@@ -315,3 +315,13 @@ def test_successors_are_mixed_in_without_a_document_s_own():
     out = mixing.blended(data, np.array([0, 1, 1, 2]), np.array([True, True, True, False]))
     # Of token 0's context two others are left, one with its successor; of token 2 the other document's, with another one; 3 knows none.
     assert out[0] > -2 and out[1] > -2 and out[2] < -2 and out[3] == pytest.approx(-2)
+
+
+def test_gray_codes_differ_in_no_more_bits_than_counts(spark):
+    from pyspark.sql import functions as F
+
+    counts = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).cast("long").alias("y"))
+    bits = F.bit_count(lines.gray(F.col("x")).bitwiseXOR(lines.gray(F.col("y"))))
+    assert counts.where(bits > lines.sketch_distance(F.col("x"), F.col("y"))).count() == 0
+    high = counts.select(*(F.shiftleft(c, 60).alias(c) for c in ("x", "y")))
+    assert high.where(bits > lines.sketch_distance(F.col("x"), F.col("y"))).count() == 0
