@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import similarity_key, strip, title
+from siltstone.operators.ordered import running
 
 #: Rows of each split at most, seed of the deterministic order.
 CAPS = {"train": 40, "dev": 30, "test": 30}
@@ -100,6 +101,6 @@ def split(pairs: DataFrame, caps: dict[str, int] = CAPS, seed: str = SEED) -> Da
 
 
 def positional(pairs: DataFrame, train: int = 30, test_from: int = 50) -> DataFrame:
-    """train: the first rows; test: those from a place on; the rows between are in neither."""
-    place = F.row_number().over(Window.orderBy("pos")) - 1
-    return pairs.withColumn("place", place).withColumn("split", F.when(F.col("place") < train, "train").when(F.col("place") >= test_from, "test")).where("split is not null")
+    """train: the first rows; test: those from a place on; the rows between are in neither. No two rows share a ``pos``."""
+    placed = running(pairs, [F.col("pos")], {"place": F.lit(1)})
+    return placed.withColumn("split", F.when(F.col("place") < train, "train").when(F.col("place") >= test_from, "test")).where("split is not null")
