@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import new_folder, shared_dir, written  # noqa: F401 the operators take them from here
+
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte as it is.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI: what the session names in ``spark.checkpoint.dir``.
-
-    Only on one machine (a local master) a temporary folder is made where that is unset; on a cluster this is an error,
-    as executors would write to folders of their own.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(path)
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A URI below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

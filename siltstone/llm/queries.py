@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, decontaminate, jaccard, language, licenses, lines, mixing, packing, quality, sstable
+from siltstone.llm import ann, clusters, decontaminate, jaccard, language, licenses, lines, mixing, packing, quality, sstable
 from siltstone.llm.common import crc_fold
 
 
@@ -75,7 +75,13 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op5_edit_join, op6_vertical_jaccard, op7_license_scan, op8_kneser_ney, op9_best_two_fit, op10_decontamination)}
+def op13_kd_filter(spark, sf_dir):
+    """Eight clusters of all vectors in whole numbers, after ten rounds."""
+    return clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op5_edit_join, op6_vertical_jaccard, op7_license_scan, op8_kneser_ney, op9_best_two_fit, op10_decontamination, op13_kd_filter)}
+
 
 def _license_sql() -> str:
     """The licence scan in SQL: its templates are rows, as in the operator."""
