@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, clusters, decontaminate, jaccard, language, licenses, lines, mixing, packing, quality, sstable
+from siltstone.llm import ann, clusters, collocations, decontaminate, jaccard, language, licenses, lines, mixing, mixture, packing, quality, sstable
 from siltstone.llm.common import crc_fold
 
 
@@ -75,12 +75,22 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_collocations(spark, sf_dir):
+    """The 2,000 best phrases of each language over all documents."""
+    return collocations.mined(_table(spark, sf_dir, "documents"))
+
+
+def op12_fair_queueing(spark, sf_dir):
+    """How often the mix of all sources takes each document."""
+    return mixture.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op13_kd_filter(spark, sf_dir):
     """Eight clusters of all vectors in whole numbers, after ten rounds."""
     return clusters.clustered(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op5_edit_join, op6_vertical_jaccard, op7_license_scan, op8_kneser_ney, op9_best_two_fit, op10_decontamination, op13_kd_filter)}
+QUERIES = {f.__name__: f for f in (op1_rank_order, op2_sstable, op3_anisotropic, op4_context_mixing, op5_edit_join, op6_vertical_jaccard, op7_license_scan, op8_kneser_ney, op9_best_two_fit, op10_decontamination, op11_collocations, op12_fair_queueing, op13_kd_filter)}
 
 
 def _license_sql() -> str:
@@ -128,4 +138,4 @@ from f left join own using (doc_id) left join inherited i on i.path = f.path
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": _license_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": _license_sql(), "op11_collocations": collocations.SQL, "op12_fair_queueing": mixture.SQL}
