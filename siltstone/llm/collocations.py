@@ -1,10 +1,10 @@
 """Phrases whose words go together: counts of n-grams by hash bucket, scores by lookups of the parts.
 
 Texts are cut into pieces at punctuation; equal pieces of a language become one with a multiplicity. Different pieces are
-dealt to buckets of a bounded size. Each bucket counts the n-grams of its pieces, weighted by multiplicity, and sends
-them to the hash buckets of n-grams, where DuckDB adds them up (it spills beyond its memory) and answers every bucket
-that asked with the n-grams that are frequent. As no phrase is more frequent than its parts, the next n-grams are counted
-only where all their parts are frequent: words, then pairs, then longer phrases. No table of n-grams is in one place.
+dealt to buckets of a bounded size. Each bucket counts the words and pairs of its pieces, weighted by multiplicity, and
+sends them to the hash buckets of n-grams, where DuckDB adds them up (it spills beyond its memory) and answers every
+bucket that asked with a list of the pairs that are frequent. As no phrase is more frequent than its parts, longer ones
+are then counted only where all their pairs are frequent. No table of n-grams is in one place.
 
 A phrase's score needs the counts of its parts: each candidate sends a request for every part to where that is counted,
 and the answers meet again at the candidate.
@@ -78,22 +78,16 @@ class Words:
 
         return np.flatnonzero(self.parent[: len(self.ids) - n + 1] == self.parent[n - 1 :]) if len(self.ids) >= n else np.zeros(0, np.int64)
 
-    def known(self, phrases, n: int):
-        """For each place whether the n-gram that begins there (n is 1 or 2) is among ``phrases``."""
+    def known(self, pairs):
+        """For each place whether the pair that begins there is among ``pairs``."""
         import numpy as np
         import pyarrow.compute as pc
 
-        out, at = np.zeros(len(self.ids), bool), self.inside(n)
-        if n == 1:
-            numbers = pc.drop_null(pc.index_in(phrases, self.names)).to_numpy()
-            marked = np.zeros(len(self.names), bool)
-            marked[numbers] = True
-            out[at] = marked[self.ids[at]]
-        elif len(phrases):
-            both = pc.split_pattern(phrases, " ")
-            a, b = (pc.index_in(pc.list_element(both, k), self.names).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            many = len(self.names)
-            out[at] = np.isin(self.ids[at] * many + self.ids[at + 1], a * many + b)
+        out, at = np.zeros(len(self.ids), bool), self.inside(2)
+        if len(pairs):
+            both, many = pc.split_pattern(pairs, " "), len(self.names)
+            a, b = (pc.fill_null(pc.index_in(pc.list_element(both, k), self.names), -1).to_numpy().astype(np.int64) for k in (0, 1))
+            out[at] = np.isin(self.ids[at] * many + self.ids[at + 1], (a * many + b)[(a >= 0) & (b >= 0)])
         return out
 
     def counted(self, n: int, at):
@@ -112,8 +106,8 @@ class Words:
         return pc.binary_join_element_wise(*words, " ") if n > 1 else words[0], pa.array(totals)
 
 
-def partial(dealt: DataFrame, sizes: range, frequent: DataFrame | None) -> DataFrame:
-    """lang, bucket, phrase, m of the n-grams of ``sizes`` in each bucket whose parts of the size before are frequent there."""
+def partial(dealt: DataFrame, sizes: range, answers: DataFrame | None) -> DataFrame:
+    """lang, bucket, phrase, m of the n-grams of ``sizes`` in each bucket; with ``answers`` those whose pairs are all frequent."""
     schema = "lang string, bucket long, phrase string, m long"
 
     def run(left, right=None):
@@ -122,29 +116,29 @@ def partial(dealt: DataFrame, sizes: range, frequent: DataFrame | None) -> DataF
 
         out = []
         if left.num_rows:
-            words = Words(left)
-            step = sizes[0] - 1
-            ok = words.known(right["phrase"].combine_chunks(), step) if step else None
+            words, lang, bucket = Words(left), left["lang"][0].as_py(), left["bucket"][0].as_py()
+            ok = None if right is None else words.known(right["phrases"].combine_chunks().flatten())
             for n in sizes:
                 at = words.inside(n)
-                for k in range(n - step + 1 if step else 0):
+                for k in range(n - 1 if ok is not None else 0):
                     at = at[ok[at + k]]
                 if len(at):
                     phrase, m = words.counted(n, at)
-                    out.append(pa.table([pa.array(np.full(len(m), left["bucket"][0].as_py())), phrase, m], names=["bucket", "phrase", "m"]).add_column(0, "lang", pa.array([left["lang"][0].as_py()] * len(m), pa.string())))
+                    out.append(pa.table([pa.array([lang] * len(m), pa.string()), pa.array(np.full(len(m), bucket)), phrase, m], names=["lang", "bucket", "phrase", "m"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.int64())], names=["lang", "bucket", "phrase", "m"])
 
-    if frequent is None:
+    if answers is None:
         return dealt.groupBy("lang", "bucket").applyInArrow(lambda table: run(table), schema)
-    asked = frequent.where(F.size(F.split("phrase", " ")) == sizes[0] - 1).select("lang", "bucket", "phrase")
-    return dealt.groupBy("lang", "bucket").cogroup(asked.groupBy("lang", "bucket")).applyInArrow(lambda left, right: run(left, right), schema)
+    return dealt.groupBy("lang", "bucket").cogroup(answers.groupBy("lang", "bucket")).applyInArrow(lambda left, right: run(left, right), schema)
 
 
 def counted(parts: DataFrame, least: int) -> DataFrame:
-    """lang, bucket, phrase, total, first: each bucket's phrases that occur ``least`` times or more over all buckets.
-
-    ``first`` marks one row of each phrase. A task holds one hash bucket of phrases, in DuckDB.
+    """lang, phrase, total of the phrases that occur ``least`` times or more over all buckets; then lang, bucket, phrases:
+    the pairs among them that a bucket has, as one list. A task holds one hash bucket of phrases, in DuckDB.
     """
+    frequent = f"create table frequent as select lang, phrase, sum(m)::bigint as total from parts group by all having sum(m) >= {least}"
+    totals = "select lang, phrase, total, null::bigint as bucket, null::varchar[] as phrases from frequent"
+    answers = "select lang, null::varchar as phrase, null::bigint as total, bucket, list(phrase) as phrases from parts join frequent using (lang, phrase) where len(string_split(phrase, ' ')) = 2 group by lang, bucket"
 
     def run(batches):
         import tempfile
@@ -158,26 +152,20 @@ def counted(parts: DataFrame, least: int) -> DataFrame:
                 db.register("batch", pa.Table.from_batches([batch]))
                 db.execute("insert into parts select * from batch")
                 db.unregister("batch")
-            found = db.sql(f"""
-                with whole as (select lang, phrase, sum(m)::bigint as total, min(bucket) as low from parts group by all having sum(m) >= {least})
-                select lang, bucket, phrase, total, bucket = low as first from parts join whole using (lang, phrase)""")
-            yield from found.to_arrow_reader(10_000)
+            db.execute(frequent)
+            for query in (totals, answers):
+                yield from db.sql(query).to_arrow_reader(10_000)
 
-    return parts.repartition("lang", "phrase").mapInArrow(run, "lang string, bucket long, phrase string, total long, first boolean")
+    return parts.repartition("lang", "phrase").mapInArrow(run, "lang string, phrase string, total long, bucket long, phrases array<string>")
 
 
 def frequent_phrases(found: DataFrame, sizes: DataFrame, *, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, phrase, total of all phrases of up to ``longest`` words with at least ``least`` occurrences; found: lang, piece, m; sizes: lang, buckets."""
     dealt = found.join(sizes.select("lang", "buckets"), "lang").select("lang", F.pmod(F.xxhash64("piece"), F.col("buckets")).alias("bucket"), "piece", "m")
-    last, out = None, []
-    for n in (range(1, 2), range(2, 3), range(3, longest + 1)):
-        if len(n) and n[0] <= longest:
-            last = written(counted(partial(dealt, n, last), least), "frequent")
-            out.append(last.where("first").select("lang", "phrase", "total"))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    first = written(counted(partial(dealt, range(1, min(2, longest) + 1), None), least), "frequent")
+    answers = first.where("phrases is not null").select("lang", "bucket", "phrases")
+    longer = written(counted(partial(dealt, range(3, longest + 1), answers), least), "frequent")
+    return first.unionByName(longer).where("phrase is not null").select("lang", "phrase", "total")
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def test_buckets_of_any_size_give_the_same(spark, odd, monkeypatch):
 def test_counts_beyond_memory_are_whole(monkeypatch, spark):
     monkeypatch.setattr(collocations, "COUNT_MEMORY", "24MB")
     parts = spark.range(0, 600_000, 1, 2).selectExpr("'en' as lang", "id % 3 as bucket", "concat('a phrase of several words, number ', cast(id % 200000 as string)) as phrase", "1 + id % 5 as m")
-    out = collocations.counted(parts, 1).where("first").selectExpr("count(*) as n", "sum(total) as total").first()
+    out = collocations.counted(parts, 1).where("phrase is not null").selectExpr("count(*) as n", "sum(total) as total").first()
     assert (out["n"], out["total"]) == (200_000, 1_800_000)
 
 
@@ -94,4 +94,4 @@ def test_places_within_a_piece():
     words = collocations.Words(pa.table({"piece": ["a b a b", "b", "a b"], "m": [2, 1, 5]}))
     phrases, m = words.counted(2, words.inside(2))
     assert dict(zip(phrases.to_pylist(), m.to_pylist(), strict=True)) == {"a b": 9, "b a": 2}
-    assert words.known(pa.array(["b a", "q a"]), 2).tolist() == [False, True, False, False, False, False, False]
+    assert words.known(pa.array(["b a", "q a"])).tolist() == [False, True, False, False, False, False, False]
