@@ -32,6 +32,7 @@ def run(spark, args: argparse.Namespace) -> None:
     from pyspark.sql import functions as F
 
     from siltstone.functions.text import strip
+    from siltstone.operators import search
     from siltstone.plans.ask import ask
     from siltstone.plans.ingest import index
     from siltstone.sources.tables import write_json_array
@@ -41,7 +42,7 @@ def run(spark, args: argparse.Namespace) -> None:
         return
     asked = spark.read.text(args.questions).select(strip(F.col("value")).alias("text")).where((F.col("text") != "") & ~F.lower("text").isin(*STOP_WORDS))
     questions = asked.distinct().withColumn("question_id", F.md5("text"))
-    write_json_array(ask(spark.read.parquet(f"{args.index}/chunks"), questions, args.k), args.answers)
+    write_json_array(ask(search.load(spark, args.index), questions, args.k), args.answers)
 
 
 def main() -> None:

@@ -1,4 +1,4 @@
-"""Structure-aware chunks of the blocks of a page, as one fold inside the row."""
+"""Structure-aware chunks of the blocks of a page, as one pass over them."""
 
 from __future__ import annotations
 
@@ -14,30 +14,46 @@ CHUNK_SIZE, OVERLAP, FIRST_SECTION = 800, 150, "General"
 SECTION_START, SECTION_END = "___SECTION_START___", "___SECTION_END___"
 
 
+def _fold(tags: list[str], texts: list[str], size: int, overlap: int, section: str) -> list[tuple[str, str, str]]:
+    """The chunks of one page's blocks, in one pass; the parts of an open chunk are joined once, when it closes."""
+    out, parts, length = [], [], 0
+    for tag, text in zip(tags, texts, strict=True):
+        if tag.startswith("h"):
+            if parts:
+                out.append(("".join(parts).strip(" "), text, section))
+            section, parts, length = text, [], 0
+            continue
+        for part in (text, " ") if parts else (f"[{section}] ", text, " "):
+            parts.append(part)
+            length += len(part)
+        if length > size:
+            whole = "".join(parts)
+            out.append((whole.strip(" "), section, section))
+            parts = [f"[{section}] ... ", whole[-overlap:] if length > overlap and overlap else ""]
+            length = sum(map(len, parts))
+    if parts:
+        out.append(("".join(parts).strip(" "), section, section))
+    return out
+
+
 def chunked(blocks: Column, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP, first_section: str = FIRST_SECTION) -> Column:
-    """array of (text, section, section_of_text) from an array of (tag, text).
+    """array of (text, section, section_of_text) from an array of (tag, text), in time linear in the blocks.
 
     A heading closes the chunk before it, which by then bears the new heading as its ``section``; the heading under
     which its text stood is ``section_of_text``. A chunk is closed once it is longer than ``size``, and the next begins
-    with its end, which is emitted even if nothing follows.
+    with its end, which is emitted even if nothing follows. Null blocks have null chunks.
     """
-    chunk = "array<struct<text:string,section:string,section_of_text:string>>"
-
-    def emit(acc: Column, text: Column, section: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.struct(F.trim(text).alias("text"), section.alias("section"), acc["sec"].alias("section_of_text"))))
 
-    def state(sec: Column, cur: Column, out: Column) -> Column:
-        return F.struct(sec.alias("sec"), cur.alias("cur"), out.alias("out"))
+    def run(lists):
+        import pyarrow as pa
 
-    def merge(acc: Column, b: Column) -> Column:
-        opened = F.concat(F.when(acc["cur"] == "", F.concat(F.lit("["), acc["sec"], F.lit("] "))).otherwise(acc["cur"]), b["text"], F.lit(" "))
-        tail = F.when(F.length(opened) > overlap, F.right(opened, F.lit(overlap))).otherwise("")
-        heading = state(b["text"], F.lit(""), F.when(acc["cur"] != "", emit(acc, acc["cur"], b["text"])).otherwise(acc["out"]))
-        closed = state(acc["sec"], F.concat(F.lit("["), acc["sec"], F.lit("] ... "), tail), emit(acc, opened, acc["sec"]))
-        return F.when(b["tag"].startswith("h"), heading).when(F.length(opened) > size, closed).otherwise(state(acc["sec"], opened, acc["out"]))
+        ends, inner = lists.offsets.to_pylist(), lists.values
+        tags, texts = ([x or "" for x in inner.field(inner.type.get_field_index(c)).to_pylist()] for c in ("tag", "text"))
+        pages = [_fold(tags[a:b], texts[a:b], size, overlap, first_section) if valid else None for a, b, valid in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+        fields = pa.struct([pa.field(c, pa.string()) for c in ("text", "section", "section_of_text")])
+        return pa.array([None if p is None else [dict(zip(("text", "section", "section_of_text"), c, strict=True)) for c in p] for p in pages], pa.list_(fields))
 
-    start = state(F.lit(first_section), F.lit(""), F.expr(f"cast(array() as {chunk})"))
-    return F.aggregate(blocks, start, merge, lambda acc: F.when(acc["cur"] != "", emit(acc, acc["cur"], acc["sec"])).otherwise(acc["out"]))
+    return F.arrow_udf(run, "array<struct<text:string,section:string,section_of_text:string>>")(blocks)
 
 
 def marked_text(blocks: Column) -> Column:

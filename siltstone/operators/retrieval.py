@@ -1,4 +1,4 @@
-"""Hybrid retrieval for all queries at once: vectors, BM25, rank fusion, reranking, context."""
+"""Parts of retrieval for all queries at once: embeddings, term counts, rank fusion, reranking, context."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from siltstone.functions.text import tokens
 K1, B, RRF = 1.5, 0.75, 60
 #: Passages returned; the lists before fusion hold twice, the fused list three times as many.
 K = 3
-#: Components of the hashing stand-in for an embedding model; queries held by a task at once.
+#: Components of the hashing stand-in for an embedding model; queries that meet a shard at once, on average.
 DIM, QUERY_BLOCK = 64, 4096
 
 
@@ -48,50 +48,6 @@ def embedding(text: Column) -> Column:
     return F.pandas_udf(_hashed, "array<double>")(tokens(F.coalesce(text, F.lit(""))))
 
 
-def vector_topk(docs: DataFrame, queries: DataFrame, k: int, *, exclude_self: bool = False) -> DataFrame:
-    """query_id, chunk_id, score, rank: the ``k`` largest inner products for each query over all documents.
-
-    docs: chunk_id, vector; queries: query_id, vector. The stated queries go over all documents in blocks of
-    QUERY_BLOCK, whose size bounds what is sent to the tasks; a task keeps the best of its own rows.
-    """
-    spark = docs.sparkSession
-    id_type = docs.schema["chunk_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    many = queries.count()
-    out = spark.createDataFrame([], schema)
-    for block in range(-(-many // QUERY_BLOCK)):
-        mine = queries if many <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-many // QUERY_BLOCK))) == block)
-        held = spark.sparkContext.broadcast([(r["query_id"], list(map(float, r["vector"]))) for r in mine.select("query_id", "vector").collect()])
-        out = out.unionByName(docs.select("chunk_id", F.col("vector").cast("array<double>")).mapInPandas(_best(held, k, exclude_self), schema))
-    return ranked(out, k)
-
-
-def _best(held, k: int, exclude_self: bool):
-    def run(frames):
-        import pandas as pd
-
-        asked = held.value
-        if not asked:
-            return
-        q = np.array([v for _, v in asked])
-        best: list[list] = [[] for _ in asked]
-        for frame in frames:
-            if not len(frame):
-                continue
-            ids = frame["chunk_id"].tolist()
-            scores = np.array(frame["vector"].tolist()) @ q.T
-            for j, (query_id, _) in enumerate(asked):
-                column = scores[:, j]
-                least = np.partition(column, -min(len(column), k + 1))[-min(len(column), k + 1)]
-                near = np.flatnonzero(column >= least - 1e-9).tolist()
-                rows = best[j] + [(round(-column[i], 9), ids[i], float(column[i])) for i in near if not (exclude_self and ids[i] == query_id)]
-                best[j] = sorted(rows)[:k]
-        yield pd.DataFrame([(query_id, i, s) for (query_id, _), rows in zip(asked, best, strict=True) for _, i, s in rows], columns=["query_id", "chunk_id", "score"])
-
-    return run
-
-
 def postings(docs: DataFrame) -> DataFrame:
     """chunk_id, term, tf, dl: how often each token occurs in a document, and the document's length."""
     split = docs.select("chunk_id", tokens(F.col("text")).alias("t"))
@@ -113,77 +69,6 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
 
 
-def asked_weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """term, idf, avgdl for the terms of ``asked`` (one column, different): one pass counts documents and lengths too."""
-    t = tokens(F.col("text"))
-    # Besides its different terms each document has a row without one, which carries its length.
-    rows = docs.where("text is not null").select(F.size(t).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(t))).alias("term"))
-    met = rows.join(F.broadcast(asked.withColumn("asked", F.lit(True))), "term", "left").where("term is null or asked")
-    counted = met.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl"))
-    n = counted.where("term is null").select(F.col("df").alias("n"), "avgdl")
-    return counted.where("term is not null").select("term", "df").crossJoin(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # n is one row
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the ``k`` best documents by BM25 for each query.
-
-    docs: chunk_id, text; queries: query_id, text. Documents are read twice: for the weights of the terms that some
-    query has, and for those terms' postings. A document's weights then meet the queries in blocks of QUERY_BLOCK as one
-    product of matrices, and a task keeps the best of its own documents, so no pair of document and query is shuffled.
-    """
-    spark = docs.sparkSession
-    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, "chunk_id"), (queries, "query_id")))
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    held_queries = query_terms(queries).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    many = queries.count()
-    blocks = max(1, -(-many // QUERY_BLOCK))
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        mine = held_queries if blocks == 1 else held_queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        asked = [(r["query_id"], r["terms"]) for r in mine.collect()]  # QUERY_BLOCK queries on average
-        numbers = {t: i for i, t in enumerate(sorted({t for _, terms in asked for t in terms}))}
-        if not numbers:
-            continue
-        terms = spark.createDataFrame(list(numbers.items()), "term string, number int")
-        weights = terms.join(asked_weights(docs, terms.select("term")), "term")
-        split = docs.select("chunk_id", tokens(F.col("text")).alias("t"))
-        found = split.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(weights), "term")
-        counted = found.repartition("chunk_id").groupBy("chunk_id", "number", "idf", "avgdl", "dl").agg(F.count("*").alias("tf"))
-        tf, dl = F.col("tf"), F.col("dl")
-        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-        sparse = counted.groupBy("chunk_id").agg(F.collect_list(F.struct("number", part.alias("part"))).alias("x")).select("chunk_id", F.col("x.number").alias("numbers"), F.col("x.part").alias("parts"))
-        held = spark.sparkContext.broadcast((asked, numbers))
-        out = out.unionByName(sparse.mapInPandas(_best_sparse(held, k), schema))
-    return ranked(out, k)
-
-
-def _best_sparse(held, k: int):
-    def run(frames):
-        import pandas as pd
-
-        asked, numbers = held.value
-        has = np.zeros((len(numbers), len(asked)))
-        for j, (_, terms) in enumerate(asked):
-            has[[numbers[t] for t in terms], j] = 1
-        best: list[list] = [[] for _ in asked]
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                some = frame.iloc[at : at + 512]
-                ids, weight = some["chunk_id"].tolist(), np.zeros((len(some), len(numbers)))
-                for i, (places, parts) in enumerate(zip(some["numbers"], some["parts"], strict=True)):
-                    weight[i, places] = parts
-                scores = weight @ has
-                for j in range(len(asked)):
-                    column = scores[:, j]
-                    least = np.partition(column, -min(len(column), k))[-min(len(column), k)]
-                    near = np.flatnonzero((column >= least - 1e-9) & (column > 0)).tolist()
-                    if near:
-                        best[j] = sorted(best[j] + [(round(-column[i], 9), ids[i], float(column[i])) for i in near])[:k]
-        yield pd.DataFrame([(query_id, i, s) for (query_id, _), rows in zip(asked, best, strict=True) for _, i, s in rows], columns=["query_id", "chunk_id", "score"])
-
-    return run
-
-
 def fused(lists: list[DataFrame], k: int) -> DataFrame:
     """query_id, chunk_id, score, rank: reciprocal rank fusion of ranked lists, cut to ``k``; ranks count from 0."""
     rows = lists[0].select("query_id", "chunk_id", "rank")
@@ -202,17 +87,6 @@ def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int)
     return ranked(pairs.withColumn("score", share.cast("double")), k).drop("q")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """The fused candidates of vectors and BM25: 2k of each list, 3k together."""
-    vectors = vector_topk(docs.select("chunk_id", embedding(F.col("text")).alias("vector")), queries.select("query_id", embedding(F.col("text")).alias("vector")), 2 * k)
-    return fused([vectors, bm25_topk(docs, queries, 2 * k)], 3 * k)
-
-
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = K, k_asked: int | None = None) -> DataFrame:
-    """query_id, chunk_id, text, score, rank: the reranked passages; asking for more than ``k`` gives ``k``."""
-    return reranked(hybrid(docs, queries, k), queries, docs, min(k, k_asked if k_asked is not None else k))
-
-
 def expansions(question: Column, listed: Column | None = None, lines: Column | None = None) -> Column:
     """The question, its expansions (a list whole, or the first two filled lines of a text) and a hypothetical answer.
 
@@ -228,14 +102,6 @@ def expansions(question: Column, listed: Column | None = None, lines: Column | N
     return F.concat(F.array(question), more, F.array(F.concat(F.lit("It is about "), F.array_join(own, ", "), F.lit("."))))
 
 
-def multi_query(docs: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
-    """question_id, query_pos, rank, chunk_id, text, score: every query of every question, in order."""
-    queries = questions.select("question_id", F.posexplode(expansions(F.col("text"))).alias("query_pos", "text")).withColumn("query_id", F.concat_ws(":", F.col("question_id").cast("string"), F.col("query_pos").cast("string")))
-    # The same text asked twice is retrieved once for each, as the order of the queries counts.
-    found = retrieve(docs, queries.select("query_id", "text"), k)
-    return found.join(queries.select("query_id", "question_id", "query_pos"), "query_id").select("question_id", "query_pos", "rank", "chunk_id", "text", "score")
-
-
 def distinct_context(found: DataFrame) -> DataFrame:
     """question_id, pos, chunk_id, text: each different text once, where it was first found."""
     first = Window.partitionBy("question_id", "text").orderBy("query_pos", "rank")

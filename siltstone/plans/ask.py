@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import providers, retrieval
+from siltstone.operators import providers, retrieval, search
 
 
-def ask(docs: DataFrame, questions: DataFrame, k: int = retrieval.K, generate=providers.extracted_answer) -> DataFrame:
+def ask(index: search.Index, questions: DataFrame, k: int = retrieval.K, generate=providers.extracted_answer) -> DataFrame:
     """question_id, question, context (all different passages, in order), answer (from the first k + 2 of them).
 
-    docs: chunk_id, text; questions: question_id, text. A question without any passage is answered from none.
+    index: see :mod:`siltstone.operators.search`; questions: question_id, text. A question without any passage is answered from none.
     """
-    context = retrieval.distinct_context(retrieval.multi_query(docs, questions, k))
+    context = retrieval.distinct_context(search.multi_query(index, questions, k))
     gathered = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("c"))
     asked = questions.join(gathered, "question_id", "left").withColumn("context", F.coalesce(F.col("c.text"), F.expr("cast(array() as array<string>)")))
     return asked.select("question_id", F.col("text").alias("question"), "context", generate(F.slice("context", 1, k + 2)).alias("answer"))

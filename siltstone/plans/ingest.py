@@ -1,20 +1,21 @@
-"""Pages to an index: chunks with metadata, embeddings and postings as Parquet tables."""
+"""Pages to an index: chunks with metadata, an inverted index and vectors in cells as Parquet tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunk, retrieval
-from siltstone.sources.tables import load_or_build
+from siltstone.operators import chunk, search
+from siltstone.sources.shared import shared_dir
+from siltstone.sources.tables import stamp, table
 
 
-def index(pages: DataFrame, folder: str, *, force: bool = False, source: str = "Knowledge Base") -> dict[str, DataFrame]:
-    """chunks, embeddings and postings, read from ``folder`` or built there if missing or forced."""
-    spark = pages.sparkSession
-    chunks = load_or_build(spark, f"{folder}/chunks", lambda: chunk.corpus(pages, source=source), force=force)
-    return {
-        "chunks": chunks,
-        "embeddings": load_or_build(spark, f"{folder}/embeddings", lambda: chunks.select("chunk_id", retrieval.embedding(F.col("text")).alias("vector")), force=force),
-        "postings": load_or_build(spark, f"{folder}/postings", lambda: retrieval.postings(chunks), force=force),
-    }
+def index(pages: DataFrame, folder: str, *, force: bool = False, source: str = "Knowledge Base") -> search.Index:
+    """The index of the pages' chunks, read from ``folder`` or built there if missing or forced."""
+    return search.load_or_build(chunk.corpus(pages, source=source), folder, force=force)
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the table ``documents``, kept in the shared folder for as long as the table's files stay the same."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return search.load_or_build(docs, f"{shared_dir(spark).rstrip('/')}/index-{stamp(spark, f'{sf_dir}/documents.parquet')}", stored=True)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.functions.html import parsed
-from siltstone.operators import chunk, crawl, dataset, evaluate, providers, retrieval
+from siltstone.operators import cells, chunk, crawl, dataset, evaluate, inverted, providers, retrieval, search
 from siltstone.plans import sql as S
+from siltstone.plans.ingest import documents_index
 from siltstone.plans.sql import sql
-from siltstone.sources.tables import table, upserted
+from siltstone.sources.shared import shared_dir
+from siltstone.sources.tables import is_written, stamp, table, upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -218,15 +220,18 @@ def qa_examples(spark, d):
 
 @query("select * from (select q.vec_id as query_id, e.vec_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score, (row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], e.embedding::double[]), 9) desc, e.vec_id))::int as rank from embeddings q, embeddings e where q.vec_id % 100 = 0) where rank <= 6")
 def vector_topk(spark, d):
-    """Every vector whose id is divisible by 100 asks all vectors."""
+    """Every vector whose id is divisible by 100 asks all vectors, in cells."""
+    folder = f"{shared_dir(spark).rstrip('/')}/cells-{stamp(spark, f'{d}/embeddings.parquet')}"
     rows = table(spark, d, "embeddings")
-    found = retrieval.vector_topk(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 2 * retrieval.K)
-    return _six(found, "score").withColumnRenamed("chunk_id", "vec_id")
+    if not is_written(spark, f"{folder}/cells"):
+        cells.build(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), folder)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _six(cells.topk(cells.load(spark, folder), asked, 2 * retrieval.K), "score").withColumnRenamed("chunk_id", "vec_id")
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from bm25", "bm25"))
 def bm25_topk(spark, d):
-    return _six(retrieval.bm25_topk(_docs(spark, d), _items(spark, d), 2 * retrieval.K), "score")
+    return _six(inverted.topk(documents_index(spark, d), _items(spark, d), 2 * retrieval.K), "score")
 
 
 @query(sql("select chunk_id, term, tf, dl::int as dl from post", "post"))
@@ -242,19 +247,18 @@ def bm25_idf(spark, d):
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score from rr", "rr"))
 def rrf_fusion(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
-    vectors = retrieval.vector_topk(docs.select("chunk_id", retrieval.embedding(F.col("text")).alias("vector")), items.select("query_id", retrieval.embedding(F.col("text")).alias("vector")), 2 * retrieval.K)
-    return _six(retrieval.fused([vectors, retrieval.bm25_topk(docs, items, 2 * retrieval.K)], 4 * retrieval.K), "score").drop("rank")
+    index, items = documents_index(spark, d), _items(spark, d)
+    return _six(retrieval.fused([search.vectors_topk(index, items, 2 * retrieval.K), inverted.topk(index, items, 2 * retrieval.K)], 4 * retrieval.K), "score").drop("rank")
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from fused", "fused"))
 def hybrid_candidates(spark, d):
-    return _six(retrieval.hybrid(_docs(spark, d), _items(spark, d)), "score")
+    return _six(search.hybrid(documents_index(spark, d), _items(spark, d)), "score")
 
 
 @query(sql("select query_id, chunk_id, text, round(score, 6) as score, rank::int as rank from top", "top"))
 def rerank_topk(spark, d):
-    return _six(retrieval.retrieve(_docs(spark, d), _items(spark, d)), "score")
+    return _six(search.retrieve(documents_index(spark, d), _items(spark, d)), "score")
 
 
 def _questions(spark, d):
@@ -263,12 +267,12 @@ def _questions(spark, d):
 
 @query(sql("select question_id, query_pos::int as query_pos, rank::int as rank, chunk_id, text, round(score, 6) as score from m_found", "m_found"))
 def multi_query_retrieve(spark, d):
-    return _six(retrieval.multi_query(_docs(spark, d), _questions(spark, d)), "score")
+    return _six(search.multi_query(documents_index(spark, d), _questions(spark, d)), "score")
 
 
 @query(sql("select question_id, pos::int as pos, chunk_id, text from ctx", "ctx"))
 def dedupe_context(spark, d):
-    return retrieval.distinct_context(retrieval.multi_query(_docs(spark, d), _questions(spark, d)))
+    return retrieval.distinct_context(search.multi_query(documents_index(spark, d), _questions(spark, d)))
 
 
 @query(sql("select question_id, pos::int as pos, chunk_id, text from ctx where pos <= 5", "ctx"))
@@ -283,7 +287,7 @@ def context_window(spark, d):
 def ask_answers(spark, d):
     from siltstone.plans.ask import ask
 
-    return ask(_docs(spark, d), _questions(spark, d)).select("question_id", "question", "answer", F.size("context").cast("long").alias("n_context"))
+    return ask(documents_index(spark, d), _questions(spark, d)).select("question_id", "question", "answer", F.size("context").cast("long").alias("n_context"))
 
 
 @query(sql(f"select doc_id, section, {S.question_of('section', 'text')} as question, {S.answer_of('text')} as answer, text as context from (select * from corpus where length(text) > 100 order by md5('42' || chunk_id), chunk_id limit 10)", "corpus"))
@@ -394,6 +398,5 @@ def bootstrap_demos(spark, d):
 
 @query(sql('select query_id, sum((a is not null and b is not null)::int)::bigint as "both", count(*) as "either", round(sum((a is not null and b is not null)::int)::double / count(*), 6) as share from (select query_id, chunk_id, 1 as a from vec) full join (select query_id, chunk_id, 1 as b from bm25) using (query_id, chunk_id) group by 1', "vec", "bm25"))
 def retrieval_overlap(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
-    vectors = retrieval.vector_topk(docs.select("chunk_id", retrieval.embedding(F.col("text")).alias("vector")), items.select("query_id", retrieval.embedding(F.col("text")).alias("vector")), 2 * retrieval.K)
-    return evaluate.overlap(vectors, retrieval.bm25_topk(docs, items, 2 * retrieval.K))
+    index, items = documents_index(spark, d), _items(spark, d)
+    return evaluate.overlap(search.vectors_topk(index, items, 2 * retrieval.K), inverted.topk(index, items, 2 * retrieval.K))

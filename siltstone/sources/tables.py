@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """A hash of names, sizes and times of the files of a table: another one once the table has changed."""
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, seen = files.listFiles(store, True), []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
 def chunk_source(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Chunks from a Parquet folder, or from the fallback; an error that names the path if neither is there."""
     for p in (path, fallback):
@@ -72,7 +89,7 @@ def chunk_source(spark: SparkSession, path: str, fallback: str | None = None) ->
 
 def load_or_build(spark: SparkSession, path: str, build, *, force: bool = False) -> DataFrame:
     """The table at ``path``, built and written first if it isn't there or if forced."""
-    if force or not _exists(spark, path):
+    if force or not is_written(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

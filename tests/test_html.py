@@ -67,3 +67,17 @@ def test_text_functions(spark):
 
     row = spark.createDataFrame([("É a_b, x!", "　 a \x1c", "a1b cD")], "q string, s string, t string").select(similarity_key(F.col("q")).alias("k"), normalized(F.lit(None).cast("string")).alias("n"), strip(F.col("s")).alias("s"), title(F.col("t")).alias("t")).first()
     assert (row.k, row.n, row.s, row.t) == ("a_b x é", "", "a", "A1B Cd")
+
+
+def test_a_page_of_many_blocks_takes_linear_time():
+    from time import process_time
+
+    from siltstone.operators.chunk import _fold
+
+    def took(n):
+        began = process_time()
+        assert len(_fold(["p"] * n, ["the text of a block"] * n, 800, 150, "General")) > n / 50
+        return process_time() - began
+
+    took(1000)
+    assert took(400_000) < 40 * max(took(40_000), 0.01) and took(100_000) < 5

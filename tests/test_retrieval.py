@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from siltstone.operators import evaluate, providers, retrieval
+from siltstone.operators import evaluate, inverted, providers, retrieval, search
 
 
 @pytest.fixture(scope="module")
@@ -12,17 +12,22 @@ def docs(spark):
     return spark.createDataFrame([(1, "red fox runs"), (2, "blue whale swims far"), (3, "red whale"), (4, None), (5, "")], "chunk_id int, text string")
 
 
-def test_bm25_by_hand(spark, docs):
-    got = {r["chunk_id"]: r["score"] for r in retrieval.bm25_topk(docs, spark.createDataFrame([(1, "Red, red!")], "query_id int, text string"), 5).collect()}
+@pytest.fixture(scope="module")
+def index(docs, tmp_path_factory):
+    return search.load_or_build(docs, str(tmp_path_factory.mktemp("index")))
+
+
+def test_bm25_by_hand(spark, index):
+    got = {r["chunk_id"]: r["score"] for r in inverted.topk(index, spark.createDataFrame([(1, "Red, red!")], "query_id int, text string"), 5).collect()}
     idf = math.log(1 + (4 - 2 + 0.5) / 2.5)
     assert got == pytest.approx({i: idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / 2.25)) for i, dl in ((1, 3), (3, 2))})
 
 
-def test_pools_and_cuts(spark, docs):
+def test_pools_and_cuts(spark, index):
     queries = spark.createDataFrame([(1, "red whale"), (2, "nothing here")], "query_id int, text string")
-    found = retrieval.hybrid(docs, queries, 1)
+    found = search.hybrid(index, queries, 1)
     assert found.groupBy("query_id").count().where("count > 3").count() == 0
-    assert retrieval.retrieve(docs, queries, 1, k_asked=5).where("rank > 1").count() == 0
+    assert search.retrieve(index, queries, 1, k_asked=5).where("rank > 1").count() == 0
 
 
 def test_expansions(spark):
