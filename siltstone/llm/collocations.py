@@ -1,10 +1,11 @@
 """Phrases whose words go together: counts of n-grams by hash bucket, scores by lookups of the parts.
 
 Texts are cut into pieces at punctuation; equal pieces of a language become one with a multiplicity. Different pieces are
-dealt to buckets of a bounded size. Each bucket counts the words and pairs of its pieces, weighted by multiplicity, and
-sends them to the hash buckets of n-grams, where DuckDB adds them up (it spills beyond its memory) and answers every
-bucket that asked with a list of the pairs that are frequent. As no phrase is more frequent than its parts, longer ones
-are then counted only where all their pairs are frequent. No table of n-grams is in one place.
+dealt to buckets of a bounded size. Each bucket counts the n-grams of its pieces, weighted by multiplicity, and sends
+them to the hash buckets of n-grams, where DuckDB adds them up (it spills beyond its memory) and answers every bucket
+that asked with a list of the n-grams that are frequent. As no phrase is more frequent than its parts, the next n-grams
+are counted only where all their parts are frequent: words, then pairs, then longer phrases. No table of n-grams is in
+one place.
 
 A phrase's score needs the counts of its parts: each candidate sends a request for every part to where that is counted,
 and the answers meet again at the candidate.
@@ -78,16 +79,18 @@ class Words:
 
         return np.flatnonzero(self.parent[: len(self.ids) - n + 1] == self.parent[n - 1 :]) if len(self.ids) >= n else np.zeros(0, np.int64)
 
-    def known(self, pairs):
-        """For each place whether the pair that begins there is among ``pairs``."""
+    def known(self, phrases, n: int):
+        """For each place whether the n-gram that begins there (n is 1 or 2) is among ``phrases``."""
         import numpy as np
         import pyarrow.compute as pc
 
-        out, at = np.zeros(len(self.ids), bool), self.inside(2)
-        if len(pairs):
-            both, many = pc.split_pattern(pairs, " "), len(self.names)
-            a, b = (pc.fill_null(pc.index_in(pc.list_element(both, k), self.names), -1).to_numpy().astype(np.int64) for k in (0, 1))
-            out[at] = np.isin(self.ids[at] * many + self.ids[at + 1], (a * many + b)[(a >= 0) & (b >= 0)])
+        out, at, many = np.zeros(len(self.ids), bool), self.inside(n), len(self.names)
+        if len(phrases):
+            split = pc.split_pattern(phrases, " ")
+            parts = [pc.fill_null(pc.index_in(pc.list_element(split, k), self.names), -1).to_numpy().astype(np.int64) for k in range(n)]
+            here = np.all([x >= 0 for x in parts], axis=0)
+            code = lambda xs: xs[0] if n == 1 else xs[0] * many + xs[1]
+            out[at] = np.isin(code([self.ids[at + k] for k in range(n)]), code(parts)[here])
         return out
 
     def counted(self, n: int, at):
@@ -107,7 +110,9 @@ class Words:
 
 
 def partial(dealt: DataFrame, sizes: range, answers: DataFrame | None) -> DataFrame:
-    """lang, bucket, phrase, m of the n-grams of ``sizes`` in each bucket; with ``answers`` those whose pairs are all frequent."""
+    """lang, bucket, phrase, m of the n-grams of ``sizes`` in each bucket; with ``answers`` those whose parts of one word less, or
+    of two words, are all frequent.
+    """
     schema = "lang string, bucket long, phrase string, m long"
 
     def run(left, right=None):
@@ -117,10 +122,11 @@ def partial(dealt: DataFrame, sizes: range, answers: DataFrame | None) -> DataFr
         out = []
         if left.num_rows:
             words, lang, bucket = Words(left), left["lang"][0].as_py(), left["bucket"][0].as_py()
-            ok = None if right is None else words.known(right["phrases"].combine_chunks().flatten())
+            step = min(sizes[0] - 1, 2)
+            ok = None if right is None else words.known(right["phrases"].combine_chunks().flatten(), step)
             for n in sizes:
                 at = words.inside(n)
-                for k in range(n - 1 if ok is not None else 0):
+                for k in range(n - step + 1 if ok is not None else 0):
                     at = at[ok[at + k]]
                 if len(at):
                     phrase, m = words.counted(n, at)
@@ -132,13 +138,13 @@ def partial(dealt: DataFrame, sizes: range, answers: DataFrame | None) -> DataFr
     return dealt.groupBy("lang", "bucket").cogroup(answers.groupBy("lang", "bucket")).applyInArrow(lambda left, right: run(left, right), schema)
 
 
-def counted(parts: DataFrame, least: int) -> DataFrame:
+def counted(parts: DataFrame, least: int, answered: int = 0) -> DataFrame:
     """lang, phrase, total of the phrases that occur ``least`` times or more over all buckets; then lang, bucket, phrases:
-    the pairs among them that a bucket has, as one list. A task holds one hash bucket of phrases, in DuckDB.
+    those of ``answered`` words among them that a bucket has, as one list. A task holds one hash bucket of phrases, in DuckDB.
     """
     frequent = f"create table frequent as select lang, phrase, sum(m)::bigint as total from parts group by all having sum(m) >= {least}"
     totals = "select lang, phrase, total, null::bigint as bucket, null::varchar[] as phrases from frequent"
-    answers = "select lang, null::varchar as phrase, null::bigint as total, bucket, list(phrase) as phrases from parts join frequent using (lang, phrase) where len(string_split(phrase, ' ')) = 2 group by lang, bucket"
+    answers = f"select lang, null::varchar as phrase, null::bigint as total, bucket, list(phrase) as phrases from parts join frequent using (lang, phrase) where len(string_split(phrase, ' ')) = {answered} group by lang, bucket"
 
     def run(batches):
         import tempfile
@@ -153,7 +159,7 @@ def counted(parts: DataFrame, least: int) -> DataFrame:
                 db.execute("insert into parts select * from batch")
                 db.unregister("batch")
             db.execute(frequent)
-            for query in (totals, answers):
+            for query in (totals, answers) if answered else (totals,):
                 yield from db.sql(query).to_arrow_reader(10_000)
 
     return parts.repartition("lang", "phrase").mapInArrow(run, "lang string, phrase string, total long, bucket long, phrases array<string>")
@@ -162,10 +168,15 @@ def counted(parts: DataFrame, least: int) -> DataFrame:
 def frequent_phrases(found: DataFrame, sizes: DataFrame, *, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, phrase, total of all phrases of up to ``longest`` words with at least ``least`` occurrences; found: lang, piece, m; sizes: lang, buckets."""
     dealt = found.join(sizes.select("lang", "buckets"), "lang").select("lang", F.pmod(F.xxhash64("piece"), F.col("buckets")).alias("bucket"), "piece", "m")
-    first = written(counted(partial(dealt, range(1, min(2, longest) + 1), None), least), "frequent")
-    answers = first.where("phrases is not null").select("lang", "bucket", "phrases")
-    longer = written(counted(partial(dealt, range(3, longest + 1), answers), least), "frequent")
-    return first.unionByName(longer).where("phrase is not null").select("lang", "phrase", "total")
+    answers, out = None, []
+    for n in [range(1, 2), range(2, 3), range(3, longest + 1)][: min(longest, 3)]:
+        step = written(counted(partial(dealt, n, answers), least, n[0] if n[-1] < longest else 0), "frequent")
+        answers = step.where("phrases is not null").select("lang", "bucket", "phrases")
+        out.append(step.where("phrase is not null").select("lang", "phrase", "total"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

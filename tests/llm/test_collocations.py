@@ -66,6 +66,8 @@ def test_odd_rows(spark, odd):
         want = plain(odd, least, first)
         assert len(want) > 4
         assert got(collocations.mined(df.repartition(5), least=least, first=first)) == want
+    for longest in (2, 3):
+        assert got(collocations.mined(df, least=7, longest=longest)) == plain(odd, 7, longest=longest)
     assert collocations.mined(df.where("text is null")).count() == 0
     assert collocations.mined(df.where("false")).count() == 0
 
@@ -94,4 +96,4 @@ def test_places_within_a_piece():
     words = collocations.Words(pa.table({"piece": ["a b a b", "b", "a b"], "m": [2, 1, 5]}))
     phrases, m = words.counted(2, words.inside(2))
     assert dict(zip(phrases.to_pylist(), m.to_pylist(), strict=True)) == {"a b": 9, "b a": 2}
-    assert words.known(pa.array(["b a", "q a"])).tolist() == [False, True, False, False, False, False, False]
+    assert words.known(pa.array(["b a", "q a"]), 2).tolist() == [False, True, False, False, False, False, False]
