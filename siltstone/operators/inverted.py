@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import tokens
 from siltstone.operators.retrieval import K1, QUERY_BLOCK, B, query_terms, ranked
 from siltstone.sources.shared import written
+from siltstone.sources.tables import is_written
 
 #: Documents to a shard on average, to a block of it, and blocks that a query scores before any is skipped.
 SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 4096, 64, 4
@@ -52,8 +53,7 @@ def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
     spark = docs.sparkSession
 
     def add(rows: DataFrame, name: str, *by: str) -> None:
-        # Only this segment's folder is replaced.
-        rows.withColumn("segment", F.lit(segment).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", *by).parquet(f"{folder}/{name}")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/segment={segment}")
 
     places = written(numbered(docs), "places")
     words = docs.where("text is not null").select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
@@ -68,6 +68,10 @@ def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
     add(sums.coalesce(1), "statistics")  # one row, last: a segment without it isn't searched
 
 
+def is_whole(spark: SparkSession, folder: str, segment: int = 0) -> bool:
+    return is_written(spark, f"{folder}/statistics/segment={segment}")
+
+
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of all whole segments."""
     def read(name: str, columns: str, *by: str) -> DataFrame:

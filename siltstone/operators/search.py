@@ -22,7 +22,7 @@ def load_or_build(docs: DataFrame, folder: str, *, force: bool = False, stored:
     if not stored and (force or not is_written(spark, f"{folder}/chunks")):
         docs.write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = docs if stored else spark.read.parquet(f"{folder}/chunks")
-    if force or not is_written(spark, f"{folder}/statistics"):
+    if force or not inverted.is_whole(spark, folder):
         inverted.build(chunks.select("chunk_id", "text"), folder)
     if force or not is_written(spark, f"{folder}/cells"):
         cells.build(chunks.select("chunk_id", embedding(F.col("text")).alias("vector")), folder)

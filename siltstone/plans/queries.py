@@ -17,8 +17,8 @@ from siltstone.operators import cells, chunk, crawl, dataset, evaluate, inverted
 from siltstone.plans import sql as S
 from siltstone.plans.ingest import documents_index
 from siltstone.plans.sql import sql
-from siltstone.sources.shared import shared_dir
-from siltstone.sources.tables import is_written, stamp, table, upserted
+from siltstone.sources.shared import new_folder, shared_dir
+from siltstone.sources.tables import is_written, stamp, table, table_stream, upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -234,6 +234,16 @@ def bm25_topk(spark, d):
     return _six(inverted.topk(documents_index(spark, d), _items(spark, d), 2 * retrieval.K), "score")
 
 
+@query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from bm25", "bm25"))
+def stream_bm25_topk(spark, d):
+    """The same on an index that was filled by a stream of the documents, some files at a time."""
+    from siltstone.streaming.pages import index_stream
+
+    folder = new_folder(spark, "stream-index")
+    index_stream(table_stream(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), folder, new_folder(spark, "stream-state")).awaitTermination()
+    return _six(inverted.topk(inverted.load(spark, folder), _items(spark, d), 2 * retrieval.K), "score")
+
+
 @query(sql("select chunk_id, term, tf, dl::int as dl from post", "post"))
 def bm25_postings(spark, d):
     return retrieval.postings(_docs(spark, d))
@@ -290,6 +300,19 @@ def ask_answers(spark, d):
     return ask(documents_index(spark, d), _questions(spark, d)).select("question_id", "question", "answer", F.size("context").cast("long").alias("n_context"))
 
 
+@query(sql("select question_id, question, answer, n_context, 1::bigint as times_asked from asked", "asked"))
+def cached_answers(spark, d):
+    """All questions asked twice by way of a cache: the second run's answers, and how often each was asked in all."""
+    from siltstone.plans.ask import ask
+
+    cache = providers.ResponseCache(spark, new_folder(spark, "responses"))
+    index, questions = documents_index(spark, d), _questions(spark, d)
+    ask(index, questions, cache=cache).write.format("noop").mode("overwrite").save()
+    again = ask(index, questions, cache=cache).withColumn("window", F.slice("context", 1, retrieval.K + 2)).withColumn("key", providers.prompt_key("answer", ["question", "window"]))
+    times = cache.rows().where("kind = 'answer'").groupBy("key").agg(F.count("*").alias("times_asked"))
+    return again.join(times, "key").select("question_id", "question", "answer", F.size("context").cast("long").alias("n_context"), "times_asked")
+
+
 @query(sql(f"select doc_id, section, {S.question_of('section', 'text')} as question, {S.answer_of('text')} as answer, text as context from (select * from corpus where length(text) > 100 order by md5('42' || chunk_id), chunk_id limit 10)", "corpus"))
 def qa_generate(spark, d):
     """Questions and answers from ten sampled chunks (the sample is the operator's)."""
@@ -390,6 +413,16 @@ def candidate_search(spark, d):
     return search(dataset.split(_topics(spark, d)).where("split = 'train'"))
 
 
+@query(sql("select candidate, program as instruction, n_demos, rung, score, (row_number() over (order by rung desc, score desc, candidate))::int as place from rungs join progs using (candidate)", "rungs", "progs"))
+def program_search(spark, d):
+    """Every instruction with every demonstration set, by successive halving on the training rows."""
+    from siltstone.plans import improve
+
+    traces = _scored(spark, d).where("split = 'train'").withColumnRenamed("run", "predictor")
+    found = improve.programs(list(improve.instructions()), improve.demo_sets(traces))
+    return improve.halving(dataset.split(_topics(spark, d)).where("split = 'train'"), found)
+
+
 @query(sql("select run as predictor, pos, question, answer, place::int as place from (select *, row_number() over (partition by run order by pos) as place from scored where split = 'train' and metric = 1) where place <= 1", "scored"))
 def bootstrap_demos(spark, d):
     traces = _scored(spark, d).where("split = 'train'").withColumnRenamed("run", "predictor")

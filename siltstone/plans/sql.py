@@ -169,6 +169,18 @@ CTES["scored"] = ("preds", f"select *, {metric('answer', 'predicted')} as metric
 CTES["runs"] = ("scored", "select run, split, sum(metric) as total, count(*) as n, round(100 * avg(metric), 1) as percent from scored group by all")
 CTES["cands"] = ("", "select * from (values (0, 'question'), (1, 'sentence'), (2, 'answer'), (3, 'unknown')) t(candidate, program)")
 CTES["trials"] = ("cands splits", f"select candidate, trial, pos, {metric('answer', 'predicted')} as metric from (select candidate, trial, pos, answer, case program when 'question' then question when 'sentence' then {first_sentence('answer')} when 'answer' then answer else 'I don''t know.' end as predicted from cands, range(5) r(trial), splits where split = 'train' qualify row_number() over (partition by candidate, trial order by md5(trial || '|' || pos), pos) <= 4)")
+# Instructions and demonstration sets, halved twice; what isn't tried again keeps its last score.
+CTES["boot"] = ("scored", "select * from (select run, pos, question, answer, row_number() over (partition by run order by pos) as place from scored where split = 'train' and metric = 1) where place <= 1")
+CTES["sets"] = ("boot", "select 0 as set_no, null as dq, null as da union all select row_number() over (order by run), question, answer from boot")
+CTES["progs"] = ("sets cands", "select candidate * 1000 + set_no as candidate, program, (set_no > 0)::int as n_demos, dq, da from cands, sets")
+CTES["pool"] = ("splits boot", "select pos, question, answer from splits where split = 'train' and pos not in (select pos from boot)")
+for _r, _of in enumerate(("progs", "k0", "k1")):
+    _own = f"case program when 'question' then question when 'sentence' then {first_sentence('answer')} when 'answer' then answer else 'I don''t know.' end"
+    CTES[f"b{_r}"] = ("pool", f"select * from pool qualify row_number() over (order by md5('{_r}|' || pos), pos) <= {4 * 2**_r}")
+    CTES[f"p{_r}"] = (f"b{_r} {_of}", f"select candidate, answer, case when dq is not null and {f1('question', 'dq')} >= 0.5 then da else {_own} end as predicted from b{_r}, {_of}")
+    CTES[f"s{_r}"] = (f"p{_r}", f"select candidate, {_r} as rung, round(avg({metric('answer', 'predicted')}), 6) as score from p{_r} group by candidate")
+    CTES[f"k{_r}"] = (f"s{_r} progs", f"select progs.* from progs join (select candidate from s{_r} order by score desc, candidate limit (select greatest(1, round((select count(*) from {_of}) * 0.5)))) using (candidate)")
+CTES["rungs"] = ("s0 s1 s2", "select * from (select * from s0 union all select * from s1 union all select * from s2) qualify row_number() over (partition by candidate order by rung desc) = 1")
 
 
 def sql(final: str, *names: str) -> str:

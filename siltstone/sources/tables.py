@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, *, files: int = 8) -> DataFrame:
+    """The files of a table as a stream, ``files`` at a time, be it a folder or one file."""
+    path = f"{folder}/{name}.parquet"
+    known = spark.read.parquet(path)
+    arriving = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files)
+    if len(held := known.inputFiles()) == 1 and held[0].endswith(f"/{name}.parquet"):  # a stream reads folders only
+        return arriving.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return arriving.parquet(path)
+
+
 def page_folder(spark: SparkSession, folder: str) -> DataFrame:
     """path, html of the ``*.html`` files of a folder; bytes that don't decode are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
@@ -58,14 +68,14 @@ def write_pages(pages: DataFrame, path: str) -> None:
     last.write.mode("overwrite").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
-    return _exists(spark, f"{path}/_SUCCESS")
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def stamp(spark: SparkSession, path: str) -> str:
@@ -82,7 +92,7 @@ def stamp(spark: SparkSession, path: str) -> str:
 def chunk_source(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Chunks from a Parquet folder, or from the fallback; an error that names the path if neither is there."""
     for p in (path, fallback):
-        if p and _exists(spark, p):
+        if p and exists(spark, p):
             return spark.read.schema(CHUNK).parquet(p)
     raise FileNotFoundError(f"chunks not found at {path}: build them first")
 
@@ -126,4 +136,4 @@ def save_state(spark: SparkSession, path: str, state: dict) -> None:
 
 
 def load_state(spark: SparkSession, path: str, default: dict) -> dict:
-    return default | json.loads(spark.read.text(path).first()[0]) if _exists(spark, path) else dict(default)
+    return default | json.loads(spark.read.text(path).first()[0]) if exists(spark, path) else dict(default)
