@@ -122,11 +122,11 @@ def _best(k: int, exclude_self: bool):
     return run
 
 
-def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, *, exact: bool = True, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
+def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, *, exact: bool = True, probes: int | None = None, exclude_self: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the ``k`` largest inner products for each query (query_id, vector) in the index.
 
     ``exact``: cells that aren't probed are searched too where their bound reaches the k-th score. Ties (to 9 digits) go
-    to the smaller id. Queries of a null id or vector ask nothing. Every query meets a cell in its parts of bounded size.
+    to the smaller id. ``allowed``: chunk_id of the vectors that may be found, where not all may. Queries of a null id or vector ask nothing. Every query meets a cell in its parts of bounded size.
     """
     spark = queries.sparkSession
     id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((index["vectors"], "chunk_id"), (queries, "query_id")))
@@ -138,6 +138,8 @@ def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, *, exact: bool
     probes = probes or max(LEAST_PROBES, round(PROBES * len(cells)))
     places = spark.createDataFrame(list(number.items()), "cell int, place int")
     stored = index["vectors"].join(F.broadcast(places), "cell")  # as many rows as cells
+    if allowed is not None:
+        stored = stored.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     asked = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     best = _best(k, exclude_self)
 

@@ -12,7 +12,7 @@ added up. So documents are added without touching what is there, and writing a s
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
@@ -28,22 +28,38 @@ BUCKETS = 64
 NAMED = 1000
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """chunk_id, shard, local, dl of all documents with a text; ``local`` follows the ids within a shard."""
-    lengths = docs.where("text is not null").select("chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
-    dealt = lengths.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)))
-    return dealt.withColumn("local", (F.row_number().over(Window.partitionBy("shard").orderBy("chunk_id", "dl")) - 1)).select("chunk_id", "shard", "local", "dl")
+def _shard_postings(table):
+    """Of one shard (chunk_id, shard, words): a row for each document without a term, and one for each term."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = table.take(pc.sort_indices(table["chunk_id"].combine_chunks()))
+    shard, n = table["shard"][0].as_py(), table.num_rows
+    split = pc.split_pattern(table["words"].combine_chunks(), " ")
+    doc, coded = pc.list_parent_indices(split).to_numpy().astype(np.int64), pc.list_flatten(split).dictionary_encode()
+    words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[ids]  # a text without words is one empty word
+    doc, ids = doc[filled], ids[filled]
+    dl = np.bincount(doc, minlength=n).astype(np.int32)
+    code, tf = np.unique(ids * n + doc, return_counts=True)
+    term, local = code // n, (code % n).astype(np.int32)
+    by_term = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+    place = term * (n // BLOCK_DOCS + 1) + local // BLOCK_DOCS
+    by_block = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(term) else by_term
+    many = len(by_term)
+    of = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(np.asarray(values, np.int32)))
+    blocks = np.searchsorted(by_block, by_term)
+    reduced = lambda f, x: f.reduceat(x, by_block) if len(by_block) else x
+    lists = {
+        "blocks": of(blocks, local[by_block] // BLOCK_DOCS), "sizes": of(blocks, np.diff(np.r_[by_block, len(term)])), "max_tf": of(blocks, reduced(np.maximum, tf)), "min_dl": of(blocks, reduced(np.minimum, dl[local])),
+        "locals": of(by_term, local), "tfs": of(by_term, tf), "dls": of(by_term, dl[local]),
+    }
+    own = {"chunk_id": table["chunk_id"].combine_chunks(), "local": pa.array(np.arange(n, dtype=np.int32)), "dl": pa.array(dl), "term": pa.nulls(n, pa.string()), "shard": pa.array([shard] * n, pa.int64()), **{c: pa.nulls(n, x.type) for c, x in lists.items()}}
+    terms = {"chunk_id": pa.nulls(many, own["chunk_id"].type), "local": pa.nulls(many, pa.int32()), "dl": pa.nulls(many, pa.int32()), "term": words.take(pa.array(term[by_term])), "shard": pa.array([shard] * many, pa.int64()), **lists}
+    return pa.concat_tables([pa.table(own), pa.table(terms)])
 
 
-def _postings(counts: DataFrame) -> DataFrame:
-    """One row for each term and shard, from term, shard, local, tf, dl."""
-    blocks = counts.repartition("term", "shard").groupBy("term", "shard", (F.col("local") / BLOCK_DOCS).cast("int").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("local").cast("int").alias("local"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("p"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"),
-    )
-    rows = blocks.groupBy("term", "shard").agg(F.array_sort(F.collect_list(F.struct("block", "max_tf", "min_dl", "p"))).alias("b"))
-    rows = rows.select("term", "shard", F.col("b.block").alias("blocks"), F.transform("b", lambda b: F.size(b["p"])).alias("sizes"), F.col("b.max_tf").alias("max_tf"), F.col("b.min_dl").alias("min_dl"), F.flatten("b.p").alias("p"))
-    return rows.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket"), "term", "shard", "blocks", "sizes", "max_tf", "min_dl", F.col("p.local").alias("locals"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+LISTS = ("blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls")
 
 
 def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
@@ -55,16 +71,19 @@ def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
     def add(rows: DataFrame, name: str, *by: str) -> None:
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/segment={segment}")
 
-    places = written(numbered(docs), "places")
-    words = docs.where("text is not null").select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    counts = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).join(places, "chunk_id")
-    rows, order = written(_postings(counts), "postings"), ["bucket", "term", "shard"]
+    id_type = docs.schema["chunk_id"].dataType.simpleString()
+    shards = max(1, -(-docs.count() // SHARD_DOCS))
+    dealt = docs.where("text is not null").select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), F.array_join(tokens(F.col("text")), " ").alias("words"))
+    made = written(dealt.groupBy("shard").applyInArrow(_shard_postings, f"chunk_id {id_type}, local int, dl int, term string, shard long, {', '.join(f'{c} array<int>' for c in LISTS)}"), "postings")
+    places = made.where("term is null").select("chunk_id", "shard", "local", "dl")
+    rows = made.where("term is not null").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket"), "term", "shard", *LISTS)
+    order = ["bucket", "term", "shard"]
     add(rows.repartitionByRange(*order).sortWithinPartitions(*order), "postings", "bucket")
     terms = rows.groupBy("bucket", "term").agg(F.sum(F.size("locals")).alias("df"))
     add(terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "terms", "bucket")
     add(places, "documents")
     sums = places.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"))
-    sums = sums.withColumn("id_type", F.lit(docs.schema["chunk_id"].dataType.simpleString()))
+    sums = sums.withColumn("id_type", F.lit(id_type))
     add(sums.coalesce(1), "statistics")  # one row, last: a segment without it isn't searched
 
 
@@ -78,22 +97,26 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         return spark.read.schema(", ".join([columns, "segment long", *by])).parquet(f"{folder}/{name}")
 
     statistics = read("statistics", "n long, words long, shards long, id_type string")
-    lists = ", ".join(f"{c} array<int>" for c in ("blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls"))
+    lists = ", ".join(f"{c} array<int>" for c in LISTS)
     return {
         "statistics": statistics, "documents": read("documents", f"chunk_id {statistics.first()['id_type']}, shard long, local int, dl int"),
         "terms": read("terms", "term string, df long", "bucket int"), "postings": read("postings", f"term string, shard long, {lists}", "bucket int"),
     }
 
 
-def _block_best(k: int, avgdl: float):
+def _block_best(k: int, avgdl: float, filtered: bool = False):
     """The search of one shard for one block of queries, as a function of two Arrow tables."""
 
     def run(postings, asked):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         out: list[tuple] = []
         if postings.num_rows and asked.num_rows:
-            lists = {c: postings[c].combine_chunks() for c in ("blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls")}
+            named = postings["term"].is_valid()
+            allowed = np.concatenate([np.zeros(0, int), *(x.as_py() for x in postings.filter(pc.invert(named))["locals"])]) if filtered else None
+            postings = postings.filter(named)
+            lists = {c: postings[c].combine_chunks() for c in LISTS}
             ends = {c: x.offsets.to_numpy() for c, x in lists.items()}
             flat = {c: x.values.to_numpy(zero_copy_only=False) for c, x in lists.items()}
             term_of = {t: i for i, t in enumerate(postings["term"].to_pylist())}
@@ -101,13 +124,18 @@ def _block_best(k: int, avgdl: float):
             part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
             of = lambda c, i: flat[c][ends[c][i] : ends[c][i + 1]]
             rows = [(of("blocks", i), of("sizes", i), idf[i] * part(of("max_tf", i), of("min_dl", i)), of("locals", i), idf[i] * part(of("tfs", i), of("dls", i))) for i in range(len(idf))]
-            n_docs = int(flat["locals"].max()) + 1
+            n_docs = int(flat["locals"].max(initial=-1)) + 1
             n_blocks = -(-n_docs // BLOCK_DOCS)
-            score = np.zeros(n_docs)
+            score, fits = np.zeros(n_docs), np.ones(n_docs, bool)
+            if filtered:
+                fits = np.zeros(n_docs, bool)
+                fits[allowed[allowed < n_docs]] = True
+            some = np.add.reduceat(fits, np.arange(0, n_docs, BLOCK_DOCS)) > 0 if n_docs else fits
 
             def add(mine, wanted):
                 for blocks, sizes, _, docs, parts in mine:
                     keep = np.repeat(wanted[blocks], sizes)
+                    keep &= fits[docs]
                     score[docs[keep]] += parts[keep]  # a document comes once in a term's list
 
             for query_id, terms in zip(asked["query_id"].to_pylist(), asked["terms"].to_pylist(), strict=True):
@@ -117,6 +145,7 @@ def _block_best(k: int, avgdl: float):
                 bound = np.zeros(n_blocks)
                 for blocks, _, most, _, _ in mine:
                     bound[blocks] += most
+                bound[~some] = 0  # no document that may be found
                 score[:] = 0
                 wanted = np.zeros(n_blocks, bool)
                 wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
@@ -143,9 +172,10 @@ def _naming(tables: list[DataFrame], terms: DataFrame) -> list[DataFrame]:
     return [x.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few))) for x in tables]
 
 
-def topk(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
+def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the ``k`` best documents of the index by BM25 for each query (query_id, text).
 
+    ``allowed``: chunk_id of the documents that may be found, where not all may (weights still come from all of them).
     Queries of a null text and without any known term have no row. Ties (to 9 digits) go to the smaller id.
     """
     segments = [r for r in index["statistics"].collect() if r["n"]]  # one row a segment
@@ -165,7 +195,12 @@ def topk(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
     shards = queries.sparkSession.createDataFrame([(r["segment"], r["shards"]) for r in segments], "segment long, shards long")
     every = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms")).crossJoin(F.broadcast(shards))  # every query meets every shard, in blocks: one row a segment is sent
     every = every.select(block, "query_id", "terms", "segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    search, by = _block_best(k, sum(r["words"] for r in segments) / n), ("segment", "shard", "block")
+    search, by = _block_best(k, sum(r["words"] for r in segments) / n, allowed is not None), ("segment", "shard", "block")
+    if allowed is not None:
+        # A shard's allowed documents come as one more row of postings, without a term, for each block of queries.
+        own = index["documents"].where(whole).join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("segment", "shard").agg(F.collect_list(F.col("local").cast("int")).alias("locals"))
+        own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast(f"array<{hits.schema['block'].dataType.simpleString()}>")))
+        hits = hits.unionByName(own, allowMissingColumns=True)
     found = hits.groupBy(*by).cogroup(every.groupBy(*by)).applyInArrow(lambda left, right: search(left, right), f"query_id {query_type}, segment long, shard long, local int, score double")
     places = index["documents"].where(whole).select("segment", "shard", "local", "chunk_id")
     return ranked(found.join(places, ["segment", "shard", "local"]).select("query_id", "chunk_id", "score"), k)

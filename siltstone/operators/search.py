@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import cells, inverted
@@ -38,14 +38,18 @@ def vectors_topk(index: Index, queries: DataFrame, k: int, **options) -> DataFra
     return cells.topk(index, queries.select("query_id", embedding(F.col("text")).alias("vector")), k, **options)
 
 
-def hybrid(index: Index, queries: DataFrame, k: int = K, *, exact: bool = True) -> DataFrame:
-    """The fused candidates of vectors and BM25: 2k of each list, 3k together."""
-    return fused([vectors_topk(index, queries, 2 * k, exact=exact), inverted.topk(index, queries, 2 * k)], 3 * k)
+def hybrid(index: Index, queries: DataFrame, k: int = K, *, exact: bool = True, where: Column | None = None) -> DataFrame:
+    """The fused candidates of vectors and BM25: 2k of each list, 3k together; of the passages that fulfil ``where``."""
+    allowed = None if where is None else index["chunks"].where(where).select("chunk_id")
+    return fused([vectors_topk(index, queries, 2 * k, exact=exact, allowed=allowed), inverted.topk(index, queries, 2 * k, allowed)], 3 * k)
 
 
-def retrieve(index: Index, queries: DataFrame, k: int = K, k_asked: int | None = None, *, exact: bool = True) -> DataFrame:
-    """query_id, chunk_id, text, score, rank: the reranked passages; asking for more than ``k`` gives ``k``."""
-    return reranked(hybrid(index, queries, k, exact=exact), queries, index["chunks"], min(k, k_asked if k_asked is not None else k))
+def retrieve(index: Index, queries: DataFrame, k: int = K, k_asked: int | None = None, *, exact: bool = True, where: Column | None = None) -> DataFrame:
+    """query_id, chunk_id, text, score, rank: the reranked passages; asking for more than ``k`` gives ``k``.
+
+    ``where``: a condition on the passages' metadata (their columns in the index), applied before the lists are cut.
+    """
+    return reranked(hybrid(index, queries, k, exact=exact, where=where), queries, index["chunks"], min(k, k_asked if k_asked is not None else k))
 
 
 def multi_query(index: Index, questions: DataFrame, k: int = K, queries: DataFrame | None = None, *, exact: bool = True) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.operators import chunk, search
 from siltstone.sources.shared import shared_dir
@@ -17,5 +16,5 @@ def index(pages: DataFrame, folder: str, *, force: bool = False, source: str = "
 
 def documents_index(spark: SparkSession, sf_dir: str) -> search.Index:
     """The index of the table ``documents``, kept in the shared folder for as long as the table's files stay the same."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
     return search.load_or_build(docs, f"{shared_dir(spark).rstrip('/')}/index-{stamp(spark, f'{sf_dir}/documents.parquet')}", stored=True)

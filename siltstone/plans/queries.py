@@ -266,6 +266,12 @@ def hybrid_candidates(spark, d):
     return _six(search.hybrid(documents_index(spark, d), _items(spark, d)), "score")
 
 
+@query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from f_fused", "f_fused"))
+def filtered_candidates(spark, d):
+    """The fused candidates among the documents of one language."""
+    return _six(search.hybrid(documents_index(spark, d), _items(spark, d), where=F.col("lang") == "de"), "score")
+
+
 @query(sql("select query_id, chunk_id, text, round(score, 6) as score, rank::int as rank from top", "top"))
 def rerank_topk(spark, d):
     return _six(search.retrieve(documents_index(spark, d), _items(spark, d)), "score")

@@ -157,6 +157,11 @@ CTES: dict[str, tuple[str, str]] = {
 _UNIQUE = f"list_filter({tokens('text')}, lambda t, i: list_position({tokens('text')}, t) = i)"
 CTES["q_multi"] = ("", CTES["q_multi"][1].replace("{d}", "u").replace("{u}", _UNIQUE))
 CTES |= hybrid("", "items", "docs", 3)
+# The same among the documents of one language: the lists are cut after the condition.
+for _list, _score in (("f_vec", "vscore"), ("f_bm25", "bscore")):
+    CTES[_list] = (_score, f"select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from {_score} where chunk_id in (select doc_id from documents where lang = 'de') qualify rank <= 6")
+CTES["f_rr"] = ("f_vec f_bm25", "select query_id, chunk_id, sum(1.0::double / (60 + rank - 1)) as score from (select query_id, chunk_id, rank from f_vec union all select query_id, chunk_id, rank from f_bm25) group by all")
+CTES["f_fused"] = ("f_rr", "select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from f_rr qualify rank <= 9")
 CTES["mq"] = ("q_multi", "select item_id || ':' || query_pos as query_id, item_id, query_pos, text from q_multi")
 CTES |= hybrid("m_", "mq", "docs", 3)
 CTES["m_found"] = ("m_top mq", "select mq.item_id as question_id, mq.query_pos, m_top.rank, m_top.chunk_id, m_top.text, m_top.score from m_top join mq using (query_id)")

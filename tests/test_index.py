@@ -93,6 +93,22 @@ def test_segments_add_up(spark, corpus, tmp_path):
     assert got == bm25(corpus, queries, 6)
 
 
+def test_only_allowed_passages_are_found(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "SHARD_DOCS", 900)
+    rows = spark.createDataFrame([(i, t, "even" if i % 2 == 0 else "odd") for i, t in corpus], "chunk_id long, text string, section string")
+    index = search.load_or_build(rows, str(tmp_path))
+    queries = [(i, f"w{i} w{2 * i} w3 page") for i in range(20)]
+    want = {q: [i for i, _ in x if i % 2][:5] for q, x in bm25(corpus, queries, len(corpus)).items()}
+    asked = spark.createDataFrame(queries, "query_id int, text string")
+    got = {}
+    for r in inverted.topk(index, asked, 5, rows.where("section = 'odd'")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == want
+    found = search.hybrid(index, asked, 2, where=search.F.col("section") == "odd").collect()
+    assert len(found) >= 60 and all(r["chunk_id"] % 2 for r in found)
+    assert search.hybrid(index, asked, 2, where=search.F.col("section") == "none").count() == 0
+
+
 def test_empty_index(spark, tmp_path):
     index = search.load_or_build(spark.createDataFrame([], "chunk_id long, text string"), str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, "a b")], "query_id int, text string")
