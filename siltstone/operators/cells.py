@@ -39,6 +39,7 @@ def build(vectors: DataFrame, folder: str) -> None:
     """Writes cells and vectors (chunk_id, vector; all of one length, null ones left out) to ``folder``."""
     spark, id_type = vectors.sparkSession, vectors.schema["chunk_id"].dataType.simpleString()
     rows = vectors.where("chunk_id is not null and vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = written(rows, "vectors")  # what made the vectors, a model maybe, is asked once
     turned = rows.where(F.exists("vector", lambda v: v != 0))
     sample = [r["vector"] for r in turned.orderBy(F.xxhash64("chunk_id")).limit(FIT_VECTORS).collect()]  # bounded
     many = int(np.clip(np.sqrt(max(1, rows.count())), 1, min(MOST_CELLS, max(1, len(sample)))))

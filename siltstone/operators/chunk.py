@@ -76,9 +76,24 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2_147_483_647)).otherwise(path)
 
 
+def _of_files(files: DataFrame, source: str, first: list[str]) -> DataFrame:
+    """Chunks with their metadata from name, source_path, html; ids begin with the columns ``first``."""
+    doc_id = F.replace(F.regexp_replace("name", r"\.html$", ""), F.lit("-"), F.lit("_"))
+    read = parsed(files.select("name", "source_path", "html")).where("error is null")
+    out = read.select(doc_id.alias("doc_id"), F.lit(source).alias("source"), "source_path", F.posexplode(chunked(F.col("blocks"))).alias("ordinal", "c"))
+    return out.select(F.concat_ws("_", *first, F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", "source", "source_path", "c.section", "c.text", "ordinal")
+
+
 def corpus(pages: DataFrame, *, source: str = "Knowledge Base", folder: str = "data/raw/") -> DataFrame:
     """Chunks with their metadata from the saved files of all pages; a page that fails has none."""
-    files = parsed(saved_pages(pages).select("name", "html")).where("error is null")
-    doc_id = F.replace(F.regexp_replace("name", r"\.html$", ""), F.lit("-"), F.lit("_"))
-    out = files.select(doc_id.alias("doc_id"), F.lit(source).alias("source"), F.concat(F.lit(folder), F.col("name")).alias("source_path"), F.posexplode(chunked(F.col("blocks"))).alias("ordinal", "c"))
-    return out.select(F.concat_ws("_", "doc_id", F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", "source", "source_path", "c.section", "c.text", "ordinal")
+    return _of_files(saved_pages(pages).select("name", F.concat(F.lit(folder), F.col("name")).alias("source_path"), "html"), source, ["doc_id"])
+
+
+def folder_corpus(files: DataFrame, root: str, *, source: str = "Knowledge Base") -> DataFrame:
+    """The same from files (path, html) below ``root``; ``source_path`` is the path below it.
+
+    Files of one name in two folders share a ``doc_id``; the path tells their chunks' ids apart.
+    """
+    below = relative_path(F.col("path"), root.rstrip("/") + "/")
+    named = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), below.alias("source_path"), "html")
+    return _of_files(named, source, ["source_path"])

@@ -26,6 +26,8 @@ SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 4096, 64, 4
 BUCKETS = 64
 #: Different terms up to which they are named in the scans, so that files and row groups without them aren't read.
 NAMED = 1000
+#: Terms, in all blocks of queries, up to which they are sent to all tasks; shards that share a bucket's file.
+SENT, FILE_SHARDS = 100_000, 512
 
 
 def _shard_postings(table):
@@ -54,11 +56,13 @@ def _shard_postings(table):
         "blocks": of(blocks, local[by_block] // BLOCK_DOCS), "sizes": of(blocks, np.diff(np.r_[by_block, len(term)])), "max_tf": of(blocks, reduced(np.maximum, tf)), "min_dl": of(blocks, reduced(np.minimum, dl[local])),
         "locals": of(by_term, local), "tfs": of(by_term, tf), "dls": of(by_term, dl[local]),
     }
-    own = {"chunk_id": table["chunk_id"].combine_chunks(), "local": pa.array(np.arange(n, dtype=np.int32)), "dl": pa.array(dl), "term": pa.nulls(n, pa.string()), "shard": pa.array([shard] * n, pa.int64()), **{c: pa.nulls(n, x.type) for c, x in lists.items()}}
-    terms = {"chunk_id": pa.nulls(many, own["chunk_id"].type), "local": pa.nulls(many, pa.int32()), "dl": pa.nulls(many, pa.int32()), "term": words.take(pa.array(term[by_term])), "shard": pa.array([shard] * many, pa.int64()), **lists}
+    own = {"chunk_id": table["chunk_id"].combine_chunks(), "local": pa.array(np.arange(n, dtype=np.int32)), "dl": pa.array(dl), "df": pa.nulls(n, pa.int32()), "term": pa.nulls(n, pa.string()), "shard": pa.array([shard] * n, pa.int64()), **{c: pa.nulls(n, x.type) for c, x in lists.items()}}
+    terms = {"chunk_id": pa.nulls(many, own["chunk_id"].type), "local": pa.nulls(many, pa.int32()), "dl": pa.nulls(many, pa.int32()), "df": pa.array(np.diff(np.r_[by_term, len(term)]).astype(np.int32)), "term": words.take(pa.array(term[by_term])), "shard": pa.array([shard] * many, pa.int64()), **lists}
     return pa.concat_tables([pa.table(own), pa.table(terms)])
 
 
+#: Columns of a term's lists, and of a document's row.
+_DOCUMENT = "chunk_id {}, shard long, local int, dl int"
 LISTS = ("blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls")
 
 
@@ -66,25 +70,20 @@ def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
     """Writes chunk_id, text as a segment of the index in ``folder``. Ids are new to the index and tell documents apart; a
     null text is not indexed.
     """
-    spark = docs.sparkSession
-
-    def add(rows: DataFrame, name: str, *by: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/segment={segment}")
-
-    id_type = docs.schema["chunk_id"].dataType.simpleString()
+    spark, id_type, at = docs.sparkSession, docs.schema["chunk_id"].dataType.simpleString(), f"segment={segment}"
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     dealt = docs.where("text is not null").select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), F.array_join(tokens(F.col("text")), " ").alias("words"))
-    made = written(dealt.groupBy("shard").applyInArrow(_shard_postings, f"chunk_id {id_type}, local int, dl int, term string, shard long, {', '.join(f'{c} array<int>' for c in LISTS)}"), "postings")
-    places = made.where("term is null").select("chunk_id", "shard", "local", "dl")
-    rows = made.where("term is not null").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket"), "term", "shard", *LISTS)
-    order = ["bucket", "term", "shard"]
-    add(rows.repartitionByRange(*order).sortWithinPartitions(*order), "postings", "bucket")
-    terms = rows.groupBy("bucket", "term").agg(F.sum(F.size("locals")).alias("df"))
-    add(terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "terms", "bucket")
-    add(places, "documents")
-    sums = places.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"))
-    sums = sums.withColumn("id_type", F.lit(id_type))
-    add(sums.coalesce(1), "statistics")  # one row, last: a segment without it isn't searched
+    made = dealt.groupBy("shard").applyInArrow(_shard_postings, f"chunk_id {id_type}, local int, dl int, df int, term string, shard long, {', '.join(f'{c} array<int>' for c in LISTS)}")
+    # Documents are bucket -1. A bucket's file holds some shards, so that a term that all documents have is no single task's.
+    bucketed = made.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int"))
+    placed = bucketed.repartition("bucket", F.floor(F.col("shard") / FILE_SHARDS)).sortWithinPartitions("bucket", "term", "shard")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/{at}")
+    held = spark.read.schema(f"term string, df int, {_DOCUMENT.format(id_type)}, bucket int").parquet(f"{folder}/postings/{at}")
+    terms = held.where("bucket >= 0").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/{at}")
+    sums = held.where("bucket = -1").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"))
+    # One row, last: a segment without it isn't searched.
+    sums.withColumn("id_type", F.lit(id_type)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics/{at}")
 
 
 def is_whole(spark: SparkSession, folder: str, segment: int = 0) -> bool:
@@ -93,14 +92,15 @@ def is_whole(spark: SparkSession, folder: str, segment: int = 0) -> bool:
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of all whole segments."""
+
     def read(name: str, columns: str, *by: str) -> DataFrame:
         return spark.read.schema(", ".join([columns, "segment long", *by])).parquet(f"{folder}/{name}")
 
     statistics = read("statistics", "n long, words long, shards long, id_type string")
     lists = ", ".join(f"{c} array<int>" for c in LISTS)
     return {
-        "statistics": statistics, "documents": read("documents", f"chunk_id {statistics.first()['id_type']}, shard long, local int, dl int"),
-        "terms": read("terms", "term string, df long", "bucket int"), "postings": read("postings", f"term string, shard long, {lists}", "bucket int"),
+        "statistics": statistics, "documents": read("postings", _DOCUMENT.format(statistics.first()["id_type"]), "bucket int").where("bucket = -1").drop("bucket"),
+        "terms": read("terms", "term string, df long", "bucket int"), "postings": read("postings", f"term string, shard long, {lists}", "bucket int").where("bucket >= 0"),
     }
 
 
@@ -166,7 +166,7 @@ def _block_best(k: int, avgdl: float, filtered: bool = False):
 
 def _naming(tables: list[DataFrame], terms: DataFrame) -> list[DataFrame]:
     """The tables' rows of the asked terms, as a condition on bucket and term where they are few."""
-    few = terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket"), "term").distinct().limit(NAMED + 1).collect()  # bounded
+    few = terms.select("bucket", "term").distinct().limit(NAMED + 1).collect()  # bounded
     if len(few) > NAMED:
         return tables
     return [x.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few))) for x in tables]
@@ -187,11 +187,12 @@ def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataF
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     whole = F.col("segment").isin([r["segment"] for r in segments])
     terms, df = query_terms(queries), F.col("df")
-    postings, known = _naming([index["postings"].where(whole), index["terms"].where(whole)], terms)
-    keyed = terms.select(block, "term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    keyed = terms.select(block, F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term").distinct()
+    postings, known = _naming([index["postings"].where(whole), index["terms"].where(whole)], keyed)
     counted = keyed.join(known.groupBy("bucket", "term").agg(F.sum("df").alias("df")), ["bucket", "term"])
-    asked = counted.withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5))).drop("df")
-    hits = postings.join(asked, ["bucket", "term"]).select("segment", "shard", "block", "term", "idf", "blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls")
+    asked = written(counted.withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5))).drop("df"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked
+    hits = postings.join(asked, ["bucket", "term"]).select("segment", "shard", "block", "term", "idf", *LISTS)
     shards = queries.sparkSession.createDataFrame([(r["segment"], r["shards"]) for r in segments], "segment long, shards long")
     every = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms")).crossJoin(F.broadcast(shards))  # every query meets every shard, in blocks: one row a segment is sent
     every = every.select(block, "query_id", "terms", "segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))

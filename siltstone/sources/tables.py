@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.schemas import CHUNK, EVAL_RESULT
+from siltstone.schemas import CHUNK, EVAL_RESULT, PROGRAM_STATE
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,10 +109,19 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "label") -> DataFrame:
     return old.join(new, key, "left_anti").select(new.columns).unionByName(new)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a table that is replaced as a whole, ascending."""
+    if not exists(spark, path):
+        return []
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and is_written(spark, f"{path}/{n}"))
+
+
 def saved_results(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation results; none if there is no file or it can't be read."""
+    """Evaluation results of the last whole version; none if there is no version or it can't be read."""
     try:
-        out = spark.read.schema(EVAL_RESULT).parquet(path)
+        out = spark.read.schema(EVAL_RESULT).parquet(f"{path}/version={_versions(spark, path)[-1]}")
         out.limit(1).count()
         return out
     except Exception:  # noqa: BLE001 a missing or broken file is an empty history
@@ -120,16 +129,33 @@ def saved_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_results(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """The results at ``path`` with those of ``new`` in place of equal labels, written beside it and then moved there."""
-    hadoop = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    upserted(saved_results(spark, path), new).write.mode("overwrite").parquet(f"{path}.new")
-    store.delete(hadoop(path), True)
-    if not store.rename(hadoop(f"{path}.new"), hadoop(path)):
-        raise OSError(f"results stay at {path}.new")
+    """The results at ``path`` with those of ``new`` in place of equal labels.
+
+    They are written as a new version beside the old one, which counts until the new one is whole; of the versions before,
+    the last is kept.
+    """
+    before = _versions(spark, path)
+    number = max(before, default=0) + 1
+    upserted(saved_results(spark, path), new).write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in before[:-1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return saved_results(spark, path)
 
 
+def save_program(spark: SparkSession, path: str, predictors: DataFrame, retriever: dict) -> None:
+    """A program: its predictors (instructions and demonstrations) and its retriever's state (the index and k)."""
+    predictors.select(*spark.createDataFrame([], PROGRAM_STATE).columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/predictors")
+    save_state(spark, f"{path}/retriever", retriever)
+
+
+def load_program(spark: SparkSession, path: str, retriever: dict) -> tuple[DataFrame, dict]:
+    """Predictors and retriever state at ``path``, or none and the given one where no program was saved."""
+    there = is_written(spark, f"{path}/predictors")
+    predictors = spark.read.schema(PROGRAM_STATE).parquet(f"{path}/predictors") if there else spark.createDataFrame([], PROGRAM_STATE)
+    return predictors, load_state(spark, f"{path}/retriever", retriever)
+
+
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
     """A small JSON object as a text file on any file system Spark knows."""
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -53,3 +53,12 @@ def test_the_sample_has_the_exact_size(spark):
 def test_only_pairs_with_enough_text_are_valid(spark):
     rows = [("12345678901", "12345678901"), ("1234567890", "12345678901"), ("  123456789  ", "12345678901"), (None, "12345678901")]
     assert dataset.valid_qa(spark.createDataFrame(rows, "question string, answer string")).count() == 1
+
+
+def test_topics_by_default(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, None), ("", None), ("General", "my_doc"), ("Rates", "x"), (None, "a_b2c")]
+    df = spark.createDataFrame(rows, "section string, doc_id string")
+    got = [r[0] for r in df.select(dataset.inferred_topic(F.col("section"), F.col("doc_id"))).collect()]
+    assert got == ["General", "General", "My Doc", "Rates", "A B2C"]

@@ -68,7 +68,8 @@ def test_asking_reads_no_text_and_skips_blocks(spark, tmp_path):
     found = inverted.topk(index, spark.createDataFrame([(1, "rare common")], "query_id int, text string"), 1)
     assert [r["chunk_id"] for r in found.collect()] == [500]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "text:" not in plan and re.search(r"PartitionFilters: .*bucket#\d+ IN", plan) and "In(term" in plan
+    logical = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text:" not in plan and "In(term, [common,rare])" in plan and re.search(r"bucket#\d+ IN \(", logical)
     rows = index["postings"].where("term in ('rare', 'common')").withColumn("idf", inverted.F.when(inverted.F.col("term") == "rare", 7.0).otherwise(0.001)).toArrow()
     scored = []
     run = inverted._block_best(1, 15.0)

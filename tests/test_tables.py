@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from siltstone.schemas import QA_PAIR
+from siltstone.schemas import PROGRAM_STATE, QA_PAIR
 from siltstone.sources import tables
 
 
@@ -57,13 +57,60 @@ def test_array_sink_results_and_pages(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).select("file", "html").collect())) == [("x", "new"), ("y", "z")]
 
 
-def test_command_line(spark, tmp_path, monkeypatch):
+def test_results_stay_until_new_ones_are_whole(spark, tmp_path):
+    path = str(tmp_path / "r")
+    row = lambda label, score: spark.createDataFrame([(label, score, "m", "t")], "label string, score double, model string, timestamp string")
+    for k in range(4):
+        tables.save_results(spark, path, row("a", float(k)))
+    broken = tmp_path / "r" / "version=9"  # begun and not ended
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert [r["score"] for r in tables.saved_results(spark, path).collect()] == [3.0]
+    assert [r["score"] for r in tables.save_results(spark, path, row("a", 7.0)).collect()] == [7.0]
+    assert sorted(x.name for x in (tmp_path / "r").iterdir() if (x / "_SUCCESS").exists()) == ["version=4", "version=5"]
+
+
+def test_program_with_its_retriever(spark, tmp_path):
+    path = str(tmp_path / "p")
+    predictors, retriever = tables.load_program(spark, path, {"index": "i", "k": 3})
+    assert predictors.count() == 0 and retriever == {"index": "i", "k": 3}
+    rows = [("answer", "Be short.", [("q", "a")]), ("expand", "Say it otherwise.", [])]
+    tables.save_program(spark, path, spark.createDataFrame(rows, PROGRAM_STATE), {"k": 5})
+    predictors, retriever = tables.load_program(spark, path, {"index": "i", "k": 3})
+    assert sorted((r["predictor"], r["instruction"], [tuple(d) for d in r["demos"]]) for r in predictors.collect()) == rows and retriever == {"index": "i", "k": 5}
+
+
+def test_page_folder_to_chunks(spark, tmp_path):
+    from siltstone.operators import chunk
+
+    root = tmp_path / "raw"
+    (root / "sub").mkdir(parents=True)
+    (root / "my-page.html").write_text("<main><h1>T</h1><p>caf\u00e9</p></main>", encoding="utf-8")
+    (root / "sub" / "my-page.html").write_bytes(b"<main><p>bad \xff byte</p></main>")
+    (root / "note.txt").write_text("no page")
+    files = tables.page_folder(spark, str(root)).unionByName(tables.page_folder(spark, str(root / "sub")))
+    got = sorted((r["source_path"], r["doc_id"], r["chunk_id"], r["text"]) for r in chunk.folder_corpus(files, f"file:{root}").collect())
+    assert got == [("my-page.html", "my_page", "my-page.html_0", "[T] caf\u00e9"), ("sub/my-page.html", "my_page", "sub/my-page.html_0", "[General] bad  byte")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
     from siltstone import __main__ as cli
 
     spark.createDataFrame([(1, "/a", "<html><body><main><h1>Rates</h1><p>The rate of the loan is two per cent.</p></main></body></html>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
-    (tmp_path / "q.txt").write_text("What is the rate?\n\n  quit \n")
+    (tmp_path / "q.txt").write_text("What is the rate?\n\n What is the rate? \n  Quit \nIs this still asked?\n")
     monkeypatch.setenv("SILTSTONE_INDEX", str(tmp_path / "index"))
     cli.run(spark, cli.parameters(["ingest", "--pages", str(tmp_path / "pages")]))
     cli.run(spark, cli.parameters(["ask", "--questions", str(tmp_path / "q.txt"), "--answers", str(tmp_path / "out")]))
     got = tables.read_json_array(spark, str(tmp_path / "out"), "question string, answer string").collect()
     assert [r["question"] for r in got] == ["What is the rate?"] and "rate" in got[0]["answer"]
+    assert (out := capsys.readouterr().out).startswith("Q: What is the rate?\nA: [Rates] The rate") and "  [1] [Rates] The rate" in out, out
+    html = "<main>" + "".join(f"<h2>Part {i}</h2><p>Paragraph {i} tells of the loans, rates and grants that a family of {i} may ask for at the office, and when. </p>" for i in range(30)) + "</main>"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "all.html").write_text(html)
+    for argv in (["ingest", "--folder", str(tmp_path / "raw"), "--index", str(tmp_path / "i2")], ["questions", "--index", str(tmp_path / "i2"), "--pairs", str(tmp_path / "qa"), "--n", "25"], ["split", "--pairs", str(tmp_path / "qa"), "--out", str(tmp_path / "s")]):
+        cli.run(spark, cli.parameters(argv))
+    assert spark.read.parquet(str(tmp_path / "i2" / "chunks")).select("source_path").distinct().first()[0] == "all.html"
+    pairs = tables.read_json_array(spark, str(tmp_path / "qa"), QA_PAIR).count()
+    assert pairs == 25 and sum(tables.read_json_array(spark, str(tmp_path / "s" / x), QA_PAIR).count() for x in ("train", "dev", "test")) == 25
+    with pytest.raises(SystemExit):
+        cli.parameters(["ask"])
