@@ -12,11 +12,12 @@ bound. A mixer adds the predictors' log-odds with weights from a set that is cho
 sure two predictors are; the weights are learned bit after bit on the fold that the counts haven't seen, in shards by
 hash of the document, and an adaptive map, learned there too, refines the mixed probability.
 
-Longer contexts grow with the text without bound, so they stay in shards: every token goes, with its mixed probability,
-to the shard of the two words before it. There all training tokens of a context are counted (a training document's own
-ones are left out for itself), and what followed the context is mixed in with a weight that depends on how often the
-context was seen and is learned in the shard. All of it multiplies to a text's probability, whatever the input's
-partitions are.
+Longer contexts grow with the text without bound, so they stay in shards: every token goes, as its symbol with the
+symbol's mixed probability, to the shard of the two words before it. There all training tokens of a context are counted
+(a training document's own ones are left out for itself), and the shares of the symbols that followed the context are
+mixed in with a weight that depends on how often the context was seen and is learned in the shard. Shares and mixed
+probabilities of the symbols sum to one each, and so does their mixture; a spelled word is its escape symbol times its
+bytes. All of it multiplies to a text's probability, whatever the input's partitions are.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import ASCII_LOWER, binary_list, crc_fold, written
 
 #: Words with a code of their own, slots of a table at least and at most (as powers of two), very frequent words.
-VOCABULARY, LEAST_BITS, MOST_BITS, MARKERS = 1 << 17, 18, 21, 64
+VOCABULARY, LEAST_BITS, MOST_BITS, MARKERS = (1 << 17) - 2, 18, 21, 64
 #: Tokens to a shard of contexts, and shards at least; tokens that a task gathers before it deals them out; bytes of text that weights are learned on in one go.
 SHARD_TOKENS, LEAST_SHARDS, RUN_TOKENS, LEARNED_BYTES = 1_000_000, 32, 2_000_000, 8 << 20
 #: Kinds of contexts by how often they were seen (powers of two), rounds in which their weights settle, units of a log10 probability.
-SEEN_KINDS, ROUNDS, UNIT = 8, 6, 100.0
-#: A token on its way: 24 bits of context, 12 of successor and 12 of probability, in six bytes.
-TOKEN_BYTES = 6
+SEEN_KINDS, ROUNDS, UNIT = 8, 6, 0.03
+#: A token on its way: 22 bits of context, 17 of its symbol (of the vocabulary, the escape and the end) and 9 of the symbol's probability, in six bytes.
+TOKEN_BYTES, SYMBOL_BITS, PLAIN_BITS = 6, 17, 9
 #: Slots to a piece of a table when tables are added up, and tasks whose pieces are added up at once.
 PIECE, ADDED = 1 << 14, 256
 CONTEXTS, CONFIDENCE = 3, 3
@@ -132,7 +133,7 @@ class Coder:
     def events(self, docs: list[list[bytes]]):
         """For each bit: the slots in the tables (one row each), the bit, the kind (0 word, 1 byte) and the token.
 
-        Then the documents' sizes, the tokens' symbols, contexts of two words (64 bits) and successors (12 bits), and the unknown words.
+        Then the documents' sizes, the tokens' symbols and contexts of two words (64 bits), and the unknown words.
         """
         escape = self.escape
         sizes = np.array([len(d) + 1 for d in docs])
@@ -164,7 +165,6 @@ class Coder:
         contexts = [None, _hash(2, before), _hash(4, marker)]
         slots, bits, kinds, owners = [self._slots(contexts, n, node)], [bit], [np.zeros(len(bit), np.int64)], [np.repeat(at, n)]
         two = _hash(9, before, before2).astype(np.uint64) << np.uint64(32) | _hash(10, before2, before)
-        next_ = _hash(11, own, before) >> np.uint32(20)
         if len(rare):
             n = spans + 1
             stream = np.full(n.sum(), END_OF_WORD, np.int64)
@@ -179,7 +179,7 @@ class Coder:
             bits.append(bit)
             kinds.append(np.ones(len(bit), np.int64))
             owners.append(np.repeat(rare_at[word], n))
-        return np.concatenate(slots, 1), np.concatenate(bits), np.concatenate(kinds), np.concatenate(owners), sizes, symbols, two, next_, rare
+        return np.concatenate(slots, 1), np.concatenate(bits), np.concatenate(kinds), np.concatenate(owners), sizes, symbols, two, rare
 
     def _slots(self, contexts, n, node):
         tree, out = node * np.uint32(0xC2B2AE35), np.empty((len(contexts), len(node)), np.uint32)
@@ -403,11 +403,18 @@ def _wide(parts: list[bytes]) -> np.ndarray:
     return np.pad(own, ((0, 0), (0, 8 - TOKEN_BYTES))).view("<u8").ravel()
 
 
+def token(context: np.ndarray, symbol: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Tokens as numbers. Probabilities are rounded down, so that those of all symbols still sum to one at most."""
+    plain = np.minimum(np.ceil(-log_p / UNIT - 1e-9), (1 << PLAIN_BITS) - 1).astype(np.uint64)
+    kept = context.astype(np.uint64) & np.uint64((1 << (8 * TOKEN_BYTES - SYMBOL_BITS - PLAIN_BITS)) - 1)
+    return (kept << np.uint64(SYMBOL_BITS) | symbol.astype(np.uint64)) << np.uint64(PLAIN_BITS) | plain
+
+
 def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the tokens of one shard, with what followed their contexts mixed in.
+    """log10 probabilities of the tokens' symbols in one shard, with what followed their contexts mixed in.
 
-    ``data``: context (24 bits), successor (12), mixed log10 probability (12); ``doc``: each token's document, ascending;
-    ``training``: whether each token counts. A training document's own tokens are left out for itself.
+    ``data``: see :func:`token`; ``doc``: each token's document, ascending; ``training``: whether each token counts. A
+    training document's own tokens are left out for itself.
     """
 
     def counts(code):
@@ -421,11 +428,11 @@ def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarr
         out[order] = total(fresh) - total(own)  # a document's own tokens count nothing unless it is a training one
         return out
 
-    plain = 10.0 ** (-(data & np.uint64(0xFFF)).astype(np.float64) / UNIT)
-    of_context = counts(data >> np.uint64(24))
+    plain = 10.0 ** (-(data & np.uint64((1 << PLAIN_BITS) - 1)).astype(np.float64) * UNIT)
+    of_context = counts(data >> np.uint64(PLAIN_BITS + SYMBOL_BITS))
     seen = np.flatnonzero(of_context > 0)
     if len(seen):
-        share = counts(data >> np.uint64(12))[seen] / of_context[seen]
+        share = counts(data >> np.uint64(PLAIN_BITS))[seen] / of_context[seen]
         kind = np.minimum(np.log2(of_context[seen]).astype(np.int64), SEEN_KINDS - 1)
         weight, learn = np.full(SEEN_KINDS, 0.5), training[seen]
         many = np.bincount(kind[learn], minlength=SEEN_KINDS)
@@ -438,29 +445,33 @@ def blended(data: np.ndarray, doc: np.ndarray, training: np.ndarray) -> np.ndarr
 
 
 def _shard_sums(table):
-    """Of one shard: each run's sums of log10 probabilities by document. Rows about documents (negative shards) pass."""
+    """Of one shard: each run's sums of log10 probabilities by document. Rows about documents (negative shards) pass.
+
+    A run's documents are those with a token in the shard: their places in the run, how many tokens, whether they train.
+    """
     import pyarrow as pa
 
     if table.column("shard")[0].as_py() < 0:
-        return table.drop_columns(["shard", "data", "docs", "training"])
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("row", "data", "docs", "training")), strict=True))
-    many = [np.frombuffer(d, np.uint32) for _, _, d, _ in rows]
-    doc = np.repeat(np.arange(sum(map(len, many))), np.concatenate(many))
-    training = np.concatenate([np.frombuffer(t, bool) for *_, t in rows])[doc]
-    total = np.bincount(doc, blended(_wide([x for _, x, _, _ in rows]), doc, training), sum(map(len, many)))
-    cuts = np.cumsum([0, *map(len, many)])
-    columns = {"row": pa.array([r[0] for r in rows], pa.int64()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
-    return pa.table([columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in table.schema if f.name not in ("shard", "data", "docs", "training")], names=[n for n in table.column_names if n not in ("shard", "data", "docs", "training")])
+        return table.drop_columns(["shard", "data", "many"])
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("row", "data", "docs", "many")), strict=True))
+    many = np.concatenate([np.frombuffer(x, np.uint32) for *_, x in rows])
+    doc = np.repeat(np.arange(len(many)), many >> 1)
+    total = np.bincount(doc, blended(_wide([x for _, x, _, _ in rows]), doc, (many & 1).astype(bool)[doc]), len(many))
+    cuts = np.cumsum([0, *(len(x) // 4 for *_, x in rows)])
+    columns = {"row": pa.array([r[0] for r in rows], pa.int64()), "docs": pa.array([r[2] for r in rows], pa.binary()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
+    names = [n for n in table.column_names if n not in ("shard", "data", "many")]
+    return pa.table([columns[n] if n in columns else pa.nulls(len(rows), table.schema.field(n).type) for n in names], names=names)
 
 
 def _run_sums(table):
-    """Of one run: row, score of each document, from the sums of all shards."""
+    """Of one run: row, sum of each document, from the sums of all shards; every document has its end in one of them."""
     import pyarrow as pa
 
-    parts = sorted(table.column("sums").to_pylist())
-    total = sum(np.frombuffer(x, np.float64) for x in parts)
+    parts = sorted(zip(*(table.column(c).to_pylist() for c in ("docs", "sums")), strict=True))
+    place, sums = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, np.uint32), (1, np.float64)))
+    total = np.bincount(place, sums)
     first = table.column("row")[0].as_py()
-    return pa.table({"row": pa.array(np.arange(first, first + len(total))), "score": pa.array(total)})
+    return pa.table({"row": pa.array(np.arange(first, first + len(total))), "symbols": pa.array(total)})
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, mixer_fold: int = 3, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -492,7 +503,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     weights, refine = learned_mixer(mixed, held, tables, key)
     shards = max(LEAST_SHARDS, tokens // SHARD_TOKENS)
     id_type = docs.schema[id_col].dataType.simpleString()
-    of_doc = f"row long, doc_id {id_type}, fold long, n_tokens long, sure long, base double, octets long, rare array<long>, times array<int>, sums binary"
+    of_doc = f"row long, doc_id {id_type}, fold long, n_tokens long, sure long, base double, spelled double, octets long, rare array<long>, times array<int>, docs binary, sums binary"
 
     def score(batches):
         import pyarrow as pa
@@ -507,19 +518,24 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
             """Of the documents since ``run``: a row for each shard, the tokens in the documents' order."""
             data, shard, doc = (np.concatenate(x) for x in zip(*waiting, strict=True))
             order = np.argsort(shard.astype(np.uint16) if shards < 65_536 else shard, kind="stable")
-            data, doc, cuts = data[order], doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
-            flags = np.array(folds_of, bool).tobytes()
-            rows = [(int(k), run, _narrow(data[a:b]), np.bincount(doc[a:b], minlength=len(folds_of)).astype(np.uint32).tobytes(), flags) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            columns = dict(zip(("shard", "row", "data", "docs", "training"), zip(*rows, strict=True), strict=True))
+            data, doc, shard = data[order], doc[order], shard[order]
+            here = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            flags, rows = np.array(folds_of, np.uint32), []
+            for a, b in zip(here.tolist(), [*here[1:].tolist(), len(shard)]):
+                own, n_own = np.unique(doc[a:b], return_counts=True)
+                rows.append((int(shard[a]), run, _narrow(data[a:b]), own.astype(np.uint32).tobytes(), (n_own.astype(np.uint32) << 1 | flags[own]).tobytes()))
+            columns = dict(zip(("shard", "row", "data", "docs", "many"), zip(*rows, strict=True), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in kinds_of], schema=kinds_of)
 
         for batch, rows, texts in _chunks(batches, 2):
-            slots, bits, kinds, token, sizes, symbols, two, next_, rare = coder.events(texts)
+            slots, bits, kinds, of_token, sizes, symbols, two, rare = coder.events(texts)
             p = mixer.probability(*mixer.inputs(tables.value, slots, kinds))
             np.subtract(1, p, out=p, where=bits == 0)
-            mixed_bits = np.bincount(token, np.log10(p), len(symbols))
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            waiting.append(((two & np.uint64(0xFFFFFF)) << np.uint64(24) | next_.astype(np.uint64) << np.uint64(12) | np.minimum(np.rint(-mixed_bits * UNIT), 4095).astype(np.uint64), ((two >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), doc + len(folds_of)))
+            log_p, doc = np.log10(p), np.repeat(np.arange(len(texts)), sizes)
+            of_symbols = int(np.searchsorted(kinds, 1))  # bits of symbols come first, then those of spelled bytes
+            of_symbol = np.bincount(of_token[:of_symbols], log_p[:of_symbols], len(symbols))
+            spelled = np.bincount(doc[of_token[of_symbols:]], log_p[of_symbols:], len(texts)).astype(np.float64)  # of no bits it would be whole numbers
+            waiting.append((token(two, symbols, of_symbol), ((two >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), doc + len(folds_of)))
             folds_of += [x != held_out for x in batch.column(1).take(pa.array(rows, pa.int64())).to_pylist()]
             base = np.bincount(doc, coder.log_counts[symbols], len(texts))
             sure = np.bincount(doc, (symbols != coder.escape) & ((symbols != coder.end) | (ends > 0)), len(texts)).astype(np.int64)
@@ -530,12 +546,12 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
             place = pa.array(rows, pa.int64())
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(rows), -1 - run)), pa.array(np.arange(row, row + len(rows))), batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes.astype(np.int64)), pa.array(sure), pa.array(base),
+                    pa.array(np.full(len(rows), -1 - run)), pa.array(np.arange(row, row + len(rows))), batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes.astype(np.int64)), pa.array(sure), pa.array(base), pa.array(spelled),
                     pa.array([sum(map(len, t)) + len(t) for t in texts], pa.int64()),
                     pa.array([np.array(h, np.uint64).view(np.int64) for h in hashes], pa.list_(pa.int64())), pa.array([list(by_doc.get(d, Counter()).values()) for d in range(len(texts))], pa.list_(pa.int32())),
                     *(pa.nulls(len(rows), pa.binary()) for _ in range(4)),
                 ],
-                names=["shard", "row", "doc_id", "fold", "n_tokens", "sure", "base", "octets", "rare", "times", "sums", "data", "docs", "training"],
+                names=["shard", "row", "doc_id", "fold", "n_tokens", "sure", "base", "spelled", "octets", "rare", "times", "docs", "sums", "data", "many"],
             )
             kinds_of = out.schema
             yield out
@@ -547,14 +563,14 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         if waiting:
             yield dealt()
 
-    dealt_rows = source.mapInArrow(score, f"shard long, {of_doc}, data binary, docs binary, training binary")
+    dealt_rows = source.mapInArrow(score, f"shard long, {of_doc}, data binary, many binary")
     scored = written(dealt_rows.groupBy("shard").applyInArrow(_shard_sums, of_doc), "scores")
-    by_row = scored.where("sums is not null").select("row", "sums").groupBy("row").applyInArrow(_run_sums, "row long, score double")
-    scored = scored.where("sums is null").drop("sums")
+    by_row = scored.where("sums is not null").select("row", "docs", "sums").groupBy("row").applyInArrow(_run_sums, "row long, symbols double")
+    scored = scored.where("sums is null").drop("docs", "sums")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     rest = pairs.join(counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("c")), "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("many"))
     denominator = F.log10(F.lit(float(tokens + different + 1)))
-    return scored.drop("rare", "times").join(by_row, "row").join(rest, "row", "left").select(
+    return scored.drop("rare", "times").join(by_row, "row").join(rest, "row", "left").withColumn("score", F.col("symbols") + F.col("spelled")).select(
         "doc_id", (F.col("fold") == held_out).alias("held_out"), "n_tokens", (F.col("sure") + F.coalesce("many", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"), "score",
         F.when(F.col("octets") > 0, -F.col("score") * F.log2(F.lit(10.0)) / F.col("octets")).alias("bits_per_byte"),

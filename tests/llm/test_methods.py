@@ -309,12 +309,42 @@ def test_mixing_does_not_depend_on_partitions_and_counts_words_as_a_plain_versio
 
 
 def test_successors_are_mixed_in_without_a_document_s_own():
-    tokens = [(7, 1), (7, 1), (7, 2), (9, 1)]  # context, successor
-    data = np.array([c << 24 | s << 12 | 200 for c, s in tokens], np.uint64)
+    tokens = [(7, 1), (7, 1), (7, 2), (9, 1)]  # context, symbol
+    data = mixing.token(*(np.array(x) for x in zip(*tokens)), np.full(4, -2.01))
     assert (mixing._wide([mixing._narrow(data[:3]), mixing._narrow(data[3:])]) == data).all()
     out = mixing.blended(data, np.array([0, 1, 1, 2]), np.array([True, True, True, False]))
-    # Of token 0's context two others are left, one with its successor; of token 2 the other document's, with another one; 3 knows none.
-    assert out[0] > -2 and out[1] > -2 and out[2] < -2 and out[3] == pytest.approx(-2)
+    # Of token 0's context two others are left, one with its symbol; of token 2 the other document's, with another one; 3 knows none.
+    assert out[0] > -2 and out[1] > -2 and out[2] < -2.01 and out[3] == pytest.approx(-2.01)
+
+
+@pytest.mark.parametrize("known", [0, 1, 300])
+def test_probabilities_of_what_follows_a_context_sum_to_one(known):
+    rng = np.random.default_rng(known)
+    many = mixing.VOCABULARY + 2  # every symbol, asked once of one context by a document that doesn't train
+    plain = rng.random(many) ** 4
+    plain /= plain.sum()
+    seen = rng.integers(0, 40, known)
+    data = np.r_[mixing.token(np.full(known, 5), seen, np.log10(plain[seen])), mixing.token(np.full(many, 5), np.arange(many), np.log10(plain))]
+    out = mixing.blended(data, np.arange(known + many), np.arange(known + many) < known)
+    assert 0.95 < (10 ** out[known:]).sum() <= 1 + 1e-6
+
+
+def test_bit_predictors_are_a_distribution_over_symbols_and_spellings():
+    rng = np.random.default_rng(4)
+    coder = mixing.Coder([(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(200)], 9000, 500, 18)
+    tables = [rng.integers(-60, 60, 1 << 18).astype(np.int8) for _ in range(mixing.CONTEXTS)]
+    mixer = mixing.Mixer(rng.normal(0.5, 0.2, (mixing.GATES, mixing.CONTEXTS)), rng.uniform(0.1, 0.9, mixing.GATES * mixing.STEPS).astype(np.float32))
+
+    def symbol_probabilities(docs, place):
+        slots, bits, kinds, owner, sizes, *_ = coder.events(docs)
+        p = mixer.probability(*mixer.inputs(tables, slots, kinds)).astype(np.float64)
+        p[bits == 0] = 1 - p[bits == 0]
+        own = np.bincount(owner[kinds == 0], np.log10(p[kinds == 0]), sizes.sum())
+        return 10 ** own[np.cumsum(sizes) - sizes + place]
+
+    before = [b"w3", b"odd"]
+    docs = [[*before, f"w{i}".encode()] for i in range(200)] + [[*before, b"unknown"], before]
+    assert symbol_probabilities(docs, 2).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_gray_codes_differ_in_no_more_bits_than_counts(spark):
