@@ -1,9 +1,10 @@
-"""A stored inverted index, and BM25 by block maxima on it: asking reads the asked terms' postings and no text.
+"""A stored inverted index, and BM25 by block maxima on it: asking reads the buckets of the asked terms and no text.
 
-Documents are dealt to shards by a hash of their id and numbered within them. A row of the postings is a term in a shard:
-the documents' numbers with counts and lengths, and for each block of documents the largest count and the smallest
-length, which bound every score in it whatever the statistics become. A shard meets the queries in blocks; for each query
-it scores the blocks of the largest bounds first and after them only those whose bound reaches the k-th score so far.
+Documents are dealt to shards by a hash of their id and numbered within them, terms to buckets by a hash. A row of the
+postings is a bucket in a shard: its terms, and for each the documents' numbers with counts and lengths, and for each
+block of documents the largest count and the smallest length, which bound every score in it whatever the statistics
+become. A shard meets the queries in blocks; for each query it scores the blocks of the largest bounds first and after
+them only those whose bound reaches the k-th score so far.
 
 The index consists of segments: what is written at once is one, and a search reads them all, with their statistics
 added up. So documents are added without touching what is there, and writing a segment again replaces it.
@@ -11,59 +12,75 @@ added up. So documents are added without touching what is there, and writing a s
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokens
+from siltstone.functions.text import normalized
 from siltstone.operators.retrieval import K1, QUERY_BLOCK, B, query_terms, ranked
 from siltstone.sources.shared import written
 from siltstone.sources.tables import is_written
 
 #: Documents to a shard on average, to a block of it, and blocks that a query scores before any is skipped.
-SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 4096, 64, 4
-#: Folders of the postings, by a hash of the term; a query reads those of its terms.
-BUCKETS = 64
-#: Different terms up to which they are named in the scans, so that files and row groups without them aren't read.
-NAMED = 1000
-#: Terms, in all blocks of queries, up to which they are sent to all tasks; shards that share a bucket's file.
-SENT, FILE_SHARDS = 100_000, 512
+SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 2048, 64, 4
+#: Buckets of terms, and buckets and shards that share a file.
+BUCKETS, FILE_BUCKETS, FILE_SHARDS = 1024, 32, 1024
+#: Terms, in all blocks of queries, whose buckets are named in the scan; and up to which they are sent to all tasks.
+NAMED, SENT = 1000, 100_000
+#: Lists of a bucket in a shard: one entry for each term, for each block of each term, for each posting of each term.
+PER_TERM, PER_BLOCK, PER_POSTING = ("n_blocks", "df"), ("blocks", "sizes", "max_tf", "min_dl"), ("locals", "tfs", "dls")
+LISTS = PER_TERM + PER_BLOCK + PER_POSTING
+_POSTINGS = ", ".join(["shard long", "bucket int", "terms array<string>", *(f"{c} array<int>" for c in LISTS)])
+_DOCUMENTS = "chunk_id {}, shard long, local int, dl int"
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def _shard_postings(table):
-    """Of one shard (chunk_id, shard, words): a row for each document without a term, and one for each term."""
+    """Of one shard (chunk_id, shard, words): a row for each document (without terms), and one for each bucket."""
     import pyarrow as pa
     import pyarrow.compute as pc
+    import xxhash
 
     table = table.take(pc.sort_indices(table["chunk_id"].combine_chunks()))
     shard, n = table["shard"][0].as_py(), table.num_rows
     split = pc.split_pattern(table["words"].combine_chunks(), " ")
     doc, coded = pc.list_parent_indices(split).to_numpy().astype(np.int64), pc.list_flatten(split).dictionary_encode()
-    words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    words, ids = coded.dictionary, coded.indices.to_numpy()
+    # Terms are numbered by bucket; Spark's hash of a string, seeded as Spark does.
+    bucket = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64) % BUCKETS
+    by_bucket = np.argsort(bucket, kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[by_bucket] = np.arange(len(words))
     filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[ids]  # a text without words is one empty word
-    doc, ids = doc[filled], ids[filled]
+    doc, ids = doc[filled], number[ids[filled]]
     dl = np.bincount(doc, minlength=n).astype(np.int32)
     code, tf = np.unique(ids * n + doc, return_counts=True)
     term, local = code // n, (code % n).astype(np.int32)
-    by_term = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-    place = term * (n // BLOCK_DOCS + 1) + local // BLOCK_DOCS
-    by_block = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(term) else by_term
-    many = len(by_term)
-    of = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(np.asarray(values, np.int32)))
-    blocks = np.searchsorted(by_block, by_term)
-    reduced = lambda f, x: f.reduceat(x, by_block) if len(by_block) else x
-    lists = {
-        "blocks": of(blocks, local[by_block] // BLOCK_DOCS), "sizes": of(blocks, np.diff(np.r_[by_block, len(term)])), "max_tf": of(blocks, reduced(np.maximum, tf)), "min_dl": of(blocks, reduced(np.minimum, dl[local])),
-        "locals": of(by_term, local), "tfs": of(by_term, tf), "dls": of(by_term, dl[local]),
+    first = lambda x: np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    spans = lambda starts, end: np.diff(np.r_[starts, end])
+    of_term, of_block = first(term), first(term * (n // BLOCK_DOCS + 1) + local // BLOCK_DOCS)
+    reduced = lambda f, x: f.reduceat(x, of_block) if len(of_block) else x
+    flat = {
+        "df": spans(of_term, len(term)), "blocks": local[of_block] // BLOCK_DOCS, "sizes": spans(of_block, len(term)), "max_tf": reduced(np.maximum, tf), "min_dl": reduced(np.minimum, dl[local]),
+        "locals": local, "tfs": tf, "dls": dl[local],
     }
-    own = {"chunk_id": table["chunk_id"].combine_chunks(), "local": pa.array(np.arange(n, dtype=np.int32)), "dl": pa.array(dl), "df": pa.nulls(n, pa.int32()), "term": pa.nulls(n, pa.string()), "shard": pa.array([shard] * n, pa.int64()), **{c: pa.nulls(n, x.type) for c, x in lists.items()}}
-    terms = {"chunk_id": pa.nulls(many, own["chunk_id"].type), "local": pa.nulls(many, pa.int32()), "dl": pa.nulls(many, pa.int32()), "df": pa.array(np.diff(np.r_[by_term, len(term)]).astype(np.int32)), "term": words.take(pa.array(term[by_term])), "shard": pa.array([shard] * many, pa.int64()), **lists}
-    return pa.concat_tables([pa.table(own), pa.table(terms)])
-
-
-#: Columns of a term's lists, and of a document's row.
-_DOCUMENT = "chunk_id {}, shard long, local int, dl int"
-LISTS = ("blocks", "sizes", "max_tf", "min_dl", "locals", "tfs", "dls")
+    at_block = np.searchsorted(of_block, of_term)
+    flat["n_blocks"] = spans(at_block, len(of_block))
+    used = by_bucket[term[of_term]]
+    of_bucket = first(bucket[used])
+    ends = {**dict.fromkeys(PER_TERM, (of_bucket, len(of_term))), **dict.fromkeys(PER_BLOCK, (at_block[of_bucket], len(of_block))), **dict.fromkeys(PER_POSTING, (of_term[of_bucket], len(term)))}
+    offsets = lambda starts, end: pa.array(np.r_[starts, end].astype(np.int32))
+    lists = {c: pa.ListArray.from_arrays(offsets(*ends[c]), pa.array(np.asarray(flat[c], np.int32))) for c in LISTS}
+    named = pa.ListArray.from_arrays(offsets(of_bucket, len(of_term)), words.take(pa.array(used)))
+    many, ids_of = len(of_bucket), table["chunk_id"].combine_chunks()
+    docs = {"chunk_id": ids_of, "local": pa.array(np.arange(n, dtype=np.int32)), "dl": pa.array(dl), "shard": pa.array([shard] * n, pa.int64()), "bucket": pa.array([-1] * n, pa.int32()), "terms": pa.nulls(n, named.type), **{c: pa.nulls(n, x.type) for c, x in lists.items()}}
+    own = {"chunk_id": pa.nulls(many, ids_of.type), "local": pa.nulls(many, pa.int32()), "dl": pa.nulls(many, pa.int32()), "shard": pa.array([shard] * many, pa.int64()), "bucket": pa.array(bucket[used][of_bucket].astype(np.int32)), "terms": named, **lists}
+    return pa.concat_tables([pa.table(docs), pa.table(own)])
 
 
 def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
@@ -72,16 +89,16 @@ def build(docs: DataFrame, folder: str, segment: int = 0) -> None:
     """
     spark, id_type, at = docs.sparkSession, docs.schema["chunk_id"].dataType.simpleString(), f"segment={segment}"
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    dealt = docs.where("text is not null").select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), F.array_join(tokens(F.col("text")), " ").alias("words"))
-    made = dealt.groupBy("shard").applyInArrow(_shard_postings, f"chunk_id {id_type}, local int, dl int, df int, term string, shard long, {', '.join(f'{c} array<int>' for c in LISTS)}")
-    # Documents are bucket -1. A bucket's file holds some shards, so that a term that all documents have is no single task's.
-    bucketed = made.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int"))
-    placed = bucketed.repartition("bucket", F.floor(F.col("shard") / FILE_SHARDS)).sortWithinPartitions("bucket", "term", "shard")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/{at}")
-    held = spark.read.schema(f"term string, df int, {_DOCUMENT.format(id_type)}, bucket int").parquet(f"{folder}/postings/{at}")
-    terms = held.where("bucket >= 0").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/{at}")
-    sums = held.where("bucket = -1").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"))
+    dealt = docs.where("text is not null").select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), normalized(F.col("text")).alias("words"))
+    made = dealt.groupBy("shard").applyInArrow(_shard_postings, f"chunk_id {id_type}, local int, dl int, {_POSTINGS}")
+    # A file holds some buckets of some shards, in order, so that neither a common term nor a large corpus is one task's; documents are in files of their own.
+    places = made.withColumn("file", F.floor(F.col("bucket") / FILE_BUCKETS).cast("int"))
+    placed = places.repartition("file", F.floor(F.col("shard") / FILE_SHARDS)).sortWithinPartitions("file", "bucket", "shard")
+    placed.write.mode("overwrite").partitionBy("file").parquet(f"{folder}/postings/{at}")
+    held = spark.read.schema(f"{_DOCUMENTS.format(id_type)}, bucket int, terms array<string>, df array<int>, file int").parquet(f"{folder}/postings/{at}")
+    counts = held.where("file >= 0").select("file", "bucket", F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("file", "bucket", F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
+    counts.repartition("file", F.pmod(F.xxhash64("term"), F.lit(FILE_BUCKETS))).sortWithinPartitions("file", "bucket", "term").write.mode("overwrite").partitionBy("file").parquet(f"{folder}/terms/{at}")
+    sums = held.where("file = -1").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"))
     # One row, last: a segment without it isn't searched.
     sums.withColumn("id_type", F.lit(id_type)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics/{at}")
 
@@ -97,11 +114,8 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         return spark.read.schema(", ".join([columns, "segment long", *by])).parquet(f"{folder}/{name}")
 
     statistics = read("statistics", "n long, words long, shards long, id_type string")
-    lists = ", ".join(f"{c} array<int>" for c in LISTS)
-    return {
-        "statistics": statistics, "documents": read("postings", _DOCUMENT.format(statistics.first()["id_type"]), "bucket int").where("bucket = -1").drop("bucket"),
-        "terms": read("terms", "term string, df long", "bucket int"), "postings": read("postings", f"term string, shard long, {lists}", "bucket int").where("bucket >= 0"),
-    }
+    documents = read("postings", _DOCUMENTS.format(statistics.first()["id_type"]), "file int").where("file = -1").drop("file")
+    return {"statistics": statistics, "documents": documents, "terms": read("terms", "bucket int, term string, df long", "file int"), "postings": read("postings", _POSTINGS, "file int").where("file >= 0")}
 
 
 def _block_best(k: int, avgdl: float, filtered: bool = False):
@@ -113,18 +127,21 @@ def _block_best(k: int, avgdl: float, filtered: bool = False):
 
         out: list[tuple] = []
         if postings.num_rows and asked.num_rows:
-            named = postings["term"].is_valid()
+            named = postings["terms"].is_valid()
             allowed = np.concatenate([np.zeros(0, int), *(x.as_py() for x in postings.filter(pc.invert(named))["locals"])]) if filtered else None
             postings = postings.filter(named)
-            lists = {c: postings[c].combine_chunks() for c in LISTS}
-            ends = {c: x.offsets.to_numpy() for c, x in lists.items()}
-            flat = {c: x.values.to_numpy(zero_copy_only=False) for c, x in lists.items()}
-            term_of = {t: i for i, t in enumerate(postings["term"].to_pylist())}
-            idf = postings["idf"].to_numpy()
+            flat = {c: postings[c].combine_chunks().flatten() for c in ("terms", *LISTS)}
+            weight = dict(chain.from_iterable(zip(t, w, strict=True) for t, w in zip(asked["terms"].to_pylist(), asked["idfs"].to_pylist(), strict=True)))
+            # Rows follow one another, so a term's lists are a slice of all rows' lists.
+            known = pc.is_in(flat["terms"], pa.array(list(weight), pa.string())).to_numpy(zero_copy_only=False)
+            flat = {c: x.to_numpy(zero_copy_only=False) for c, x in flat.items()}
+            block_ends, ends = (np.r_[0, np.cumsum(flat[c], dtype=np.int64)] for c in PER_TERM)
             part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-            of = lambda c, i: flat[c][ends[c][i] : ends[c][i + 1]]
-            rows = [(of("blocks", i), of("sizes", i), idf[i] * part(of("max_tf", i), of("min_dl", i)), of("locals", i), idf[i] * part(of("tfs", i), of("dls", i))) for i in range(len(idf))]
-            n_docs = int(flat["locals"].max(initial=-1)) + 1
+            rows = {}
+            for i in np.flatnonzero(known).tolist():
+                b, p, idf = slice(block_ends[i], block_ends[i + 1]), slice(ends[i], ends[i + 1]), weight[flat["terms"][i]]
+                rows[flat["terms"][i]] = flat["blocks"][b], flat["sizes"][b], idf * part(flat["max_tf"][b], flat["min_dl"][b]), flat["locals"][p], idf * part(flat["tfs"][p], flat["dls"][p])
+            n_docs = max((int(r[3][-1]) + 1 for r in rows.values()), default=0)
             n_blocks = -(-n_docs // BLOCK_DOCS)
             score, fits = np.zeros(n_docs), np.ones(n_docs, bool)
             if filtered:
@@ -139,7 +156,7 @@ def _block_best(k: int, avgdl: float, filtered: bool = False):
                     score[docs[keep]] += parts[keep]  # a document comes once in a term's list
 
             for query_id, terms in zip(asked["query_id"].to_pylist(), asked["terms"].to_pylist(), strict=True):
-                mine = [rows[term_of[t]] for t in terms if t in term_of]
+                mine = [rows[t] for t in terms if t in rows]
                 if not mine:
                     continue
                 bound = np.zeros(n_blocks)
@@ -164,14 +181,6 @@ def _block_best(k: int, avgdl: float, filtered: bool = False):
     return run
 
 
-def _naming(tables: list[DataFrame], terms: DataFrame) -> list[DataFrame]:
-    """The tables' rows of the asked terms, as a condition on bucket and term where they are few."""
-    few = terms.select("bucket", "term").distinct().limit(NAMED + 1).collect()  # bounded
-    if len(few) > NAMED:
-        return tables
-    return [x.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few))) for x in tables]
-
-
 def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the ``k`` best documents of the index by BM25 for each query (query_id, text).
 
@@ -186,19 +195,24 @@ def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataF
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     whole = F.col("segment").isin([r["segment"] for r in segments])
-    terms, df = query_terms(queries), F.col("df")
-    keyed = terms.select(block, F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term").distinct()
-    postings, known = _naming([index["postings"].where(whole), index["terms"].where(whole)], keyed)
-    counted = keyed.join(known.groupBy("bucket", "term").agg(F.sum("df").alias("df")), ["bucket", "term"])
-    asked = written(counted.withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5))).drop("df"), "asked")
-    asked = F.broadcast(asked) if asked.count() <= SENT else asked
-    hits = postings.join(asked, ["bucket", "term"]).select("segment", "shard", "block", "term", "idf", *LISTS)
+    terms, df = query_terms(queries).select("query_id", "term", bucket_of(F.col("term")).alias("bucket")), F.col("df")
+    postings, known = index["postings"].where(whole), index["terms"].where(whole)
+    few = terms.select("bucket", "term").distinct().limit(NAMED + 1).collect()  # bounded
+    if len(few) <= NAMED:  # files and row groups without them aren't read
+        here = sorted({r["bucket"] for r in few})
+        files = F.col("file").isin(sorted({x // FILE_BUCKETS for x in here}))
+        postings, known = (x.where(files & F.col("bucket").isin(here)) for x in (postings, known))
+        known = known.where(F.col("term").isin(sorted(r["term"] for r in few)))
+    idf = known.join(terms.select("bucket", "term").distinct(), ["bucket", "term"]).groupBy("term").agg(F.sum("df").alias("df")).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    weighted = written(terms.join(idf, "term"), "asked")
+    buckets = weighted.select(block, "bucket").distinct()
+    hits = postings.join(F.broadcast(buckets) if buckets.count() <= SENT else buckets, "bucket").select("segment", "shard", "block", "terms", *LISTS)
     shards = queries.sparkSession.createDataFrame([(r["segment"], r["shards"]) for r in segments], "segment long, shards long")
-    every = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms")).crossJoin(F.broadcast(shards))  # every query meets every shard, in blocks: one row a segment is sent
-    every = every.select(block, "query_id", "terms", "segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    every = weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")).crossJoin(F.broadcast(shards))  # every query meets every shard, in blocks: one row a segment is sent
+    every = every.select(block, "query_id", "terms", "idfs", "segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     search, by = _block_best(k, sum(r["words"] for r in segments) / n, allowed is not None), ("segment", "shard", "block")
     if allowed is not None:
-        # A shard's allowed documents come as one more row of postings, without a term, for each block of queries.
+        # A shard's allowed documents come as one more row of postings, without terms, for each block of queries.
         own = index["documents"].where(whole).join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("segment", "shard").agg(F.collect_list(F.col("local").cast("int")).alias("locals"))
         own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast(f"array<{hits.schema['block'].dataType.simpleString()}>")))
         hits = hits.unionByName(own, allowMissingColumns=True)
