@@ -9,6 +9,8 @@ from siltstone.operators import cells, inverted
 from siltstone.operators.retrieval import K, embedding, expansions, fused, reranked
 from siltstone.sources.tables import is_written
 
+#: Goes up with every change of how an index is stored, and is part of where a kept one is looked for.
+FORMAT = 1
 #: An index is these tables, by name.
 Index = dict[str, DataFrame]
 

@@ -221,7 +221,7 @@ def qa_examples(spark, d):
 @query("select * from (select q.vec_id as query_id, e.vec_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score, (row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], e.embedding::double[]), 9) desc, e.vec_id))::int as rank from embeddings q, embeddings e where q.vec_id % 100 = 0) where rank <= 6")
 def vector_topk(spark, d):
     """Every vector whose id is divisible by 100 asks all vectors, in cells."""
-    folder = f"{shared_dir(spark).rstrip('/')}/cells-{stamp(spark, f'{d}/embeddings.parquet')}"
+    folder = f"{shared_dir(spark).rstrip('/')}/cells-format{search.FORMAT}-{stamp(spark, f'{d}/embeddings.parquet')}"
     rows = table(spark, d, "embeddings")
     if not is_written(spark, f"{folder}/cells"):
         cells.build(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), folder)
