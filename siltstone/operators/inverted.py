@@ -26,7 +26,7 @@ from siltstone.sources.tables import is_written
 #: Documents to a shard on average, to a block of it, and blocks that a query scores before any is skipped.
 SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 2048, 64, 4
 #: Buckets of terms, and buckets and shards that share a file.
-BUCKETS, FILE_BUCKETS, FILE_SHARDS = 1024, 32, 1024
+BUCKETS, FILE_BUCKETS, FILE_SHARDS = 1024, 32, 32
 #: Terms, in all blocks of queries, whose buckets are named in the scan; and up to which they are sent to all tasks.
 NAMED, SENT = 1000, 100_000
 #: Lists of a bucket in a shard: one entry for each term, for each block of each term, for each posting of each term.

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokens
+from siltstone.functions.text import normalized, tokens
 
 #: Fixed values of the published formulas: BM25's k1 and b, the rank constant of reciprocal rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
@@ -22,22 +22,27 @@ def ranked(df: DataFrame, k: int, *, by: str = "query_id", id_col: str = "chunk_
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _hashed(lists):
+def _hashed(texts):
+    """Unit vectors of an Arrow array of words joined by spaces, some rows at a time."""
     import hashlib
 
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    places: dict[str, int] = {}
-
-    def one(words) -> list[float]:
+    places, out = {}, [np.zeros((0, DIM))]
+    for at in range(0, len(texts), 1000):
+        split = pc.split_pattern(texts[at : at + 1000], " ")
+        row, coded = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         for w in words:
             if w not in places:
-                places[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % DIM
-        counts = np.bincount([places[w] for w in words], minlength=DIM).astype(float) if len(words) else np.zeros(DIM)
-        norm = np.sqrt((counts * counts).sum())
-        return (counts / norm if norm > 0 else counts).tolist()
-
-    return pd.Series([one(words) for words in lists])
+                places[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % DIM if w else DIM  # a text without words is one empty word
+        code = row.astype(np.int64) * (DIM + 1) + np.array([places[w] for w in words], np.int64)[coded.indices.to_numpy()]
+        counts = np.bincount(code, minlength=len(split) * (DIM + 1)).reshape(-1, DIM + 1)[:, :DIM].astype(float)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        out.append(counts / np.where(norm > 0, norm, 1))
+    whole = np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, whole.size + 1, DIM, dtype=np.int32)), pa.array(whole.ravel()))
 
 
 def embedding(text: Column) -> Column:
@@ -45,7 +50,7 @@ def embedding(text: Column) -> Column:
 
     Batch-wise in Arrow, as an embedding model would be.
     """
-    return F.pandas_udf(_hashed, "array<double>")(tokens(F.coalesce(text, F.lit(""))))
+    return F.arrow_udf(_hashed, "array<double>")(normalized(text))
 
 
 def postings(docs: DataFrame) -> DataFrame:

@@ -10,29 +10,32 @@ from siltstone.operators.retrieval import K, embedding, expansions, fused, reran
 from siltstone.sources.tables import is_written
 
 #: Goes up with every change of how an index is stored, and is part of where a kept one is looked for.
-FORMAT = 1
+FORMAT = 2
 #: An index is these tables, by name.
 Index = dict[str, DataFrame]
 
 
-def load_or_build(docs: DataFrame, folder: str, *, force: bool = False, stored: bool = False) -> Index:
+def load_or_build(docs: DataFrame, folder: str, *, force: bool = False, stored: bool = False, parts: tuple[str, ...] = ("words", "vectors")) -> Index:
     """The index of chunk_id, text below ``folder``; what isn't there whole, or is forced, is built first.
 
-    ``stored``: the passages are a table already, and are not copied beside the index.
+    ``stored``: the passages are a table already, and are not copied beside the index. ``parts``: what is needed of it.
     """
     spark = docs.sparkSession
     if not stored and (force or not is_written(spark, f"{folder}/chunks")):
         docs.write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = docs if stored else spark.read.parquet(f"{folder}/chunks")
-    if force or not inverted.is_whole(spark, folder):
+    if "words" in parts and (force or not inverted.is_whole(spark, folder)):
         inverted.build(chunks.select("chunk_id", "text"), folder)
-    if force or not is_written(spark, f"{folder}/cells"):
+    if "vectors" in parts and (force or not is_written(spark, f"{folder}/cells")):
         cells.build(chunks.select("chunk_id", embedding(F.col("text")).alias("vector")), folder)
-    return load(spark, folder, chunks)
+    return load(spark, folder, chunks, parts)
 
 
-def load(spark: SparkSession, folder: str, chunks: DataFrame | None = None) -> Index:
-    return {"chunks": spark.read.parquet(f"{folder}/chunks") if chunks is None else chunks} | inverted.load(spark, folder) | cells.load(spark, folder)
+def load(spark: SparkSession, folder: str, chunks: DataFrame | None = None, parts: tuple[str, ...] = ("words", "vectors")) -> Index:
+    index = {"chunks": spark.read.parquet(f"{folder}/chunks") if chunks is None else chunks}
+    if "words" in parts:
+        index |= inverted.load(spark, folder)
+    return index | cells.load(spark, folder) if "vectors" in parts else index
 
 
 def vectors_topk(index: Index, queries: DataFrame, k: int, **options) -> DataFrame:

@@ -14,7 +14,7 @@ def index(pages: DataFrame, folder: str, *, force: bool = False, source: str = "
     return search.load_or_build(chunk.corpus(pages, source=source), folder, force=force)
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> search.Index:
+def documents_index(spark: SparkSession, sf_dir: str, *parts: str) -> search.Index:
     """The index of the table ``documents``, kept in the shared folder for as long as the table's files stay the same."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
-    return search.load_or_build(docs, f"{shared_dir(spark).rstrip('/')}/index-format{search.FORMAT}-{stamp(spark, f'{sf_dir}/documents.parquet')}", stored=True)
+    return search.load_or_build(docs, f"{shared_dir(spark).rstrip('/')}/index-format{search.FORMAT}-{stamp(spark, f'{sf_dir}/documents.parquet')}", stored=True, parts=parts or ("words", "vectors"))

@@ -231,7 +231,7 @@ def vector_topk(spark, d):
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from bm25", "bm25"))
 def bm25_topk(spark, d):
-    return _six(inverted.topk(documents_index(spark, d), _items(spark, d), 2 * retrieval.K), "score")
+    return _six(inverted.topk(documents_index(spark, d, "words"), _items(spark, d), 2 * retrieval.K), "score")
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from bm25", "bm25"))
