@@ -403,6 +403,20 @@ def _wide(parts: list[bytes]) -> np.ndarray:
     return np.pad(own, ((0, 0), (0, 8 - TOKEN_BYTES))).view("<u8").ravel()
 
 
+def _packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Small or ascending whole numbers, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=0).astype(np.uint32).tobytes() if ascending else x.astype(np.uint32).tobytes())
+
+
+def _unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    import zstandard
+
+    own = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+    return np.cumsum(own, dtype=np.int64) if ascending else own
+
+
 def token(context: np.ndarray, symbol: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """Tokens as numbers. Probabilities are rounded down, so that those of all symbols still sum to one at most."""
     plain = np.minimum(np.ceil(-log_p / UNIT - 1e-9), (1 << PLAIN_BITS) - 1).astype(np.uint64)
@@ -454,10 +468,11 @@ def _shard_sums(table):
     if table.column("shard")[0].as_py() < 0:
         return table.drop_columns(["shard", "data", "many"])
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("row", "data", "docs", "many")), strict=True))
-    many = np.concatenate([np.frombuffer(x, np.uint32) for *_, x in rows])
+    held = [_unpacked(x) for *_, x in rows]
+    many = np.concatenate(held)
     doc = np.repeat(np.arange(len(many)), many >> 1)
     total = np.bincount(doc, blended(_wide([x for _, x, _, _ in rows]), doc, (many & 1).astype(bool)[doc]), len(many))
-    cuts = np.cumsum([0, *(len(x) // 4 for *_, x in rows)])
+    cuts = np.cumsum([0, *map(len, held)])
     columns = {"row": pa.array([r[0] for r in rows], pa.int64()), "docs": pa.array([r[2] for r in rows], pa.binary()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
     names = [n for n in table.column_names if n not in ("shard", "data", "many")]
     return pa.table([columns[n] if n in columns else pa.nulls(len(rows), table.schema.field(n).type) for n in names], names=names)
@@ -468,7 +483,7 @@ def _run_sums(table):
     import pyarrow as pa
 
     parts = sorted(zip(*(table.column(c).to_pylist() for c in ("docs", "sums")), strict=True))
-    place, sums = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, np.uint32), (1, np.float64)))
+    place, sums = np.concatenate([_unpacked(p, ascending=True) for p, _ in parts]), np.concatenate([np.frombuffer(x, np.float64) for _, x in parts])
     total = np.bincount(place, sums)
     first = table.column("row")[0].as_py()
     return pa.table({"row": pa.array(np.arange(first, first + len(total))), "symbols": pa.array(total)})
@@ -523,7 +538,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
             flags, rows = np.array(folds_of, np.uint32), []
             for a, b in zip(here.tolist(), [*here[1:].tolist(), len(shard)]):
                 own, n_own = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(shard[a]), run, _narrow(data[a:b]), own.astype(np.uint32).tobytes(), (n_own.astype(np.uint32) << 1 | flags[own]).tobytes()))
+                rows.append((int(shard[a]), run, _narrow(data[a:b]), _packed(own, ascending=True), _packed(n_own.astype(np.uint32) << 1 | flags[own])))
             columns = dict(zip(("shard", "row", "data", "docs", "many"), zip(*rows, strict=True), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in kinds_of], schema=kinds_of)
 
