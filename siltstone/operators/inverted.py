@@ -181,6 +181,33 @@ def _block_best(k: int, avgdl: float, filtered: bool = False):
     return run
 
 
+def _only(asked: list[str]):
+    """Rows of postings without the terms that no query has, so that these aren't shuffled; rows that keep none go."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        wanted = pa.array(asked, pa.string())
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            flat = {c: columns[c].flatten() for c in ("terms", *LISTS)}
+            keep = pc.is_in(flat["terms"], wanted).to_numpy(zero_copy_only=False)
+            n_blocks, df = (flat[c].to_numpy(zero_copy_only=False) for c in PER_TERM)
+            row = np.repeat(np.arange(len(batch)), np.diff(columns["terms"].offsets.to_numpy()))
+            masks = {c: (keep, row) for c in ("terms", *PER_TERM)} | {c: (np.repeat(keep, n_blocks), np.repeat(row, n_blocks)) for c in PER_BLOCK} | {c: (np.repeat(keep, df), np.repeat(row, df)) for c in PER_POSTING}
+
+            def kept(c):
+                mask, of = masks[c]
+                ends = np.r_[0, np.cumsum(np.bincount(of[mask], minlength=len(batch)))].astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), flat[c].filter(pa.array(mask)))
+
+            out = pa.RecordBatch.from_arrays([kept(c) if c in masks else x for c, x in columns.items()], names=batch.schema.names)
+            yield out.filter(pa.array(np.isin(np.arange(len(batch)), row[keep])))
+
+    return run
+
+
 def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the ``k`` best documents of the index by BM25 for each query (query_id, text).
 
@@ -206,6 +233,10 @@ def topk(index: dict[str, DataFrame], queries: DataFrame, k: int, allowed: DataF
     idf = known.join(terms.select("bucket", "term").distinct(), ["bucket", "term"]).groupBy("term").agg(F.sum("df").alias("df")).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
     weighted = written(terms.join(idf, "term"), "asked")
     buckets = weighted.select(block, "bucket").distinct()
+    named = [r["term"] for r in weighted.select("term").distinct().limit(SENT + 1).collect()]  # bounded
+    postings = postings.select("segment", "shard", "bucket", "terms", *LISTS)
+    if len(named) <= SENT:
+        postings = postings.mapInArrow(_only(named), postings.schema)
     hits = postings.join(F.broadcast(buckets) if buckets.count() <= SENT else buckets, "bucket").select("segment", "shard", "block", "terms", *LISTS)
     shards = queries.sparkSession.createDataFrame([(r["segment"], r["shards"]) for r in segments], "segment long, shards long")
     every = weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")).crossJoin(F.broadcast(shards))  # every query meets every shard, in blocks: one row a segment is sent
