@@ -61,14 +61,14 @@ def marked_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.when(b["tag"].startswith("h"), F.concat(F.lit(f"{SECTION_START} "), b["plain"], F.lit(f" {SECTION_END}"))).otherwise(b["text"])), " ")
 
 
-def blocks(pages: DataFrame) -> DataFrame:
+def blocks(pages: DataFrame, *, bare_references: bool = True) -> DataFrame:
     """page_id, pos, tag, text of every block of the main content."""
-    return parsed(pages.select("page_id", "html")).select("page_id", F.inline("blocks")).drop("plain")
+    return parsed(pages.select("page_id", "html"), bare_references=bare_references).select("page_id", F.inline("blocks")).drop("plain")
 
 
-def page_chunks(pages: DataFrame, **options) -> DataFrame:
+def page_chunks(pages: DataFrame, *, bare_references: bool = True, **options) -> DataFrame:
     """page_id, ordinal, section, text of every page's chunks."""
-    return parsed(pages.select("page_id", "html")).select("page_id", F.posexplode(chunked(F.col("blocks"), **options)).alias("ordinal", "c")).select("page_id", "ordinal", "c.section", "c.text", "c.section_of_text")
+    return parsed(pages.select("page_id", "html"), bare_references=bare_references).select("page_id", F.posexplode(chunked(F.col("blocks"), **options)).alias("ordinal", "c")).select("page_id", "ordinal", "c.section", "c.text", "c.section_of_text")
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -76,17 +76,17 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2_147_483_647)).otherwise(path)
 
 
-def _of_files(files: DataFrame, source: str, first: list[str]) -> DataFrame:
+def _of_files(files: DataFrame, source: str, first: list[str], bare_references: bool = True) -> DataFrame:
     """Chunks with their metadata from name, source_path, html; ids begin with the columns ``first``."""
     doc_id = F.replace(F.regexp_replace("name", r"\.html$", ""), F.lit("-"), F.lit("_"))
-    read = parsed(files.select("name", "source_path", "html")).where("error is null")
+    read = parsed(files.select("name", "source_path", "html"), bare_references=bare_references).where("error is null")
     out = read.select(doc_id.alias("doc_id"), F.lit(source).alias("source"), "source_path", F.posexplode(chunked(F.col("blocks"))).alias("ordinal", "c"))
     return out.select(F.concat_ws("_", *first, F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", "source", "source_path", "c.section", "c.text", "ordinal")
 
 
-def corpus(pages: DataFrame, *, source: str = "Knowledge Base", folder: str = "data/raw/") -> DataFrame:
+def corpus(pages: DataFrame, *, source: str = "Knowledge Base", folder: str = "data/raw/", bare_references: bool = True) -> DataFrame:
     """Chunks with their metadata from the saved files of all pages; a page that fails has none."""
-    return _of_files(saved_pages(pages).select("name", F.concat(F.lit(folder), F.col("name")).alias("source_path"), "html"), source, ["doc_id"])
+    return _of_files(saved_pages(pages).select("name", F.concat(F.lit(folder), F.col("name")).alias("source_path"), "html"), source, ["doc_id"], bare_references)
 
 
 def folder_corpus(files: DataFrame, root: str, *, source: str = "Knowledge Base") -> DataFrame:

@@ -81,3 +81,25 @@ def test_a_page_of_many_blocks_takes_linear_time():
 
     took(1000)
     assert took(400_000) < 40 * max(took(40_000), 0.01) and took(100_000) < 5
+
+
+def test_references_without_a_semicolon():
+    html = "<h1>a&amp</h1><p>&copy;&quot;b&quot &am &#65; &#66 &zzz; &</p>"
+    assert texts(html) == [("h1", "a&"), ("p", '©"b" &am A B &zzz; &')]
+    assert [b["text"] for b in parse(html, bare_references=False)[0]] == ["a&amp", '©"b&quot &am A &#66 &zzz; &']
+    assert parse('<a href="/x?a=1&b=2&amp;c=3">', bare_references=False)[2] == ["/x?a=1&b=2&c=3"]
+
+
+def test_queries_of_pages_read_references_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from siltstone.plans.queries import QUERIES, SQL
+
+    html = "<html><body><article><h1>Alpha &am</h1><p>Beta &amp; gamma&amp</p><p>" + "delta &quot;" * 10 + " &quot</p></article></body></html>"
+    spark.createDataFrame([(1, "http://h.example/a", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("html_blocks", "structure_chunks", "marked_text", "page_clean_text", "chunk_metadata", "chunks_per_doc", "valid_chunks", "index_documents"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and want, name
