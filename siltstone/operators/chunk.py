@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.html import parsed
+from siltstone.functions.html import PIECE_BYTES, parsed
+from siltstone.functions.pieces import spans
 from siltstone.operators.crawl import saved_pages
 
 #: Characters after which a chunk is closed, characters of it that begin the next, section before any heading.
@@ -46,12 +48,19 @@ def chunked(blocks: Column, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP, f
 
     def run(lists):
         import pyarrow as pa
-
-        ends, inner = lists.offsets.to_pylist(), lists.values
-        tags, texts = ([x or "" for x in inner.field(inner.type.get_field_index(c)).to_pylist()] for c in ("tag", "text"))
-        pages = [_fold(tags[a:b], texts[a:b], size, overlap, first_section) if valid else None for a, b, valid in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
-        fields = pa.struct([pa.field(c, pa.string()) for c in ("text", "section", "section_of_text")])
-        return pa.array([None if p is None else [dict(zip(("text", "section", "section_of_text"), c, strict=True)) for c in p] for p in pages], pa.list_(fields))
+        import pyarrow.compute as pc
+
+        ends, inner, valid = lists.offsets.to_numpy(), lists.values, lists.is_valid().to_pylist()
+        columns = [inner.field(inner.type.get_field_index(c)) for c in ("tag", "text")]
+        before = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(columns[1]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        kind = pa.list_(pa.struct([pa.field(c, pa.string()) for c in ("text", "section", "section_of_text")]))
+        out = []
+        for a, b in spans(before[ends[1:]] - before[ends[:-1]], PIECE_BYTES):
+            at = ends[a]
+            tags, texts = ([x or "" for x in c.slice(at, ends[b] - at).to_pylist()] for c in columns)
+            pages = [_fold(tags[i - at : j - at], texts[i - at : j - at], size, overlap, first_section) if v else None for i, j, v in zip(ends[a:b], ends[a + 1 : b + 1], valid[a:b], strict=True)]
+            out.append(pa.array([None if p is None else [dict(zip(("text", "section", "section_of_text"), c, strict=True)) for c in p] for p in pages], kind))
+        return pa.concat_arrays([pa.array([], kind), *out])
 
     return F.arrow_udf(run, "array<struct<text:string,section:string,section_of_text:string>>")(blocks)
 

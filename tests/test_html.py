@@ -103,3 +103,19 @@ def test_queries_of_pages_read_references_as_their_sql_does(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want) and want, name
+
+
+def test_pages_are_read_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.functions.html import PIECE_BYTES, _reader
+    from siltstone.functions.pieces import spans
+
+    assert list(spans(np.array([3, 3, 9, 1, 0, 1]), 6)) == [(0, 2), (2, 3), (3, 6)] and list(spans(np.array([], int), 6)) == []
+    html = [f"<p>{i} " + "x" * 2000 + "</p>" for i in range(4000)] + [None, "<p>" + "y" * 2 * PIECE_BYTES + "</p>", "<p>z</p>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(html))), pa.array(html, pa.string())], names=["page_id", "__html"])
+    got = list(_reader(["page_id"], True)([batch]))
+    assert sum(len(b) for b in got) == len(html) and max(len(b) for b in got) <= PIECE_BYTES / 2000
+    assert [x for b in got for x in b.column("page_id").to_pylist()] == list(range(len(html)))
+    assert [bool(x) for b in got for x in b.column("error").to_pylist()] == [h is None for h in html]
