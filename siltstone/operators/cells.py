@@ -19,6 +19,8 @@ from siltstone.sources.shared import written
 FIT_VECTORS, MOST_CELLS, PART_VECTORS = 20_000, 1024, 8192
 #: Cells that a query probes: a share of them all, but so many at least.
 PROBES, LEAST_PROBES = 0.25, 4
+#: Numbers of a matrix of vectors and cells that a worker makes at once.
+AT_ONCE = 1_000_000
 TABLES = ("cells", "vectors")
 
 
@@ -35,6 +37,13 @@ def fitted(sample: np.ndarray, many: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _pieces(batches, rows: int):
+    """The batches in slices of so many rows; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def build(vectors: DataFrame, folder: str) -> None:
     """Writes cells and vectors (chunk_id, vector; all of one length, null ones left out) to ``folder``."""
     spark, id_type = vectors.sparkSession, vectors.schema["chunk_id"].dataType.simpleString()
@@ -48,9 +57,7 @@ def build(vectors: DataFrame, folder: str) -> None:
     def placed(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _pieces(batches, max(1, AT_ONCE // len(centres))):
             flat = batch.column(1)
             x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             size = np.linalg.norm(x, axis=1)
@@ -79,9 +86,8 @@ def _probes(centres, parts, angles, sizes, probes: int, query_type: str, known:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        # A query's vector goes to each part of each of its cells.
+        for batch in _pieces(batches, max(1, AT_ONCE // max(1, int(parts.sum()) * centres.shape[1]))):
             q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             size = np.linalg.norm(q, axis=1)
             near = np.clip(q @ centres.T / np.where(size > 0, size, 1)[:, None], -1, 1)

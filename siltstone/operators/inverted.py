@@ -29,6 +29,8 @@ SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 2048, 64, 4
 BUCKETS, FILE_BUCKETS, FILE_SHARDS = 1024, 32, 32
 #: Terms, in all blocks of queries, whose buckets are named in the scan; and up to which they are sent to all tasks.
 NAMED, SENT = 1000, 100_000
+#: Rows of postings, a bucket in a shard each, that are freed of other terms at once.
+ONLY_ROWS = 256
 #: Lists of a bucket in a shard: one entry for each term, for each block of each term, for each posting of each term.
 PER_TERM, PER_BLOCK, PER_POSTING = ("n_blocks", "df"), ("blocks", "sizes", "max_tf", "min_dl"), ("locals", "tfs", "dls")
 LISTS = PER_TERM + PER_BLOCK + PER_POSTING
@@ -189,7 +191,7 @@ def _only(asked: list[str]):
         import pyarrow.compute as pc
 
         wanted = pa.array(asked, pa.string())
-        for batch in batches:
+        for batch in (whole.slice(at, ONLY_ROWS) for whole in batches for at in range(0, len(whole), ONLY_ROWS)):
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             flat = {c: columns[c].flatten() for c in ("terms", *LISTS)}
             keep = pc.is_in(flat["terms"], wanted).to_numpy(zero_copy_only=False)

@@ -161,3 +161,31 @@ def test_index_follows_its_table(spark, tmp_path, monkeypatch):
         assert ask() == [1]
     spark.createDataFrame([(3, "fox fox")], "doc_id long, text string").write.mode("append").parquet(path)
     assert tables.stamp(spark, path) != first and ask() == [3, 1]
+
+
+def test_a_query_meets_its_cells_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.operators import cells
+
+    n, many, dim = 300, 500, 64
+    run, _ = cells._probes(np.eye(many, dim), np.full(many, 2), np.full(many, 3.0), np.ones(many), 125, "bigint", False)
+    queries = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[1.0] * dim] * n)], names=["query_id", "vector"])
+    got = list(run([queries, queries.slice(0, 0)]))
+    assert sum(map(len, got)) == n * 125 * 2 and max(map(len, got)) * dim <= max(cells.AT_ONCE, 125 * 2 * dim)
+    assert [q for b in got for q in b.column("query_id").to_pylist()] == [q for q in range(n) for _ in range(250)]
+
+
+def test_postings_are_freed_of_other_terms_in_bounded_batches():
+    import pyarrow as pa
+
+    from siltstone.operators import inverted
+
+    n = 2 * inverted.ONLY_ROWS + 1
+    lists = {**{c: [[1, 1]] * n for c in inverted.PER_TERM}, **{c: [[7, 8]] * n for c in inverted.PER_BLOCK + inverted.PER_POSTING}}
+    rows = pa.RecordBatch.from_pydict({"shard": list(range(n)), "terms": [["a", "b"]] * n, **{c: pa.array(x, pa.list_(pa.int32())) for c, x in lists.items()}})
+    got = list(inverted._only(["b"])([rows]))
+    assert [len(b) for b in got] == [inverted.ONLY_ROWS, inverted.ONLY_ROWS, 1]
+    assert [x for b in got for x in b.column("shard").to_pylist()] == list(range(n))
+    assert all(b.column("tfs").to_pylist() == [[8]] * len(b) and b.column("terms").to_pylist() == [["b"]] * len(b) for b in got)
