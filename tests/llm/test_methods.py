@@ -248,6 +248,25 @@ def test_thresholds_are_of_the_language_s_own_trusted_documents(spark):
     assert quality.quota([2000, 60, 10], 200) == 130 and quality.quota([5, 3], 200) == 5 and quality.quota([], 9) == 1
 
 
+def test_all_trusted_documents_make_up_the_model_and_the_thresholds(spark, monkeypatch):
+    random.seed(5)
+    text = lambda: " ".join("".join(random.choice("abcdefgh") for _ in range(4)) for _ in range(6))
+    docs = spark.createDataFrame([(i, text(), "en") for i in range(7000)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 6800 as int) as quality", "0 as toxic")
+    fits, of = [], quality.fit_counts
+    monkeypatch.setattr(quality, "fit_counts", lambda grams: fits.append(grams.selectExpr("sum(n)").first()[0]) or of(grams))
+    got = quality.judged(docs, labels).collect()
+    # A count for each character of each trusted document: 29 of each text.
+    assert len(fits) == 3 and max(fits) == 6800 * 29 and sorted(fits)[0] + sorted(fits)[1] == 6800 * 29
+    half = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as h").collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect() if r["doc_id"] < 6800}
+    bits = []
+    for h in (0, 1):
+        model = quality.Model(*quality.fit(spark.createDataFrame([(t.decode(),) for i, t in texts.items() if half[i] != h], "text string")))
+        bits += model.mean_bits([t for i, t in texts.items() if half[i] == h])
+    assert len(got) == 7000 and abs(np.log2(got[0]["threshold"]) - np.quantile(bits, quality.QUANTILE)) <= 2e-4
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     files = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/COPYING", "Licensed under the Apache License, Version 2.0"), (4, "a/b/c/d/y.py", "code"),
