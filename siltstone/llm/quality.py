@@ -29,6 +29,8 @@ QUANTILE, LEAST = 0.995, 50
 QUANTILE_STEPS = 10_000
 #: Parts of the model by context; characters that a task counts, and scores, at once.
 SHARDS, COUNTED_CHARS, SCORED_CHARS = 16, 4_000_000, 300_000
+#: Bits of a map, bits for each trusted id in all maps, and probes of a map.
+MAP_BITS, BITS_AN_ID, PROBES = 1 << 15, 24, 4
 #: Discounts where the counts of counts give none.
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 
@@ -144,33 +146,58 @@ def fit_sample(trusted: DataFrame, limit: int) -> DataFrame:
     return trusted.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share * (1 << 30)).select("__id").distinct()
 
 
-def gram_counts(docs: DataFrame, *, text_col: str) -> DataFrame:
-    """gram, n: n-grams of all rows, summed in each task first, then by key."""
+def among(docs: DataFrame, ids: DataFrame, *, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids`` (``__id``, all different); they stay where they are, whatever else they hold.
+
+    Bit maps of the ids (a Bloom filter in blocks, three bytes an id) are sent to the rows. The few ids that pass and
+    aren't among ``ids`` are found from the ids alone, and sent too.
+    """
+    maps = max(1, -(-ids.count() * BITS_AN_ID // MAP_BITS))
+    of_map = lambda c: F.pmod(F.xxhash64(c), F.lit(maps))
+    places = lambda c: [F.shiftrightunsigned(F.xxhash64(c, F.lit(1)), 15 * k).bitwiseAND(F.lit(MAP_BITS - 1).cast("long")) for k in range(PROBES)]
+    bits = written(ids.select(of_map("__id").alias("__map"), F.explode(F.array(*places("__id"))).alias("place")).groupBy("__map").agg(F.bitmap_construct_agg("place").alias("__bits")), "maps")
+
+    def passing(rows: DataFrame) -> DataFrame:
+        held = F.col(id_col).isNotNull()
+        for k in range(PROBES):
+            place = f"__place{k}"
+            octet = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+            held = held & (F.call_function("shiftright", octet, F.col(place).bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        keyed = rows.withColumns({"__map": of_map(id_col)} | {f"__place{k}": x for k, x in enumerate(places(id_col))})
+        return keyed.join(F.broadcast(bits), "__map").where(held).select(rows.columns)
+
+    wrong = written(passing(docs.select(id_col)).join(ids.withColumnRenamed("__id", id_col), id_col, "left_anti").distinct(), "wrong")
+    return passing(docs).join(F.broadcast(wrong), id_col, "left_anti").select(docs.columns)
+
+
+def gram_counts(docs: DataFrame, *, text_col: str, by: str | None = None) -> DataFrame:
+    """gram, n: n-grams of all rows, summed in each task first, then by key; for each whole number in ``by`` apart, if that is given."""
 
     def run(batches):
         import pyarrow as pa
 
-        def counted(texts):
+        def counted(part, texts):
             c, owners = joined(texts)
             ends = np.flatnonzero(owners >= 0)
             _, first, n = np.unique(rolling(c, ORDER)[-1][ends], return_index=True, return_counts=True)
             grams = c[ends[first][:, None] + np.arange(1 - ORDER, 1)]
             text = grams.astype("<u4").tobytes().decode("utf-32-le", "replace")
-            return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(n, pa.int64())], names=["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int64())], names=["gram", "n", "part"])
 
-        waiting, size = [], 0
+        waiting, size = {}, {}
         for batch in batches:
-            for text in binary_list(batch.column(0)):
+            for text, part in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    waiting.append(text)
-                    size += len(text)
-                    if size >= COUNTED_CHARS:
-                        yield counted(waiting)
-                        waiting, size = [], 0
-        if waiting:
-            yield counted(waiting)
+                    waiting.setdefault(part, []).append(text)
+                    size[part] = size.get(part, 0) + len(text)
+                    if size[part] >= COUNTED_CHARS:
+                        yield counted(part, waiting.pop(part))
+                        size[part] = 0
+        for part, texts in waiting.items():
+            yield counted(part, texts)
 
-    return docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col, (F.col(by) if by else F.lit(0)).cast("long").alias("part")).where(F.col(text_col).isNotNull())
+    return rows.mapInArrow(run, "gram string, n long, part long").groupBy("gram", *(["part"] if by else [])).agg(F.sum("n").alias("n"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -290,13 +317,13 @@ def judged(
     held_of = lambda model: sc.broadcast((*model, uuid.uuid4().int))
     texts = docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     if trusted_docs is None:
-        trusted = written(texts.join(ids, "__id"), "trusted")
-        half = F.pmod(F.xxhash64("__id"), F.lit(2))
-        counts = [written(gram_counts(trusted.where(half == h), text_col="text"), "grams") for h in (0, 1)]
-        others = [held_of(fit_counts(c)) for c in reversed(counts)]
-        held = held_of(fit_counts(written(counts[0].unionByName(counts[1]).groupBy("gram").agg(F.sum("n").alias("n")), "grams")))
+        own = written(ids.select(F.col("__id").try_cast(docs.schema[id_col].dataType).alias("__id")).where("__id is not null").distinct(), "trusted")
+        trusted = among(texts.withColumn("half", F.pmod(F.xxhash64("__id"), F.lit(2))), own, id_col="__id")
+        counts = written(gram_counts(trusted, text_col="text", by="half"), "grams")
+        others = [held_of(fit_counts(counts.where(F.col("part") != h).select("gram", "n"))) for h in (0, 1)]
+        held = held_of(fit_counts(written(counts.groupBy("gram").agg(F.sum("n").alias("n")), "grams")))
         scored = written(score(docs, held, text_col=text_col), "bits")
-        unseen = reduce(DataFrame.unionByName, [score(trusted.where(half == h), model) for h, model in enumerate(others)])
+        unseen = reduce(DataFrame.unionByName, [score(trusted.where(F.col("half") == h), model) for h, model in enumerate(others)])
     else:
         trusted = written(texts.select("__id", "lang").join(ids, "__id"), "trusted")
         sample = F.broadcast(fit_sample(trusted, trusted_docs))  # about trusted_docs rows

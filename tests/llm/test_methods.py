@@ -374,3 +374,17 @@ def test_gray_codes_differ_in_no_more_bits_than_counts(spark):
     assert counts.where(bits > lines.sketch_distance(F.col("x"), F.col("y"))).count() == 0
     high = counts.select(*(F.shiftleft(c, 60).alias(c) for c in ("x", "y")))
     assert high.where(bits > lines.sketch_distance(F.col("x"), F.col("y"))).count() == 0
+
+
+def test_trusted_texts_are_marked_without_moving_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3000 if i % 100 else None, f"text {i}") for i in range(6000)], "doc_id long, text string")
+    ids = spark.range(0, 9000, 3).select(F.col("id").alias("__id"))
+    want = sorted(f"text {i}" for i in range(6000) if i % 100 and i % 3000 % 3 == 0)
+    for bits in (quality.BITS_AN_ID, 1):  # with one bit an id many pass that aren't among them
+        monkeypatch.setattr(quality, "BITS_AN_ID", bits)
+        got = quality.among(docs, ids, id_col="doc_id")
+        assert sorted(r["text"] for r in got.collect()) == want and got.columns == docs.columns
+        # Texts are in no shuffle.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert quality.among(docs, ids.limit(0), id_col="doc_id").count() == 0
