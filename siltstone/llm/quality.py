@@ -322,7 +322,7 @@ def judged(
         counts = written(gram_counts(trusted, text_col="text", by="half"), "grams")
         others = [held_of(fit_counts(counts.where(F.col("part") != h).select("gram", "n"))) for h in (0, 1)]
         held = held_of(fit_counts(written(counts.groupBy("gram").agg(F.sum("n").alias("n")), "grams")))
-        scored = written(score(docs, held, text_col=text_col), "bits")
+        scored = None if keep_text else score(docs, held, text_col=text_col)
         unseen = reduce(DataFrame.unionByName, [score(trusted.where(F.col("half") == h), model) for h, model in enumerate(others)])
     else:
         trusted = written(texts.select("__id", "lang").join(ids, "__id"), "trusted")

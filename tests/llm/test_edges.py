@@ -119,3 +119,13 @@ def test_stages_keep_the_columns(spark, odd, empty, tmp_path):
         for docs in (odd, empty):
             assert stage(spark, docs, str(tmp_path)).columns == odd.columns
     assert stages.sequences(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_the_quality_stage_scores_its_documents_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, f"some words and {i}", "en", "web", 20) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    passes, of = [], quality.score
+    monkeypatch.setattr(quality, "score", lambda rows, held, **how: passes.append(how.get("keep_text", False)) or of(rows, held, **how))
+    assert stages.trusted_style(spark, docs, str(tmp_path)).count() >= 55
+    # All documents once, with their texts; the trusted ones of each half once more, for the threshold.
+    assert sorted(passes) == [False, False, True]
