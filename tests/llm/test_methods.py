@@ -388,3 +388,25 @@ def test_trusted_texts_are_marked_without_moving_them(spark, monkeypatch):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert quality.among(docs, ids.limit(0), id_col="doc_id").count() == 0
+
+
+def test_equal_tokens_are_worked_on_once_with_the_results_of_all(spark):
+    rng = np.random.default_rng(6)
+    coder = mixing.Coder([(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(200)], 9000, 500, 18)
+    docs = [[f"w{i}".encode() for i in rng.integers(0, 230, 50)] for _ in range(40)] * 3
+    slots, bits, kinds, owner, _, symbols, *_ = coder.events(docs)
+    _, own, before, marker, _, rare_at, rare = coder.tokens(docs)
+    for k, context in enumerate([None, before, marker]):
+        got, want = np.zeros(2 << 18, np.uint32), slots[k][kinds == 0] << 1 | bits[kinds == 0]
+        coder.count_symbols(k, context, own, got)
+        assert (got == np.bincount(want, minlength=2 << 18)).all()
+    tables = [rng.integers(-60, 60, 1 << 18).astype(np.int8) for _ in range(mixing.CONTEXTS)]
+    mixer = mixing.Mixer(rng.normal(0.5, 0.2, (mixing.GATES, mixing.CONTEXTS)), rng.uniform(0.1, 0.9, mixing.GATES * mixing.STEPS).astype(np.float32))
+    p = mixer.probability(*mixer.inputs(tables, slots, kinds)).astype(np.float64)
+    p = np.log10(np.where(bits == 0, 1 - p, p))
+    first, like = coder.different(own, before, marker)
+    assert len(first) <= len(own) // 3 + len(rare)
+    got = mixer.log_probability(tables, *coder.symbol_bits(own[first], before[first], marker[first]), 0)[like]
+    assert np.allclose(got, np.bincount(owner[kinds == 0], p[kinds == 0], len(symbols)), atol=1e-5)
+    got = mixer.log_probability(tables, *coder.byte_bits(rare, marker[rare_at]), 1)
+    assert np.allclose(got, np.bincount(owner[kinds == 1], p[kinds == 1], len(symbols))[rare_at], atol=1e-5)
