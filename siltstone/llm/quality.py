@@ -27,8 +27,8 @@ ORDER, START = 5, "\x02"
 QUANTILE, LEAST = 0.995, 50
 #: Steps to a bit at which the quantiles are read (upwards), so that they need a row for each step and not for each document.
 QUANTILE_STEPS = 10_000
-#: Parts of the model by context; characters that a task counts, and scores, at once.
-SHARDS, COUNTED_CHARS, SCORED_CHARS = 16, 4_000_000, 300_000
+#: Parts of the model by context; bytes of text that a task counts, and scores, at once; different n-grams that it holds, and passes on at once.
+SHARDS, COUNTED_CHARS, SCORED_CHARS, HELD_GRAMS, PASSED_GRAMS = 16, 400_000, 300_000, 400_000, 50_000
 #: Bits of a map, bits for each trusted id in all maps, and probes of a map.
 MAP_BITS, BITS_AN_ID, PROBES = 1 << 15, 24, 4
 #: Discounts where the counts of counts give none.
@@ -170,31 +170,70 @@ def among(docs: DataFrame, ids: DataFrame, *, id_col: str) -> DataFrame:
     return passing(docs).join(F.broadcast(wrong), id_col, "left_anti").select(docs.columns)
 
 
+class _Grams:
+    """Different n-grams of texts with their counts, in numpy: a few dozen bytes each, whatever the texts' size."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.size = 0
+        self.held: list[tuple[np.ndarray, ...]] = []  # hashes ascending, characters, counts; the first is the sum of earlier ones
+
+    def add(self, text: bytes) -> None:
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size >= COUNTED_CHARS:
+            self.count()
+
+    def count(self) -> None:
+        if not self.texts:
+            return
+        c, owners = joined(self.texts)
+        self.texts, self.size = [], 0
+        ends = np.flatnonzero(owners >= 0)
+        hashes, first, n = np.unique(rolling(c, ORDER)[-1][ends], return_index=True, return_counts=True)
+        self.held.append((hashes, c[ends[first][:, None] + np.arange(1 - ORDER, 1)], n))
+        if sum(len(h) for h, *_ in self.held[1:]) >= max(HELD_GRAMS, len(self.held[0][0])):
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.held) > 1:
+            hashes, grams, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held = []
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            self.held = [(hashes[starts], grams[order[starts]], np.add.reduceat(n[order], starts))]
+
+    def many(self) -> bool:
+        return len(self.held) == 1 and len(self.held[0][0]) >= HELD_GRAMS
+
+    def passed(self, part):
+        """Record batches of what is held, which is forgotten."""
+        import pyarrow as pa
+
+        self.count()
+        self.merge()
+        for _, grams, n in self.held:
+            for a in range(0, len(n), PASSED_GRAMS):
+                text, some = grams[a : a + PASSED_GRAMS].astype("<u4").tobytes().decode("utf-32-le", "replace"), n[a : a + PASSED_GRAMS]
+                yield pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64())], names=["gram", "n", "part"])
+        self.held = []
+
+
 def gram_counts(docs: DataFrame, *, text_col: str, by: str | None = None) -> DataFrame:
     """gram, n: n-grams of all rows, summed in each task first, then by key; for each whole number in ``by`` apart, if that is given."""
 
     def run(batches):
-        import pyarrow as pa
-
-        def counted(part, texts):
-            c, owners = joined(texts)
-            ends = np.flatnonzero(owners >= 0)
-            _, first, n = np.unique(rolling(c, ORDER)[-1][ends], return_index=True, return_counts=True)
-            grams = c[ends[first][:, None] + np.arange(1 - ORDER, 1)]
-            text = grams.astype("<u4").tobytes().decode("utf-32-le", "replace")
-            return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int64())], names=["gram", "n", "part"])
-
-        waiting, size = {}, {}
+        of_part: dict[int, _Grams] = {}
         for batch in batches:
             for text, part in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    waiting.setdefault(part, []).append(text)
-                    size[part] = size.get(part, 0) + len(text)
-                    if size[part] >= COUNTED_CHARS:
-                        yield counted(part, waiting.pop(part))
-                        size[part] = 0
-        for part, texts in waiting.items():
-            yield counted(part, texts)
+                    own = of_part.setdefault(part, _Grams())
+                    own.add(text)
+                    if own.many():
+                        yield from own.passed(part)
+        for part, own in of_part.items():
+            yield from own.passed(part)
 
     rows = docs.select(text_col, (F.col(by) if by else F.lit(0)).cast("long").alias("part")).where(F.col(text_col).isNotNull())
     return rows.mapInArrow(run, "gram string, n long, part long").groupBy("gram", *(["part"] if by else [])).agg(F.sum("n").alias("n"))

@@ -410,3 +410,58 @@ def test_equal_tokens_are_worked_on_once_with_the_results_of_all(spark):
     assert np.allclose(got, np.bincount(owner[kinds == 0], p[kinds == 0], len(symbols)), atol=1e-5)
     got = mixer.log_probability(tables, *coder.byte_bits(rare, marker[rare_at]), 1)
     assert np.allclose(got, np.bincount(owner[kinds == 1], p[kinds == 1], len(symbols))[rare_at], atol=1e-5)
+
+
+class _Task:
+    """Stands for a table: keeps the function that a task would run."""
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+    def _same(self, *columns):
+        return self
+
+    select = where = groupBy = agg = _same
+
+
+def _traced(rows, batches) -> tuple[list, float]:
+    """What a task passes on, and the most memory in MB that Python and numpy held in it."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return list(rows.function(iter(batches))), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_counting_of_n_grams_holds_little_however_long_the_texts_are(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng, of_size = np.random.default_rng(7), []
+    for many in (60, 240):
+        texts = ["".join(rng.choice(list("abcd ä"), 20_000)) for _ in range(many)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20]), pa.array([k % 2 for k in range(len(texts[i : i + 20]))])], names=["text", "part"]) for i in range(0, many, 20)]
+        quality.gram_counts(task := _Task(), text_col="text", by="half")
+        got, mb = _traced(task, batches)
+        assert sum(sum(b.column(1).to_pylist()) for b in got) == many * 20_000 and sum(b.num_rows for b in got) <= 2 * (6**5 + 1_000)
+        of_size.append(mb)
+    assert max(of_size) < 64 and of_size[1] < 1.3 * of_size[0]
+    # Bounds that are passed many times over change no count.
+    docs = spark.createDataFrame([(t[:300], i % 2) for i, t in enumerate(texts[:40])] + [(None, 0), ("", 1), ("ä", 1)], "text string, half int")
+    want = {(r["gram"], r["part"]): r["n"] for r in quality.gram_counts(docs, text_col="text", by="half").collect()}
+    plain = {}
+    for t, part in docs.where("text <> ''").collect():
+        for i in range(len(t)):
+            g = (quality.START * 4 + t)[i : i + 5]
+            plain[g, part] = plain.get((g, part), 0) + 1
+    assert want == plain
+    for name in ("COUNTED_CHARS", "HELD_GRAMS", "PASSED_GRAMS"):
+        monkeypatch.setattr(quality, name, 100)
+    quality.gram_counts(task := _Task(), text_col="text", by="half")
+    small = {}
+    for b in task.function(iter([pa.RecordBatch.from_arrays([pa.array([r[0] for r in docs.collect()]), pa.array([r[1] for r in docs.collect()])], names=["text", "part"])])):
+        for g, n, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            small[g, part] = small.get((g, part), 0) + n
+    assert small == plain
