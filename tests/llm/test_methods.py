@@ -465,3 +465,37 @@ def test_counting_of_n_grams_holds_little_however_long_the_texts_are(spark, monk
         for g, n, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             small[g, part] = small.get((g, part), 0) + n
     assert small == plain
+
+
+def test_words_are_split_and_counted_without_an_object_for_each(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [b" A b\x0bC\x1cx\t", None, b"", b" \n", "ÄÖ\x85É x\x00y".encode(), b"\xff\xfe bad \xc3", b"b B b"]
+    plain = [bytes(c + 32 if 65 <= c <= 90 else c for c in t or b"").split() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"left out", *texts], pa.binary()).view(pa.string()).slice(1)], names=["text"])
+    mixing.word_counts(task := _Task())
+    long = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i % 100}" for i in range(200_000))])], names=["text"])
+    got, mb = _traced(task, [long])
+    assert [n for b in got for n in b.column(1).to_pylist()] == [2_000] * 100 and mb < 4
+    for most in (mixing.SPLIT_BYTES, 1):
+        monkeypatch.setattr(mixing, "COUNTED_WORDS", 3)
+        found = [(first, many.tolist(), words.to_pylist()) for _, first, many, words in mixing.split_pieces([batch], 0, most)]
+        assert [n for _, many, _ in found for n in many] == [len(x) for x in plain] and [w for *_, words in found for w in words] == sum(plain, [])
+        assert [first for first, *_ in found] == list(np.cumsum([0, *(len(many) for _, many, _ in found)])[:-1])
+    counts = {}
+    for b in task.function(iter([batch, batch])):
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[w] = counts.get(w, 0) + n
+    assert counts == {w: 2 * sum(plain, []).count(w) for w in sum(plain, [])}
+    for kind in (pa.large_string(), pa.large_binary(), pa.binary()):
+        many, words = mixing.split_words(pa.array([x.encode() for x in ("A b", "", "C ")], pa.large_binary() if kind != pa.binary() else kind).view(kind))
+        assert many.tolist() == [2, 0, 1] and words.to_pylist() == [b"a", b"b", b"c"]
+    coder = mixing.Coder([(b"b", 5), (b"a", 2)], 9, 2, 18)
+    for tokens in (1, 4, 1_000):
+        parts = [(first, words, coder.tokens(words)) for _, first, words in mixing._chunks([batch], 0, coder, tokens)]
+        assert [first for first, *_ in parts] == list(np.cumsum([0, *(len(w.many) for _, w, _ in parts)])[:-1])
+        assert np.concatenate([w.octets() for _, w, _ in parts]).tolist() == [sum(map(len, x)) + len(x) for x in plain]
+        whole = coder.tokens(plain)
+        for i in (0, 1, 2, 4):
+            assert np.concatenate([t[i] for *_, t in parts]).tolist() == whole[i].tolist()
+        assert sum((t[6] for *_, t in parts), []) == whole[6] == [w for w in sum(plain, []) if w not in (b"a", b"b")]
