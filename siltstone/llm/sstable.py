@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import binary_list, new_folder, shuffle_partitions
+from siltstone.llm.common import binary_list, new_folder, open_store, shuffle_partitions
 from siltstone.llm.tokens import encoder
 
 MAGIC = b"SSTOK001"
@@ -193,13 +193,6 @@ class Reader:
         return out
 
 
-def open_store(uri: str):
-    """File system and path of a URI that driver and executors reach alike."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_shards(
     docs: DataFrame, folder: str, *, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES
 ) -> list[dict]:

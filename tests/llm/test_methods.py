@@ -467,6 +467,25 @@ def test_counting_of_n_grams_holds_little_however_long_the_texts_are(spark, monk
     assert small == plain
 
 
+def test_a_fit_takes_few_jobs_and_sends_nothing_through_the_driver(spark, monkeypatch):
+    sc, rng = spark.sparkContext, np.random.default_rng(11)
+    rows = [("".join(rng.choice(list("abcdef ä\U0001f600"), int(rng.integers(1, 60)))), i % 2) for i in range(300)]
+    grams = quality.gram_counts(spark.createDataFrame(rows, "text string, half int"), text_col="text")
+    monkeypatch.setattr(type(sc), "broadcast", lambda *_: pytest.fail("a model was sent by the driver"))
+    monkeypatch.setattr(quality, "SHARD_GRAMS", 100)  # many shards
+    sc.setJobGroup("fit", "one model")
+    held = quality.fit_counts(quality.written(grams, "grams"))
+    sc.setJobGroup("other", "")
+    assert len(sc.statusTracker().getJobIdsForGroup("fit")) <= 16  # each is several plans, stages and tasks that the driver keeps
+    # A worker's model, made of what the shards hold, is that of the whole.
+    model, (hashes, _) = quality._model(held), quality.stored_model(held[0])
+    assert len(set(hashes.tolist())) == len(hashes) and held[1] == len({c for t, _ in rows for c in t})
+    letters = np.concatenate([quality.characters((" abc" + w).encode()) for w in [*"abcdef ä\U0001f600", "?"]])
+    assert abs((2.0 ** -model.of_places(letters)[quality.ORDER - 1 :: quality.ORDER].astype(float)).sum() - 1) < 1e-3
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert quality.judged(spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(rows)], "doc_id long, text string, lang string"), labels).count() == 300
+
+
 def test_words_are_split_and_counted_without_an_object_for_each(spark, monkeypatch):
     import pyarrow as pa
 
