@@ -412,6 +412,33 @@ def test_equal_tokens_are_worked_on_once_with_the_results_of_all(spark):
     assert np.allclose(got, np.bincount(owner[kinds == 1], p[kinds == 1], len(symbols))[rare_at], atol=1e-5)
 
 
+def test_letters_of_unknown_words_are_worked_on_once_with_the_results_of_all(monkeypatch):
+    rng = np.random.default_rng(13)
+    counted = [(b"w%d" % k, 1000 - k) for k in range(200)]
+    words = ["".join(rng.choice(list("abcde\u00e4"), int(rng.integers(1, 9)))).encode() for _ in range(5000)] + [b"\xff", b"a" * 300]
+    for known in (200, 5):  # many words, fewer than there are markers
+        coder = mixing.Coder(counted[:known], 10**6, 1000, 18)
+        marker = np.where(rng.random(len(words)) < 0.3, np.uint32(0xFFFFFFFF), rng.integers(0, 64, len(words)).astype(np.uint32)).astype(np.uint32)
+        slots, bits, many = coder.byte_bits(words, marker)
+        assert many.sum() == len(bits) and len(many) == len(words)
+        *letters, n = coder.letters(words, marker)
+        assert n.tolist() == [len(w) + 1 for w in words]
+        for k in range(mixing.CONTEXTS):
+            monkeypatch.setattr(mixing, "CHUNK_TOKENS", 1000)
+            got = np.zeros(2 << 18, np.uint32)
+            coder.count_letters(k, *letters, got)
+            assert (got == np.bincount(slots[k].astype(np.int64) << 1 | bits, minlength=len(got))).all()
+        tables = [rng.integers(-120, 120, 1 << 18).astype(np.int8) for _ in range(mixing.CONTEXTS)]
+        mixer = mixing.Mixer(refine=rng.random(mixing.GATES * mixing.STEPS).astype(np.float32))
+        first, like = coder.different_letters(*letters)
+        of_letter = mixer.log_probability(tables, *coder.letter_bits(*(x[first] for x in letters)), 1)[like]
+        assert np.allclose(np.add.reduceat(of_letter, np.cumsum(n) - n), mixer.log_probability(tables, slots, bits, many, 1), rtol=1e-9)
+        assert known == 5 or len(first) < len(like) / 2
+    own = rng.integers(0, 50, 3000).astype(np.uint64)
+    for width in (6, 60):  # beside the places, or not
+        assert (mixing._order(own, width) == np.argsort(own, kind="stable")).all()
+
+
 class _Task:
     """Stands for a table: keeps the function that a task would run."""
 
